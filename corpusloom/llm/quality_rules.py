@@ -170,9 +170,6 @@ def keep_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """
     rules = rule_columns(BASE_RULES | RULES, measures())
     order = cascade_order(docs, rules, sample_rows)
-    passed = F.lit(True)
-    for name in order:
-        passed = F.when(rules[name], F.lit(False)).otherwise(passed) if name == order[-1] else passed
     verdict = None
     for name in order:
         verdict = F.when(rules[name], F.lit(False)) if verdict is None else verdict.when(rules[name], F.lit(False))
