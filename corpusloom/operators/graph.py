@@ -151,13 +151,15 @@ def per_lineage(train: DataFrame, test: DataFrame, train_at: tuple[int, int] = (
 
 
 def label_propagation(edges: DataFrame, weight: str = "n_groups", rounds: int = 10) -> DataFrame:
-    """(node, label): synchronous propagation; a node takes the label of greatest (weight, label) among its neighbours.
+    """(node, label): synchronous propagation; a node takes the label of greatest (weight, label) among its neighbours and itself.
 
     Synchronous, so that the result depends on no order of nodes or partitions;
-    communities may differ from those of an in-place update.
+    communities may differ from those of an in-place update. A node's own label
+    has the weight of its heaviest edge, else two neighbours would swap for ever.
     """
     e = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col(weight).alias("w"))
-    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).cache()
+    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    e = e.unionByName(e.groupBy("u").agg(F.max("w").alias("w")).select("u", F.col("u").alias("v"), "w")).cache()
     labels = e.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         votes = e.join(labels, e["v"] == labels["node"]).groupBy("u", "label").agg(F.sum("w").alias("w"))

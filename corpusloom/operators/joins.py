@@ -100,7 +100,7 @@ def reviewed(drafts: DataFrame, reviews: DataFrame, key: str, review_key: str, v
 
 
 def blocked_pairs(df: DataFrame, block: str, key: str, keep: tuple[str, ...] = (), condition: Column | None = None) -> DataFrame:
-    """Pairs a < b of keys within a block, with the kept columns of both as a_*, b_*; `condition` is part of the join."""
+    """Pairs a < b of keys within a block, with the kept columns of both as a_*, b_*; `condition` is part of the join. The block column mustn't be named a or b."""
     a = df.select(F.col(block).alias(block), F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in keep])
     b = df.select(F.col(block).alias("__b"), F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in keep])
     on = (F.col(block) == F.col("__b")) & (F.col("a") < F.col("b"))
