@@ -168,9 +168,17 @@ def mix_counts(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), shar
     taken more often is no difference. Reruns give the same copies for the same
     rows. A source without words has target 0. An empty table gives an empty result.
     """
-    base = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("key"), n_words("text").alias("size"))
     # numbers the rows for the way back; written once, so that they stay
-    base = materialise(base.withColumn("seq", F.monotonically_increasing_id()), "mix-units")
+    base = materialise(_units(docs).withColumn("seq", F.monotonically_increasing_id()), "mix-units")
+    return _counted(base, weights, share, most, seed).drop("seq")
+
+
+def _units(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("key"), n_words("text").alias("size"), *more)
+
+
+def _counted(base: DataFrame, weights: Sequence[float], share: float, most: float, seed: int) -> DataFrame:
+    """base (seq, doc_id, source, key, size), written already, with source_size, target and copies."""
     named = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     named = materialise(named.withColumn("stratum", F.xxhash64(F.coalesce("source", F.lit("\x00null")))), "mix-targets")
     named = named.select(F.col("source").alias("__source"), "source_size", "target", "stratum")
@@ -183,23 +191,21 @@ def mix_counts(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), shar
     drawn = drawn.select(F.col("seq").alias("__seq"), F.col("p").cast("long").alias("extra"))
     out = wanted.join(drawn, wanted["seq"] == F.col("__seq"), "left")
     copies = F.col("whole") + F.coalesce("extra", F.lit(0).cast("long"))
-    return out.select("doc_id", "source", F.col("key").alias("text_hash"), "size", "source_size", "target", copies.alias("copies"))
+    return out.select("seq", "doc_id", "source", F.col("key").alias("text_hash"), "size", "source_size", "target", copies.alias("copies"))
+
 
+def take_mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
+    """docs as the mix takes them: rows not taken go, a row taken twice comes twice. Columns are those of docs.
 
-def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: rows not taken go, a row taken twice comes twice. Columns are those of docs."""
+    The rows are written once with a number of their own, by which their copies
+    are joined back: a key that no two rows share, however often a row repeats.
+    """
     columns = docs.columns
-    counts = mix_counts(docs, **options)
-    counts = counts.groupBy("text_hash").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    counts = counts.withColumnRenamed("text_hash", "__hash")
-    key = F.xxhash64("doc_id", "text")
-    both = docs.withColumn("__key", key).join(counts, F.col("__key") == F.col("__hash"))
-    # equal rows share their copies: each gets the floor, and the rest go to the first of them
-    alone = both.where("__rows = 1").withColumn("__take", F.col("__copies"))
-    many = both.where("__rows > 1").withColumn("__n", F.row_number().over(Window.partitionBy("__hash").orderBy(F.monotonically_increasing_id())))
-    many = many.withColumn("__take", F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__n") <= F.pmod("__copies", "__rows")).cast("long")).drop("__n")
-    taken = alone.unionByName(many).where("__take > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__take")))).select(*columns)
+    whole = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    base = materialise(_units(whole, "__row").withColumnRenamed("__row", "seq"), "mix-units")
+    counts = _counted(base, weights, share, most, seed).where("copies > 0").select(F.col("seq").alias("__seq"), F.col("copies").alias("__copies"))
+    taken = whole.join(counts, F.col("__row") == F.col("__seq"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
