@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows that mapped() turns into Python objects at once.
+SLICE = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +30,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    _written.append(f"{scratch_root(spark)}/corpusloom/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables that this process has written, once no result that reads them is wanted any more."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -85,9 +98,11 @@ def mapped(df: DataFrame, keep: list[str], read: list[str], make: Callable[[], C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            made = work(*[batch.column(c).to_pylist() for c in read])
-            arrays = [batch.column(c) for c in names] + [pa.array(v, kind) for v, (_, kind) in zip(made, added.values())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, *added])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):  # so few rows are Python objects at a time
+                batch = whole.slice(at, SLICE)
+                made = work(*[batch.column(c).to_pylist() for c in read])
+                arrays = [batch.column(c) for c in names] + [pa.array(v, kind) for v, (_, kind) in zip(made, added.values())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *added])
 
     return df.select(*dict.fromkeys([*names, *read])).mapInArrow(run, ", ".join(fields))
