@@ -56,31 +56,35 @@ def conserved_edges(edges: DataFrame, min_groups: int = 4, by: tuple[str, ...] =
     return out.where(F.col("n_groups") >= min_groups)
 
 
-def permute(sets: DataFrame, n: int = 200, seed: int = 42, spread: bool = False) -> DataFrame:
+def permute(sets: DataFrame, n: int = 200, seed: int = 42, spread: bool = False, distinct: bool = True) -> DataFrame:
     """sets with `perm` from 1: within each group items are pooled, shuffled and dealt to records by their sizes.
 
     The order of a shuffle is the md5 of seed, permutation, group, record and
-    item: the same on any number of partitions. A record may be dealt an item
-    twice, which then counts once, so sets can shrink; spread=True deals in strides
-    instead, which avoids most repeats.
+    item: the same on any number of partitions. Seats are numbered once, not for
+    each permutation. A record may be dealt an item twice, which then counts once,
+    so sets can shrink; spread=True deals in strides instead, which avoids most
+    repeats. distinct=False leaves repeats in, for callers that gather sets anyway.
     """
     perms = sets.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n))))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), "perm", "group", "record", "item"))
-    pool = Window.partitionBy("perm", "group")
-    order = ["item", key, "record"] if spread else [key, "record", "item"]
-    placed = perms.withColumn("__key", key)
-    shuffled = placed.withColumn("__at", F.row_number().over(pool.orderBy(*order)))
-    seats = placed.withColumn("__at", F.row_number().over(pool.orderBy("record", "item")))
-    if spread:  # neighbours in the item order go to seats far apart
-        seats = placed.withColumn("__at", F.row_number().over(pool.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "perm", "record")), "item")))
-    s = shuffled.select(F.col("perm").alias("__p"), F.col("group").alias("__g"), F.col("__at").alias("__s"), F.col("item").alias("__dealt"))
-    seated = seats.join(s, (F.col("perm") == F.col("__p")) & (F.col("group") == F.col("__g")) & (F.col("__at") == F.col("__s")))
-    return seated.select("perm", "group", "record", F.col("__dealt").alias("item")).distinct()
+    order = ["item", "__key", "record"] if spread else ["__key", "record", "item"]
+    placed = perms.withColumn("__key", key).withColumn("__at", F.row_number().over(Window.partitionBy("perm", "group").orderBy(*order)))
+    dealt = placed.select("perm", F.col("group").alias("__g"), F.col("__at").alias("__s"), "item")
+    # with spread, neighbours in the order of items go to seats far apart
+    seat = [F.md5(F.concat_ws("|", F.lit(str(seed)), "record")), "item"] if spread else ["record", "item"]
+    if spread:
+        rank = F.row_number().over(Window.partitionBy("group", "record").orderBy("item"))
+        seats = sets.withColumn("__r", rank).withColumn("__at", F.row_number().over(Window.partitionBy("group").orderBy("__r", *seat)))
+    else:
+        seats = sets.withColumn("__at", F.row_number().over(Window.partitionBy("group").orderBy(*seat)))
+    seats = seats.select("group", "record", "__at")
+    out = dealt.join(seats, (F.col("__g") == F.col("group")) & (F.col("__s") == F.col("__at"))).select("perm", "group", "record", "item")
+    return out.distinct() if distinct else out
 
 
 def null_counts(sets: DataFrame, n: int = 200, seed: int = 42, min_pair: int = 3, min_records: int = 20, min_groups: int = 4) -> DataFrame:
     """Conserved edges (perm, a, b, ...) of each permutation."""
-    counts = pair_counts(permute(sets, n, seed), ("perm", "group"))
+    counts = pair_counts(permute(sets, n, seed, distinct=False), ("perm", "group"))
     return conserved_edges(pmi_edges(counts, min_pair, min_records), min_groups, ("perm",))
 
 
@@ -121,7 +125,7 @@ def holdout(train: DataFrame, test: DataFrame, n: int = 200, seed: int = 42, tra
     known = edge_set(train, *train_at, min_records).cache()
     seen = edge_set(test, *test_at, min_records)
     both = seen.join(known, ["a", "b"], "left_semi").agg(F.count(F.lit(1)).alias("reproduced"))
-    shuffled = edge_set(permute(test, n, seed), *test_at, min_records, ("perm",)).join(known, ["a", "b"], "left_semi")
+    shuffled = edge_set(permute(test, n, seed, distinct=False), *test_at, min_records, ("perm",)).join(known, ["a", "b"], "left_semi")
     per = shuffled.groupBy("perm").agg(F.count(F.lit(1)).alias("k"))
     every = train.sparkSession.range(1, n + 1).select(F.col("id").alias("__perm")).join(per, F.col("__perm") == per["perm"], "left").select(F.coalesce("k", F.lit(0)).alias("k"))
     one = known.agg(F.count(F.lit(1)).alias("training_edges")).join(seen.agg(F.count(F.lit(1)).alias("holdout_edges"))).join(both)  # single rows
