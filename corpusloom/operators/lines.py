@@ -21,7 +21,7 @@ def _doc(doc: str) -> Window:
 def to_lines(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, line_no, line); a null text has no lines."""
     parts = df.select(F.col(doc), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    return parts.select(doc, (F.col("pos") + 1).alias("line_no"), "line")
+    return parts.select(doc, (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 def to_text(lines: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

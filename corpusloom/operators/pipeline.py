@@ -27,7 +27,7 @@ def shard_manifest(sharded: DataFrame, line: str, order: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct(order, line)))
     body = F.concat(F.array_join(F.transform(rows, lambda r: r[line]), "\n"), F.lit("\n"))
     one = sharded.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), body.alias("__body"))
-    return one.select("shard_id", "n", F.octet_length("__body").alias("bytes"), F.sha2("__body", 256).alias("sha256"))
+    return one.select("shard_id", "n", F.octet_length("__body").cast("long").alias("bytes"), F.sha2("__body", 256).alias("sha256"))
 
 
 def slug_files(df: DataFrame, label: str, order: str) -> DataFrame:
