@@ -200,7 +200,7 @@ def score_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_quality(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 OP3_SQL = r"""
