@@ -96,6 +96,27 @@ def text_summary(df: DataFrame, text: str, record: str, motif: str) -> DataFrame
     return df.groupBy(text).agg(F.count_distinct(record).alias("records"), F.count_distinct(motif).alias("motifs"), F.count(F.lit(1)).alias("occurrences"))
 
 
+def two_map_index(df: DataFrame, key: str, group: str, sub: str) -> DataFrame:
+    """(key, total, groups, subs): occurrences of each key by tradition and by sub-corpus; null keys are skipped."""
+    per = df.where(F.col(key).isNotNull()).groupBy(key, group, sub).agg(F.count(F.lit(1)).alias("n"))
+    maps = []
+    for c in (group, sub):
+        one = per.groupBy(key, c).agg(F.sum("n").alias("n")).groupBy(F.col(key).alias(f"__{c}"))
+        maps.append((c, one.agg(F.sum("n").alias(f"__n_{c}"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(f"__m_{c}"))))
+    (a, first), (b, second) = maps
+    out = first.join(second, F.col(f"__{a}") == F.col(f"__{b}"))
+    return out.select(F.col(f"__{a}").alias(key), F.col(f"__n_{a}").alias("total"), F.col(f"__m_{a}").alias("groups"), F.col(f"__m_{b}").alias("subs"))
+
+
+def subcorpus_rollup(df: DataFrame, sub: str, text: str, record: str, motif: str) -> DataFrame:
+    """(sub, texts, records, occurrences, motifs): per-text sums rolled up, motif sets united."""
+    per = df.groupBy(sub, text).agg(F.count_distinct(record).alias("r"), F.count(F.lit(1)).alias("o"), F.collect_set(motif).alias("m"))
+    return per.groupBy(sub).agg(
+        F.count(F.lit(1)).alias("texts"), F.sum("r").alias("records"), F.sum("o").alias("occurrences"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("m")))).cast("long").alias("motifs"),
+    )
+
+
 def coverage(texts: DataFrame, records: DataFrame, text: str) -> DataFrame:
     """texts with n_records and a status: no_extractions or extracted."""
     n = records.groupBy(F.col(text).alias("__t")).agg(F.count(F.lit(1)).alias("n"))

@@ -86,6 +86,20 @@ def text_summary(t):
     return Q.text_summary(facts(t), "n_name", "l_orderkey", "p_brand").withColumnRenamed("n_name", "text")
 
 
+@query(f"""WITH {_F}, g AS (SELECT p_brand, sum(n)::BIGINT AS total, string_agg(n_name || '=' || n, ',' ORDER BY n_name) AS groups FROM (SELECT p_brand, n_name, count(*) AS n FROM f GROUP BY ALL) GROUP BY 1),
+r AS (SELECT p_brand, string_agg(r_name || '=' || n, ',' ORDER BY r_name) AS subs FROM (SELECT p_brand, r_name, count(*) AS n FROM f GROUP BY ALL) GROUP BY 1)
+SELECT p_brand AS motif, total, groups, subs FROM g JOIN r USING (p_brand)""")
+def experiential_index(t):
+    out = Q.two_map_index(facts(t), "p_brand", "n_name", "r_name")
+    joined = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return out.select(F.col("p_brand").alias("motif"), "total", joined("groups"), joined("subs"))
+
+
+@query(f"WITH {_F} SELECT r_name AS sub_corpus, count(DISTINCT n_name) AS texts, count(DISTINCT l_orderkey) AS records, count(*) AS occurrences, count(DISTINCT p_brand) AS motifs FROM f GROUP BY 1")
+def subcorpus_rollup(t):
+    return Q.subcorpus_rollup(facts(t), "r_name", "n_name", "l_orderkey", "p_brand").withColumnRenamed("r_name", "sub_corpus")
+
+
 @query("""SELECT c_custkey, count(o_orderkey) AS n_records, CASE WHEN count(o_orderkey) = 0 THEN 'no_extractions' ELSE 'extracted' END AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def extraction_coverage(t):
     return Q.coverage(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
