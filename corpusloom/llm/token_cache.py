@@ -21,12 +21,19 @@ from pyspark.sql import functions as F
 
 from .common import mapped, materialise, scratch_path, table
 
-#: Pieces of text whose counts a worker remembers; it forgets all when there are more.
+#: Pieces of text that a generation of a worker's memo holds; the last two generations are kept.
 MEMO = 200_000
 #: Longer pieces aren't remembered, which bounds the memory.
 MEMO_CHARS = 64
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: its own if it is visible in Latin-1, else the next from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def tokenizer_digest(path: str) -> str:
     """Version of a tokenizer: the digest of its file."""
     with open(path, "rb") as f:
@@ -37,9 +44,10 @@ class JsonCounter:
     """Counts as the tokenizers library gives them, through a bounded memo of pre-tokens.
 
     A byte-level BPE encodes each pre-token apart, so a text's count is the sum
-    over its pre-tokens, each encoded by the library when it isn't in the memo.
-    That holds for a tokenizer without normaliser whose pre-tokens are the matches
-    of the public pattern; any other one encodes whole texts.
+    over its pre-tokens; those not in the memo go to the library's own BPE model,
+    written in its letters for bytes. That holds for a tokenizer without normaliser
+    whose pre-tokens are the matches of the public pattern; any other one encodes
+    whole texts.
     """
 
     def __init__(self, path: str):
@@ -59,7 +67,9 @@ class JsonCounter:
         model = json.loads(self.tokenizer.to_str())
         pre = model.get("pre_tokenizer") or {}
         self.by_piece = model.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.memo: dict[str, int] = {}
+        self.former: dict[str, int] = {}
 
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -69,22 +79,29 @@ class JsonCounter:
             return 0
         if not self.by_piece or (self.special and self.special.search(text)):
             return self.whole(text)
-        memo, total, missed = self.memo, 0, []
-        for piece in self.pattern.findall(text):
-            n = memo.get(piece)
+        pieces, known = self.pattern.findall(text), self.memo
+        passing = {}  # long pieces
+        for piece in set(pieces).difference(known):
+            n = self.former.get(piece)
             if n is None:
-                missed.append(piece)
+                n = self.piece(piece)
+            if len(piece) <= MEMO_CHARS:
+                known[piece] = n
             else:
-                total += n
-        if missed:
-            distinct = list(dict.fromkeys(missed))
-            found = {p: len(e.ids) for p, e in zip(distinct, self.tokenizer.encode_batch(distinct, add_special_tokens=False))}
-            total += sum(map(found.__getitem__, missed))
-            if len(memo) > MEMO:
-                memo.clear()
-            memo.update((p, n) for p, n in found.items() if len(p) <= MEMO_CHARS)
+                passing[piece] = n
+        total = sum(map(known.__getitem__, pieces)) if not passing else sum(known[p] if p in known else passing[p] for p in pieces)
+        if len(known) > MEMO:
+            self.former, self.memo = known, {}
         return total
 
+    def piece(self, piece: str) -> int:
+        """Tokens of one pre-token."""
+        if piece.isascii() and piece.isprintable():
+            mapped_piece = piece.replace(" ", self.letters[0x20])
+        else:
+            mapped_piece = piece.encode().decode("latin-1").translate(self.letters)
+        return len(self.model.tokenize(mapped_piece))
+
 
 class ModelCounter:
     """Counts as the sentencepiece library gives them."""
