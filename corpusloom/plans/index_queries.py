@@ -237,7 +237,7 @@ def request_shards(t):
 @query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""")
 def latest_by_custom_id(t):
     e = t("events").withColumn("cid", F.concat_ws(":", "user_id", "event_type"))
-    out = P.upsert(e.where("event_id % 2 = 0").limit(0).unionByName(e.where("event_id < 100")), e.where("event_id >= 100"), "cid", "event_id")
+    out = P.upsert(e.where("event_id < 100"), e.where("event_id >= 100"), "cid", "event_id")
     return out.select("user_id", "event_type", "event_id", "value")
 
 
@@ -285,10 +285,10 @@ def admission_control(t):
     return P.admitted(jobs, "n_nationkey", ["validating"], 12).select("n_nationkey", "n_name")
 
 
-@query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 3 <> 0")
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NULL OR contains(text, '.')")
 def changed_only(t):
     docs = t("documents")
-    stored = docs.where("doc_id % 3 = 0").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    stored = docs.select("doc_id", F.sha2(F.replace("text", F.lit("."), F.lit(";")), 256).alias("sha256"))
     return P.unchanged_skipped(docs, "doc_id", "text", stored).select("doc_id", "sha256")
 
 
