@@ -9,8 +9,8 @@ from .registry import query
 
 #: Groups of 25 in which an edge must hold here: with four nearly every pair would.
 CONSERVED = 13
-#: Permutations of the registered null models (the functions' default is 200).
-PERMS = 10
+#: Permutations of the registered null models, as in the reference and the functions' default.
+PERMS = 200
 
 
 def facts(t):
