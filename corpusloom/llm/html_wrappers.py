@@ -13,6 +13,7 @@ only these are moved and merged: no task ever holds the pages of a host.
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import json
 import re
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import mapped, materialise, table
 
-#: Hosts whose partial wrappers a task holds before it hands them on, and items of a wrapper's level
-#: (a level with more becomes one repeated item that fits anything; no text is lost by it).
+#: Hosts whose partial wrappers a task holds before it hands them on; items of a wrapper's level
+#: (a level with more becomes one repeated item that fits anything; no text is lost by it); labels of
+#: a path that are kept as they are (a digest stands for those below).
 HELD, WIDE, DEEP = 2_000, 120, 40
 #: Total size up to which the wrappers are broadcast; beyond, pages and wrappers are joined by shuffle.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -64,6 +66,10 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """(label, is furniture, is main) of a start tag."""
     furniture, main, label = tag in FURNITURE, tag in MAIN, tag
@@ -96,7 +102,7 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The non-empty text blocks of a page in order; unclosed and stray tags are borne as browsers do."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, furniture and main so far
+    stack: list[tuple[str, str, bool, bool, str]] = []  # tag, label, furniture and main so far, digest of the labels from DEEP on
     path: tuple[str, ...] = ()
     furniture = main = False
     pieces: list[str] = []
@@ -115,6 +121,8 @@ def blocks(page: str) -> list[Block]:
     def restate() -> None:
         nonlocal path, furniture, main
         path = tuple(x[1] for x in stack[:DEEP])
+        if len(stack) > DEEP:
+            path += (stack[-1][4],)
         furniture, main = (stack[-1][2], stack[-1][3]) if stack else (False, False)
 
     while at < end:
@@ -173,7 +181,9 @@ def blocks(page: str) -> list[Block]:
             stack[:] = [x for x in stack if x[0] != "head"]
         label, is_furniture, is_main = _label(tag, token[3])
         above_furniture, above_main = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        stack.append((tag, label, above_furniture or is_furniture, above_main or (is_main and not above_furniture)))
+        # labels tell furniture and main, so that a digest has one role too
+        tail = "~" + _digest(f"{stack[-1][4]}/{label}") if len(stack) >= DEEP else ""
+        stack.append((tag, label, above_furniture or is_furniture, above_main or (is_main and not above_furniture), tail))
         restate()
     flush()
     return out
