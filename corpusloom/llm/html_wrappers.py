@@ -190,7 +190,7 @@ def blocks(page: str) -> list[Block]:
 
 
 # A wrapper is a list of items [label, optional, repeated, pages, items below, text, chars, linked, flags].
-# text: None if the item has none, "" for a slot, else the constant; flags: 1 furniture, 2 main; label "(" is a repeated group.
+# text: None if the item has none, "" for a slot, else the constant's digest; flags: 1 furniture, 2 main; label "(" is a repeated group.
 LABEL, OPTIONAL, REPEATED, PAGES, BELOW, TEXT, CHARS, LINKED, FLAGS = range(9)
 
 
@@ -286,8 +286,8 @@ def page_wrapper(found: list[Block]) -> list:
             top.append(item)
             open_items.append(item)
         item = open_items[-1]
-        # a constant is kept by its first characters and length, which bounds a wrapper's size
-        item[TEXT] = _same_text(item[TEXT], f"{b.text[:40]}~{len(b.text)}")
+        # a constant is kept by its digest, which bounds a wrapper's size
+        item[TEXT] = _same_text(item[TEXT], _digest(b.text))
         item[CHARS] += len(b.text)
         item[LINKED] += min(b.linked, len(b.text))
         item[FLAGS] |= b.furniture | b.main << 1

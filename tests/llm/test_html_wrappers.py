@@ -23,3 +23,9 @@ def test_deep_blocks_keep_their_roles():
 def test_very_deep_pages_are_borne():
     page = "<body>" + "".join(f"<div>part {i}" for i in range(5000))
     assert len(html_wrappers.main_text(page, known([page])).split("\n")) == 5000
+
+
+def test_texts_alike_at_their_beginning_vary():
+    title = "Annual report of the society for the study of hours, part 0"
+    page = lambda k: f"<body><h1>{title}{k}</h1><p>{'x' * k} body</p><div class=legal>{title}</div></body>"
+    assert html_wrappers.main_text(page(2), known([page(k) for k in range(1, 6)])) == f"{title}2\nxx body"
