@@ -123,12 +123,27 @@ _NORM = "trim(regexp_replace(replace(translate({0}, '“”„‟‘’‚‛–
 @query(f"""WITH q AS (SELECT item_id, {_NORM.format('text')} AS q FROM benchmark), d AS (SELECT doc_id, {_NORM.format('text')} AS d FROM documents)
 SELECT item_id, count(doc_id) AS n_docs, CASE WHEN count(doc_id) > 0 THEN 'verified' ELSE 'failed' END AS status FROM q LEFT JOIN d ON contains(d, q) GROUP BY item_id""")
 def quote_verification(t):
-    """Quotations looked up in all documents: candidates share the quotation's first six words, then are compared verbatim."""
+    """Quotations looked up in all documents, then compared verbatim, or by their fragments if ellipses part them.
+
+    Candidates share words 2 to 7 of one needle (the quotation or a fragment) of
+    eight words or more: its first and last word can be parts of a document's words,
+    those between are whole ones. Quotations without so long a needle are compared
+    with every document.
+    """
     gram = lambda words: F.xxhash64(F.array_join(words, " "))
-    q = t("benchmark").select("item_id", F.col("text").alias("quote"), gram(F.slice(F.split(T.norm_ws("text"), " "), 2, 6)).alias("g"))
-    docs = t("documents").select("doc_id", "text", F.split(T.norm_ws("text"), " ").alias("w"))
+    parts = T.quote_fragments(F.col("n"))
+    q = t("benchmark").select("item_id", F.col("text").alias("quote"), T.norm_ws("text").alias("n"))
+    q = q.withColumn("needles", F.when(F.size(parts) <= 1, F.array("n")).otherwise(parts))
+    q = q.withColumn("long", F.get(F.filter(F.transform("needles", lambda x: F.split(x, " ")), lambda w: F.size(w) >= 8), F.lit(0)))
+    docs = t("documents").select("doc_id", T.norm_ws("text").alias("h"))
+    words = docs.select("doc_id", F.split("h", " ").alias("w"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))), lambda i: gram(F.slice("w", i, F.lit(6)))))
-    near = docs.select("doc_id", F.explode(grams).alias("h")).join(q.select("item_id", "g"), F.col("h") == F.col("g")).select("item_id", "doc_id").distinct()
+    keyed = q.where(F.col("long").isNotNull()).select("item_id", gram(F.slice("long", 2, 6)).alias("g"))
+    near = words.select("doc_id", F.explode(grams).alias("h")).join(keyed, F.col("h") == F.col("g")).select("item_id", "doc_id")
+    # distinct also puts an exchange below the join, so that without such quotations documents aren't read for it
+    short = q.where(F.col("long").isNull()).select("item_id", "needles").distinct()
+    all_docs = docs.join(short, F.forall("needles", lambda x: F.contains(F.col("h"), x))).select("item_id", "doc_id")
+    near = near.unionByName(all_docs).distinct()
     pairs = q.select("item_id", "quote").join(near.select(F.col("item_id").alias("i"), "doc_id"), F.col("item_id") == F.col("i"), "left").drop("i")
     sources = t("documents").select("doc_id", "text")
     found = I.verify_quotes(pairs, sources, "item_id", "doc_id")
