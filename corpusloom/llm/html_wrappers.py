@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import mapped, materialise, table
 
 #: Hosts whose partial wrappers a task holds before it hands them on; items of a wrapper's level
-#: (a level with more becomes one repeated item that fits anything; no text is lost by it); labels of
-#: a path that are kept as they are (a digest stands for those below).
+#: in their order (a level with more is kept by label, one item for each distinct one); labels of a
+#: path that are kept as they are (a digest stands for those below).
 HELD, WIDE, DEEP = 2_000, 120, 40
 #: Total size up to which the wrappers are broadcast; beyond, pages and wrappers are joined by shuffle.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -190,7 +190,8 @@ def blocks(page: str) -> list[Block]:
 
 
 # A wrapper is a list of items [label, optional, repeated, pages, items below, text, chars, linked, flags].
-# text: None if the item has none, "" for a slot, else the constant's digest; flags: 1 furniture, 2 main; label "(" is a repeated group.
+# text: None if the item has none, "" for a slot, else the constant's digest; flags: 1 furniture, 2 main; label "(" is a repeated group,
+# "*" the only item of a wide level, below which are its items by label, without order.
 LABEL, OPTIONAL, REPEATED, PAGES, BELOW, TEXT, CHARS, LINKED, FLAGS = range(9)
 
 
@@ -208,6 +209,25 @@ def _merged(a: list, b: list, along: bool) -> list:
     ]
 
 
+def _wide(levels: list[list], along: bool) -> list:
+    """Levels as one that is kept by label; along: all of one page, else each of other pages."""
+    whole: dict[str, list] = {}
+    for level in levels:
+        known = level[0][LABEL] == "*"
+        own: dict[str, list] = {x[LABEL]: x for x in level[0][BELOW]} if known else {}
+        todo = [] if known else level[::-1]
+        while todo:
+            x = todo.pop()
+            if x[LABEL] == "(":
+                todo += x[BELOW][::-1]
+            else:
+                own[x[LABEL]] = _merged(own[x[LABEL]], x, True) if x[LABEL] in own else [x[LABEL], True, True, *x[PAGES:]]
+        for label, x in own.items():
+            whole[label] = _merged(whole[label], x, along) if label in whole else x
+    below = [whole[label] for label in sorted(whole)]
+    return [["*", False, True, max(x[PAGES] for x in below), below, None, 0, 0, 0]]
+
+
 def fold(items: list) -> list:
     """Runs of equal items become one repeated item, runs of equal pairs or triples a repeated group."""
     out: list = []
@@ -228,10 +248,7 @@ def fold(items: list) -> list:
                     group[BELOW] = [_merged(x, y, True) for x, y in zip(group[BELOW], out[k + 1 : k + 1 + width])]
                     del out[k + 1 : k + 1 + width]
             k += 1
-    if len(out) > WIDE:
-        whole = functools.reduce(lambda a, b: _merged(["*", *a[1:]], ["*", *b[1:]], True), out)
-        out = [whole]
-    return out
+    return _wide([out], True) if len(out) > WIDE else out
 
 
 def _key(item: list) -> str:
@@ -242,6 +259,8 @@ def align(a: list, b: list, along: bool = False) -> list:
     """Two levels aligned by the longest common subsequence of labels; what only one has becomes optional."""
     if not a or not b:
         return [[*x[:OPTIONAL], True, *x[REPEATED:]] for x in a or b]
+    if "*" in (a[0][LABEL], b[0][LABEL]):
+        return _wide([a, b], along)
     ka, kb = list(map(_key, a)), list(map(_key, b))
     if ka == kb:
         return [_merged(x, y, along) for x, y in zip(a, b)]
@@ -312,7 +331,7 @@ def roles(wrapper: list, pages: int) -> dict[str, int]:
 
     def walk(items: list, path: tuple[str, ...]) -> None:
         for x in items:
-            own = path if x[LABEL] == "(" else (*path, x[LABEL])
+            own = path if x[LABEL] in ("(", "*") else (*path, x[LABEL])
             if x[TEXT] is not None:
                 old = found.setdefault("/".join(own), [None, 0, 0, 0, 0])
                 old[0] = _same_text(old[0], x[TEXT])
@@ -373,8 +392,7 @@ def _roles(text: str) -> dict[str, int]:
 def main_text(page: str | None, known: dict[str, int] | None) -> str:
     """The main text of a page read through the slots of its host's wrapper.
 
-    A block that the wrapper has no slot for (its level was too wide to keep)
-    goes by the marks that stand above it.
+    A block that the wrapper has no slot for goes by the marks that stand above it.
     """
     found = [(b, (known or {}).get("/".join(b.path) or "#", 0 if b.furniture else 2 if b.main else 1)) for b in blocks(page or "")]
     best = max((role for _, role in found), default=0)

@@ -29,3 +29,22 @@ def test_texts_alike_at_their_beginning_vary():
     title = "Annual report of the society for the study of hours, part 0"
     page = lambda k: f"<body><h1>{title}{k}</h1><p>{'x' * k} body</p><div class=legal>{title}</div></body>"
     assert html_wrappers.main_text(page(2), known([page(k) for k in range(1, 6)])) == f"{title}2\nxx body"
+
+
+def test_wide_levels_keep_their_roles():
+    # 130 labels of which no two stand side by side twice, and a notice that all pages share
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:03}")
+    page = lambda k: "<body><div class=legal>All rights</div>" + "".join(f"<div class={word(i)}>{i} of {k}</div>" for i in range(130)) + "</body>"
+    found = html_wrappers.main_text(page(1), known([page(k) for k in range(4)]))
+    assert found.split("\n") == [f"{i} of 1" for i in range(130)]
+
+
+def test_levels_that_pages_widen_keep_their_roles():
+    # each page adds three labels of its own; the notice stays ruled out however many pages there are
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:04}")
+    own = lambda k: "".join(f"<div class={word(3 * k + i)}>only {k} {i}</div>" for i in range(3))
+    page = lambda k: f"<body><h1>title {k}</h1>{own(k)}<div class=legal>All rights</div></body>"
+    pages = [page(k) for k in range(100)]
+    halves = [functools.reduce(html_wrappers.align, (html_wrappers.page_wrapper(html_wrappers.blocks(p)) for p in half)) for half in (pages[:50], pages[50:])]
+    for roles in (known(pages), known(pages[::-1]), html_wrappers.roles(html_wrappers.align(*halves), 100), *(known(pages[:n]) for n in range(36, 46))):
+        assert html_wrappers.main_text(page(7), roles) == "title 7\nonly 7 0\nonly 7 1\nonly 7 2"
