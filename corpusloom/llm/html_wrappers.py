@@ -1,13 +1,17 @@
 """HTML extraction by wrappers: union-free regular expressions inferred by host.
 
-A page's block elements form a nested token stream. The streams of one host are
-aligned two at a time: equal labels match, a mismatch becomes an optional item, a
-run of equal items (or of equal pairs and triples) a repeated group, and text that
-differs a slot. What remains is the host's wrapper. Its slots are labelled main
-text or furniture, and each page is read through the wrapper of its host.
+A page is a nested token stream: its block elements, and in them runs of text. A
+text that recurs on a host's pages is a literal token, any other a text slot.
+The streams of one host are aligned two at a time: equal tokens match, a mismatch
+becomes an optional item, a run of equal items (or of equal pairs and triples) a
+repeated group. What remains is the host's wrapper. Each page is then matched
+against it: text that a slot takes is main text, text that a literal takes is
+furniture; element names and classes are priors by which slots of menus, footers,
+comments and the like go, and slots of articles come before others.
 
 Partial wrappers are made within tasks (one for each host a task meets), and
-only these are moved and merged: no task ever holds the pages of a host.
+only these are moved and merged, a bounded number at a time: no task ever holds
+the pages of a host.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ import hashlib
 import html
 import json
 import re
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,21 +32,21 @@ from pyspark.sql import functions as F
 
 from .common import mapped, materialise, table
 
-#: Hosts whose partial wrappers a task holds before it hands them on; items of a wrapper's level
-#: in their order (a level with more is kept by label, one item for each distinct one); labels of a
-#: path that are kept as they are (a digest stands for those below).
-HELD, WIDE, DEEP = 2_000, 120, 40
-#: Total size up to which the wrappers are broadcast; beyond, pages and wrappers are joined by shuffle.
+#: Hosts whose partial wrappers a task holds before it hands them on, and partial wrappers of a host that are merged at a time.
+HELD, MERGED = 2_000, 64
+#: A text is a literal of its host if at least so many different pages, and this share of them, have it.
+LITERAL_PAGES, LITERAL_SHARE = 3, 0.5
+#: Total size up to which what is known of hosts is broadcast; beyond, it is joined to the pages by shuffle.
 BROADCAST_BYTES = 32 * 1024 * 1024
-#: Ways in which a host's pages are dealt in that join, so that a large host is no single task.
-SALT = 64
+#: In that join a host of more pages than HOT is dealt to SALT tasks.
+HOT, SALT = 100_000, 64
 
 # Element names of HTML by role, and words in class, id or role that mark furniture.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style textarea title xmp noscript template iframe noembed noframes svg math object canvas audio video".split())
+RAW = frozenset("script style textarea title xmp template iframe noembed noframes svg canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("aside button datalist dialog fieldset footer form head header input label menu nav optgroup option select".split())
 MAIN = frozenset("article main".split())
@@ -50,6 +56,11 @@ MARKS = frozenset(
     "sidebar signup skip social sponsor sponsored sponsors subscribe toolbar widget".split()
 )
 ROLES = frozenset("alert banner complementary contentinfo dialog menu menubar navigation search status toolbar".split())
+# Marks that hold for an article or main element too: it is a reader's comment.
+COMMENTS = frozenset("comment comments reply replies respond".split())
+# First words of a class that tells of a property (has-comments), and of one that names a part of the article (entry-header).
+TELLS = frozenset("has with no is not without hide show js".split())
+PARTS = frozenset("article post entry story content chapter section title".split())
 # An open element that a start tag closes, if it is the current one.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -59,6 +70,10 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORDS = re.compile(r"[A-Za-z]+|[0-9]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
+HOST_SQL = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+
+# What is known of a block from the elements it stands in: bits, the higher deciding.
+IS_MAIN, SOFT, HARD = 1, 2, 4
 
 
 def host_of(url: str | None) -> str:
@@ -66,45 +81,67 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _digest(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+def digest(text: str) -> int:
+    """64 bits that stand for a text; 0 is left free."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
+
+
+def _marked(names: list[str]) -> bool:
+    """Whether some class marks furniture: a mark alone, or first or last of a compound such as ad-box, site-footer."""
+    for name in names:
+        words = _WORDS.findall(name)
+        if not words or words[0] in TELLS:
+            continue
+        if words[0] in MARKS or (words[-1] in MARKS and not (words[0] in PARTS and words[-1] in ("header", "banner"))):
+            return True
+    return False
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(label, is furniture, is main) of a start tag."""
-    furniture, main, label = tag in FURNITURE, tag in MAIN, tag
+@functools.lru_cache(maxsize=65_536)
+def _label(tag: str, attributes: str) -> tuple[str, int]:
+    """(label, bits) of a start tag; bits of its own: IS_MAIN, SOFT (marked by class or id), HARD (by element or role)."""
+    label, bits, names = tag, HARD if tag in FURNITURE else 0, []
     if "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value = next((v for v in values if v), "").lower()
             if name.lower() == "role":
-                furniture, main = furniture or value in ROLES, main or value == "main"
-                continue
-            words = _WORDS.findall(value)
-            if words and words[0].isalpha() and label == tag:
-                label = f"{tag}.{words[0]}"
-            # a mark alone, or first or last of a compound such as ad-box, site-footer
-            furniture = furniture or any(w in MARKS for w in words[:1] + words[-1:])
-    furniture = furniture and tag not in ("html", "body")
-    main = main and not furniture
-    # the label tells furniture and main apart, so that a label path has one role
-    return label + "!" * furniture + "+" * main, furniture, main
+                bits |= HARD if value in ROLES else IS_MAIN if value == "main" else 0
+            else:
+                names += value.split()
+        words = _WORDS.findall(names[0]) if names else ()
+        if words and words[0].isalpha():
+            label = f"{tag}.{words[0]}"
+    if tag in ("html", "body"):
+        return label, 0
+    if tag in MAIN:
+        return (label, HARD) if COMMENTS.intersection(names) else (label, IS_MAIN)
+    if tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p"):
+        names = [n for n in names if n in MARKS]  # of headings and paragraphs only whole words tell
+    return label, bits | (SOFT if _marked(names) else 0)
+
+
+class Element:
+    """An element that is open where some text stands: label, bits of it and those it stands in, and the item made of it."""
+
+    __slots__ = ("tag", "label", "bits", "above", "item")
+
+    def __init__(self, tag: str, label: str, bits: int, above: Element | None):
+        self.tag, self.label, self.bits, self.above, self.item = tag, label, bits, above, None
 
 
 class Block:
-    """A run of text between block tags: its label path, whether furniture or main stands above it, text and characters of links."""
+    """A run of text between block tags: the element it stands in (if any), its text and its characters in links."""
 
-    __slots__ = ("path", "furniture", "main", "text", "linked")
+    __slots__ = ("element", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], furniture: bool, main: bool, text: str, linked: int):
-        self.path, self.furniture, self.main, self.text, self.linked = path, furniture, main, text, linked
+    def __init__(self, element: Element | None, text: str, linked: int):
+        self.element, self.text, self.linked = element, text, linked
 
 
 def blocks(page: str) -> list[Block]:
     """The non-empty text blocks of a page in order; unclosed and stray tags are borne as browsers do."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, str]] = []  # tag, label, furniture and main so far, digest of the labels from DEEP on
-    path: tuple[str, ...] = ()
-    furniture = main = False
+    stack: list[Element] = []
     pieces: list[str] = []
     link, linked = 0, 0
     at, end = 0, len(page)
@@ -114,17 +151,10 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(path, furniture, main, text, linked))
+                out.append(Block(stack[-1] if stack else None, text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
-    def restate() -> None:
-        nonlocal path, furniture, main
-        path = tuple(x[1] for x in stack[:DEEP])
-        if len(stack) > DEEP:
-            path += (stack[-1][4],)
-        furniture, main = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-
     while at < end:
         token = _TOKEN.search(page, at)
         stop = token.start() if token else end
@@ -143,9 +173,8 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCKS:
                 flush()
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
+                    if stack[k].tag == tag:
                         del stack[k:]
-                        restate()
                         break
             elif tag == "a":
                 link = 0
@@ -156,76 +185,67 @@ def blocks(page: str) -> list[Block]:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else end
             continue
-        if tag == "br" or tag in VOID:
+        if tag in VOID:
             if tag == "hr":
                 flush()
-            else:
-                pieces.append(" " if tag == "br" else "")
+            elif tag == "br":
+                pieces.append(" ")
             continue
         if tag == "a":
             link = 1
             continue
         if tag not in BLOCKS:
-            # inline furniture (buttons, labels) and unknown elements: text stays with the block unless marked
+            # inline furniture (buttons, labels); text of other inline and unknown elements stays with the block
             if tag in ("button", "label") and not token[3].endswith("/>"):
                 close = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
                 at = close.end() if close else at
             continue
         flush()
-        if stack and stack[-1][0] == "p":
+        if stack and stack[-1].tag == "p":
             stack.pop()  # a block ends an open paragraph
         closes = CLOSES.get(tag)
-        while closes and stack and stack[-1][0] in closes:
+        while closes and stack and stack[-1].tag in closes:
             stack.pop()
         if tag == "body":
-            stack[:] = [x for x in stack if x[0] != "head"]
-        label, is_furniture, is_main = _label(tag, token[3])
-        above_furniture, above_main = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        # labels tell furniture and main, so that a digest has one role too
-        tail = "~" + _digest(f"{stack[-1][4]}/{label}") if len(stack) >= DEEP else ""
-        stack.append((tag, label, above_furniture or is_furniture, above_main or (is_main and not above_furniture), tail))
-        restate()
+            stack[:] = [x for x in stack if x.tag != "head"]
+        label, own = _label(tag, token[3])
+        above = stack[-1] if stack else None
+        bits = above.bits if above else 0
+        if tag == "header" and bits & IS_MAIN and own == HARD:
+            own = 0  # the heading of an article
+        stack.append(Element(tag, label, bits | own, above))
     flush()
     return out
 
 
-# A wrapper is a list of items [label, optional, repeated, pages, items below, text, chars, linked, flags].
-# text: None if the item has none, "" for a slot, else the constant's digest; flags: 1 furniture, 2 main; label "(" is a repeated group,
-# "*" the only item of a wide level, below which are its items by label, without order.
-LABEL, OPTIONAL, REPEATED, PAGES, BELOW, TEXT, CHARS, LINKED, FLAGS = range(9)
+# Roles of a text, the higher the better: FALLBACK is an article in what a class marks as furniture.
+DROPPED, FALLBACK, PLAIN, ARTICLE = range(4)
+
+
+def role(bits: int) -> int:
+    """What the elements above a text say of it."""
+    if bits & HARD:
+        return DROPPED
+    if bits & SOFT:
+        return FALLBACK if bits & IS_MAIN else DROPPED
+    return ARTICLE if bits & IS_MAIN else PLAIN
 
 
-def _same_text(a: str | None, b: str | None) -> str | None:
-    if a is None or b is None:
-        return b if a is None else a
-    return a if a == b else ""
+# A wrapper is a list of items [label, optional, repeated, items below, characters, of these in links, places]. The label is that of
+# an element, "#" and a role for a text slot, "=", a role and a digest for a literal, "(" for a group. Characters are summed over
+# pages. Places, in the wrapper of one page only, are the numbers of the blocks that a text item stands for, as a tree of pairs.
+LABEL, OPTIONAL, REPEATED, BELOW, CHARS, LINKED, PLACES = range(7)
 
 
 def _merged(a: list, b: list, along: bool) -> list:
     """One item of two that match; along: two in a row in one page, else of two pages."""
-    return [
-        a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or along, max(a[PAGES], b[PAGES]) if along else a[PAGES] + b[PAGES],
-        align(a[BELOW], b[BELOW], along), _same_text(a[TEXT], b[TEXT]), a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], a[FLAGS] | b[FLAGS],
-    ]
-
-
-def _wide(levels: list[list], along: bool) -> list:
-    """Levels as one that is kept by label; along: all of one page, else each of other pages."""
-    whole: dict[str, list] = {}
-    for level in levels:
-        known = level[0][LABEL] == "*"
-        own: dict[str, list] = {x[LABEL]: x for x in level[0][BELOW]} if known else {}
-        todo = [] if known else level[::-1]
-        while todo:
-            x = todo.pop()
-            if x[LABEL] == "(":
-                todo += x[BELOW][::-1]
-            else:
-                own[x[LABEL]] = _merged(own[x[LABEL]], x, True) if x[LABEL] in own else [x[LABEL], True, True, *x[PAGES:]]
-        for label, x in own.items():
-            whole[label] = _merged(whole[label], x, along) if label in whole else x
-    below = [whole[label] for label in sorted(whole)]
-    return [["*", False, True, max(x[PAGES] for x in below), below, None, 0, 0, 0]]
+    places = b[PLACES] if a[PLACES] is None else a[PLACES] if b[PLACES] is None else (a[PLACES], b[PLACES])
+    below = align(a[BELOW], b[BELOW]) if a[BELOW] or b[BELOW] else a[BELOW]
+    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or along, below, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], places]
+
+
+def _optional(items: list) -> list:
+    return [[x[LABEL], True, *x[REPEATED:]] for x in items]
 
 
 def fold(items: list) -> list:
@@ -237,166 +257,325 @@ def fold(items: list) -> list:
         else:
             out.append(item)
     for width in (2, 3):
-        k = 0
-        while k + 2 * width <= len(out):
-            first, second = out[k : k + width], out[k + width : k + 2 * width]
-            if [x[LABEL] for x in first] == [x[LABEL] for x in second] and "(" not in [x[LABEL] for x in first]:
-                below = [_merged(x, y, True) for x, y in zip(first, second)]
-                group = ["(", False, True, max(x[PAGES] for x in below), below, None, 0, 0, 0]
-                out[k : k + 2 * width] = [group]
-                while [x[LABEL] for x in out[k + 1 : k + 1 + width]] == [x[LABEL] for x in group[BELOW]]:
-                    group[BELOW] = [_merged(x, y, True) for x, y in zip(group[BELOW], out[k + 1 : k + 1 + width])]
-                    del out[k + 1 : k + 1 + width]
-            k += 1
-    return _wide([out], True) if len(out) > WIDE else out
+        if len(out) < 2 * width:
+            break
+        done, k = [], 0
+        while k < len(out):
+            key = [x[LABEL] for x in out[k : k + width]]
+            to = k + width
+            if len(key) == width and "(" not in key:
+                while [x[LABEL] for x in out[to : to + width]] == key:
+                    to += width
+            if to - k >= 2 * width:
+                below = out[k : k + width]
+                for turn in range(k + width, to, width):
+                    below = [_merged(x, y, False) for x, y in zip(below, out[turn : turn + width])]
+                done.append(["(", False, True, below, 0, 0, None])
+                k = to
+            else:
+                done.append(out[k])
+                k += 1
+        out = done
+    return out
 
 
 def _key(item: list) -> str:
-    return item[LABEL] + ",".join(x[LABEL] for x in item[BELOW]) if item[LABEL] == "(" else item[LABEL]
+    return "(" + ",".join(x[LABEL] for x in item[BELOW]) if item[LABEL] == "(" else item[LABEL]
+
+
+def _grouped(items: list, groups: dict[tuple, list]) -> list:
+    """items with those that follow each other as in a group of the other side made such a group (of one turn)."""
+    if not groups:
+        return items
+    labels, out, k = [x[LABEL] for x in items], [], 0
+    while k < len(items):
+        for key in groups:
+            if tuple(labels[k : k + len(key)]) == key:
+                out.append(["(", False, False, items[k : k + len(key)], 0, 0, None])
+                k += len(key)
+                break
+        else:
+            out.append(items[k])
+            k += 1
+    return out
 
 
-def align(a: list, b: list, along: bool = False) -> list:
-    """Two levels aligned by the longest common subsequence of labels; what only one has becomes optional."""
-    if not a or not b:
-        return [[*x[:OPTIONAL], True, *x[REPEATED:]] for x in a or b]
-    if "*" in (a[0][LABEL], b[0][LABEL]):
-        return _wide([a, b], along)
-    ka, kb = list(map(_key, a)), list(map(_key, b))
-    if ka == kb:
-        return [_merged(x, y, along) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if ka[i] == kb[j]:
-            out.append(_merged(a[i], b[j], along))
+def _pairs(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
+    """Places of a and b that match, rising in both.
+
+    Equal beginnings and ends match; between them the n-th occurrences of a key are
+    partners, of which the longest rising run matches, and so on within its gaps.
+    It takes n log n at any length.
+    """
+    todo = [(0, len(a), 0, len(b))]
+    found = []
+    while todo:
+        i, m, j, n = todo.pop()
+        while i < m and j < n and a[i] == b[j]:
+            found.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:OPTIONAL], True, *a[i][REPEATED:]])
-            i += 1
-        else:
-            out.append([*b[j][:OPTIONAL], True, *b[j][REPEATED:]])
-            j += 1
-    out += [[*x[:OPTIONAL], True, *x[REPEATED:]] for x in a[i:] + b[j:]]
-    return fold(out)
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            found.append((m, n))
+        if i == m or j == n:
+            continue
+        places, seen = {}, {}
+        for q in range(j, n):
+            nth = seen[b[q]] = seen.get(b[q], 0) + 1
+            places[b[q], nth] = q
+        seen, ends, last, before = {}, [], [], {}
+        for p in range(i, m):
+            nth = seen[a[p]] = seen.get(a[p], 0) + 1
+            q = places.get((a[p], nth))
+            if q is not None:
+                k = bisect_left(ends, q)
+                before[q] = p, last[k - 1] if k else None
+                ends[k:], last[k:] = ([q], [q]) if k == len(ends) else ([q, *ends[k + 1 :]], [q, *last[k + 1 :]])
+        q = last[-1] if last else None
+        if q is None:
+            continue
+        after_p, after_q = m, n
+        while q is not None:
+            p, former = before[q]
+            found.append((p, q))
+            todo.append((p + 1, after_p, q + 1, after_q))
+            after_p, after_q, q = p, q, former
+        todo.append((i, after_p, j, after_q))
+    return iter(sorted(found))
+
+
+def matched(a: list, b: list) -> Iterator[tuple[list | None, list | None]]:
+    """Items of two levels in a common order, None where the other side has no partner."""
+    groups = [{tuple(x[LABEL] for x in item[BELOW]): item for item in side if item[LABEL] == "("} for side in (a, b)]
+    a, b = _grouped(a, groups[1]), _grouped(b, groups[0])
+    i = j = 0
+    for p, q in [*_pairs(list(map(_key, a)), list(map(_key, b))), (len(a), len(b))]:
+        yield from ((x, None) for x in a[i:p])
+        yield from ((None, y) for y in b[j:q])
+        if p < len(a):
+            yield a[p], b[q]
+        i, j = p + 1, q + 1
+
+
+def align(a: list, b: list) -> list:
+    """Two levels as one: what matches is merged, what only one has becomes optional."""
+    if not a or not b:
+        return _optional(a or b)
+    out, optional = [], False
+    for x, y in matched(a, b):
+        optional = optional or x is None or y is None
+        out.append(_merged(x, y, False) if x is not None and y is not None else _optional([x or y])[0])
+    return fold(out) if optional else out
 
 
-def page_wrapper(found: list[Block]) -> list:
+def page_wrapper(found: list[Block], literals: frozenset[int] = frozenset()) -> list:
     """The wrapper of one page: its blocks as nested items, folded from the innermost out."""
     top: list = []
-    open_path: tuple[str, ...] = ()
-    open_items: list = []  # the item at each depth of open_path
-    for b in found:
-        same = 0
-        while same < len(open_path) and same < len(b.path) and open_path[same] == b.path[same]:
-            same += 1
-        if same == len(b.path) and same:
-            same -= 1  # the block stands in a fresh element of the same label, or after one below it
-        del open_items[same:]
-        for label in b.path[same:]:
-            item = [label, False, False, 1, [], None, 0, 0, 0]
-            (open_items[-1][BELOW] if open_items else top).append(item)
-            open_items.append(item)
-        if not open_items:
-            item = ["#", False, False, 1, [], None, 0, 0, 0]
-            top.append(item)
-            open_items.append(item)
-        item = open_items[-1]
-        # a constant is kept by its digest, which bounds a wrapper's size
-        item[TEXT] = _same_text(item[TEXT], _digest(b.text))
-        item[CHARS] += len(b.text)
-        item[LINKED] += min(b.linked, len(b.text))
-        item[FLAGS] |= b.furniture | b.main << 1
-        open_path = b.path
-
-    def folded(items: list) -> list:
-        for x in items:
-            x[BELOW] = folded(x[BELOW])
-        return fold(items)
-
-    return folded(top)
-
-
-def roles(wrapper: list, pages: int) -> dict[str, int]:
-    """Label path -> 2 for slots in a main element (article, main), 1 for other main text, 0 for furniture.
-
-    Other main text is what a page without main elements is read for: slots that
-    vary over the host's pages, links apart, and if nothing varies (one page, or
-    copies) all that isn't mostly links.
+    for at, b in enumerate(found):
+        fresh, element = [], b.element
+        while element is not None and element.item is None:
+            fresh.append(element)
+            element = element.above
+        level = top if element is None else element.item[BELOW]
+        for element in reversed(fresh):
+            element.item = [element.label, False, False, [], 0, 0, None]
+            level.append(element.item)
+            level = element.item[BELOW]
+        r = role(b.element.bits if b.element else 0)
+        known = digest(b.text) if literals else 0
+        level.append([f"={r}{known}" if known in literals else f"#{r}", False, False, [], len(b.text), b.linked, at])
+    return _folded(top)
+
+
+def _folded(items: list) -> list:
+    # innermost levels first, without recursion: pages may be nested to any depth
+    order, todo = [], [items]
+    while todo:
+        level = todo.pop()
+        order.append(level)
+        todo += [x[BELOW] for x in level if x[BELOW]]
+    for level in reversed(order):
+        level[:] = fold(level)
+    return items
+
+
+def packed(wrapper: list) -> str:
+    """A wrapper as JSON: its items in order with their depth, so that any depth can be written."""
+    out, todo = [], [(0, x) for x in reversed(wrapper)]
+    while todo:
+        depth, x = todo.pop()
+        out.append([depth, x[LABEL], int(x[OPTIONAL]), int(x[REPEATED]), x[CHARS], x[LINKED]])
+        todo += [(depth + 1, y) for y in reversed(x[BELOW])]
+    return json.dumps(out, separators=(",", ":"), ensure_ascii=False)
+
+
+def unpacked(text: str) -> list:
+    levels: list[list] = [[]]
+    for depth, label, optional, repeated, chars, linked in json.loads(text):
+        item = [label, bool(optional), bool(repeated), [], chars, linked, None]
+        del levels[depth + 1 :]
+        levels[depth].append(item)
+        levels.append(item[BELOW])
+    return levels[0]
+
+
+def _deep(work):
+    """Runs work where wrappers may be nested to any depth."""
+
+    @functools.wraps(work)
+    def run(*arguments):
+        if sys.getrecursionlimit() < 1_000_000:
+            sys.setrecursionlimit(1_000_000)
+        return work(*arguments)
+
+    return run
+
+
+class Wrapper:
+    """A host's wrapper, to read its pages by; without one (None) a page's own elements decide."""
+
+    def __init__(self, wrapper: list | None, literals: frozenset[int] = frozenset()):
+        self.items, self.literals = wrapper or [], literals
+        slots = fixed = 0
+        todo = list(self.items)
+        while todo:
+            x = todo.pop()
+            todo += x[BELOW]
+            if x[LABEL][0] in "#=" and int(x[LABEL][1]) >= PLAIN and 2 * x[LINKED] <= x[CHARS]:
+                fixed, slots = fixed + x[CHARS] * (x[LABEL][0] == "="), slots + x[CHARS] * (x[LABEL][0] == "#")
+        #: more fixed than varying main text: the pages are copies of each other, not alike by their template
+        self.copies = fixed > slots
+
+    def role(self, item: list, slot: list | None) -> int:
+        """The role of a page's text item that the wrapper's item `slot` (None: no item) takes."""
+        own = int(item[LABEL][1])
+        if item[LABEL][0] == "=" and not self.copies:
+            return DROPPED
+        # outside articles, what stands mostly in links over the host's pages (or, on a page alone, here) is a menu
+        x = slot or item
+        return DROPPED if own == PLAIN and 2 * x[LINKED] > x[CHARS] else own
+
+    @_deep
+    def roles(self, found: list[Block]) -> list[int]:
+        """The role of each block of a page, by matching the page against the wrapper."""
+        out = [DROPPED] * len(found)
+        todo = [(page_wrapper(found, self.literals), self.items)]
+        while todo:
+            for x, y in matched(*todo.pop()):
+                if x is None:
+                    continue
+                if x[LABEL][0] in "#=":
+                    r, places = self.role(x, y), [x[PLACES]]
+                    while places:
+                        at = places.pop()
+                        if type(at) is tuple:
+                            places += at
+                        else:
+                            out[at] = r
+                else:
+                    todo.append((x[BELOW], y[BELOW] if y else []))
+        return out
+
+
+def main_text(page: str | None, wrapper: Wrapper | None) -> str:
+    """The main text of a page read through its host's wrapper: its blocks of the best role there is."""
+    found = blocks(page or "")
+    known = (wrapper or Wrapper(None)).roles(found)
+    best = max(known, default=DROPPED)
+    return "\n".join(b.text for b, r in zip(found, known) if r == best and r)
+
+
+def _host(url: str | None):
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST_SQL, 1))
+
+
+def _with_host(pages: DataFrame, known: DataFrame, hot: DataFrame) -> DataFrame:
+    """pages (host, ...) with the columns of known (host, ...: strings or arrays), null where it has no such host.
+
+    Known rows are broadcast up to BROADCAST_BYTES, by a sum over them; beyond,
+    both sides are shuffled by host, those of hot hosts dealt to SALT tasks each. Hot hosts are
+    broadcast: they are at most the number of pages divided by HOT.
     """
-    found: dict[str, list] = {}
+    columns = [c for c in known.columns if c != "host"]
+    size = known.agg(F.sum(F.length("host") + 64 + sum(F.length(F.col(c).cast("string")) for c in columns))).first()[0] or 0
+    known = known.withColumnRenamed("host", "__host")
+    if size <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(known), pages["host"] == F.col("__host"), "left").drop("__host")
+    hot = F.broadcast(hot.select(F.col("host").alias("__hot")))
+    salt = F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("url", "page_id"), F.lit(SALT)).cast("int"))
+    dealt = pages.join(hot, pages["host"] == F.col("__hot"), "left").withColumn("__salt", salt).drop("__hot")
+    turns = F.when(F.col("__hot").isNull(), 0).otherwise(SALT - 1)
+    named = known.join(hot, F.col("__host") == F.col("__hot"), "left").withColumn("__deal", F.explode(F.sequence(F.lit(0), turns))).drop("__hot")
+    return dealt.join(named, (F.col("host") == F.col("__host")) & (F.col("__salt") == F.col("__deal")), "left").drop("__host", "__deal", "__salt")
 
-    def walk(items: list, path: tuple[str, ...]) -> None:
-        for x in items:
-            own = path if x[LABEL] in ("(", "*") else (*path, x[LABEL])
-            if x[TEXT] is not None:
-                old = found.setdefault("/".join(own), [None, 0, 0, 0, 0])
-                old[0] = _same_text(old[0], x[TEXT])
-                old[1], old[2], old[3] = old[1] + x[CHARS], old[2] + x[LINKED], old[3] | x[FLAGS]
-                old[4] = max(old[4], x[PAGES])
-            walk(x[BELOW], own)
 
-    walk(wrapper, ())
-    plain = {k for k, x in found.items() if not x[3] & 1 and 2 * x[2] <= x[1]}
-    varies = pages > 1 and any(found[k][0] == "" for k in plain)
-    return {k: 0 if x[3] & 1 else 2 if x[3] & 2 else int(k in plain and (x[0] == "" or not varies or x[4] < 2)) for k, x in found.items()}
+def literals(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, literals) and (host, pages) of hosts with more than HOT different pages.
+
+    Only digests are moved: (host, text, page) without repeats, then their counts.
+    A host has at most its blocks a page divided by LITERAL_SHARE of them.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for url, page in zip(pdf["url"], pdf["html"]):
+                texts = [digest(b.text) for b in blocks(page or "")]
+                if texts:
+                    same = digest(repr(texts))  # pages of the same texts are one
+                    out += [(host_of(url), t, same) for t in {0, *texts}]
+            yield pd.DataFrame(out, columns=["host", "text", "page"])
+
+    seen = pages.select("url", "html").mapInPandas(run, "host string, text long, page long").distinct()
+    counts = materialise(seen.groupBy("host", "text").count().where(F.col("count") >= LITERAL_PAGES), "page-texts")
+    totals = counts.where("text = 0").select(F.col("host").alias("__host"), F.col("count").alias("__pages"))
+    both = counts.where("text <> 0").join(totals, F.col("host") == F.col("__host"))
+    often = both.where(F.col("count") >= F.lit(LITERAL_SHARE) * F.col("__pages"))
+    found = materialise(often.groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("literals")), "literals")
+    return found, materialise(totals.where(F.col("__pages") > HOT).select(F.col("__host").alias("host"), F.col("__pages").alias("pages")), "hot-hosts")
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, roles): one row for each host, with the labelled slots of its wrapper as JSON."""
+    """pages (host, html, literals) -> (host, wrapper): one row for each host, its wrapper packed."""
+    schema = "host string, wrapper string"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
+        align_deep = _deep(align)
 
         def out() -> pd.DataFrame:
-            rows = [(h, n, json.dumps(w)) for h, (n, w) in held.items()]
+            rows = [(h, packed(w)) for h, w in held.items()]
             held.clear()
-            return pd.DataFrame(rows, columns=["host", "pages", "wrapper"])
+            return pd.DataFrame(rows, columns=["host", "wrapper"])
 
         for pdf in batches:
-            for url, page in zip(pdf["url"], pdf["html"]):
-                host, own = host_of(url), page_wrapper(blocks(page or ""))
-                n, w = held.get(host, (0, None))
-                held[host] = n + 1, own if w is None else align(w, own)
+            for host, page, known in zip(pdf["host"], pdf["html"], pdf["literals"]):
+                own = _deep(page_wrapper)(blocks(page or ""), frozenset(known) if known is not None else frozenset())
+                held[host] = align_deep(held[host], own) if host in held else own
             if len(held) > HELD:
                 yield out()
         if held:
             yield out()
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["wrapper", "pages"])
-        merged = functools.reduce(align, map(json.loads, pdf["wrapper"]))
-        return pd.DataFrame({"host": [pdf["host"].iat[0]], "pages": [int(pdf["pages"].sum())], "wrapper": [json.dumps(merged)]})
-
-    schema = "host string, pages long, wrapper string"
-    parts = pages.select("url", "html").mapInPandas(partial, schema)
-    # by host and a share of its parts first, so that a host met by every task is merged in many places
-    some = parts.withColumn("share", F.pmod(F.xxhash64("wrapper"), F.lit(8))).groupBy("host", "share")
-    some = some.applyInPandas(lambda pdf: whole(pdf), schema)
+        merged: list = []
+        for k, text in enumerate(pdf["wrapper"].sort_values()):
+            merged = _deep(align)(merged, unpacked(text)) if k else unpacked(text)
+        return pd.DataFrame({"host": [pdf["host"].iat[0]], "wrapper": [packed(merged)]})
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = whole(pdf)
-        return pd.DataFrame({"host": one["host"], "roles": [json.dumps(roles(json.loads(one["wrapper"].iat[0]), int(one["pages"].iat[0])))]})
+    parts = materialise(pages.select("host", "html", "literals").mapInPandas(partial, schema), "wrappers")
+    while True:  # a host's parts are merged some at a time, so that no task holds all of a host's
+        most = parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        if most <= 1:
+            return parts
+        turns = -(-most // MERGED)
+        share = F.pmod(F.xxhash64("wrapper", F.monotonically_increasing_id()), F.lit(turns))
+        parts = materialise(parts.withColumn("share", share).groupBy("host", "share").applyInPandas(lambda pdf: whole(pdf), schema), "wrappers")
 
-    return some.groupBy("host").applyInPandas(label, "host string, roles string")
 
-
-@functools.lru_cache(maxsize=4096)
-def _roles(text: str) -> dict[str, int]:
-    return json.loads(text)
-
-
-def main_text(page: str | None, known: dict[str, int] | None) -> str:
-    """The main text of a page read through the slots of its host's wrapper.
-
-    A block that the wrapper has no slot for goes by the marks that stand above it.
-    """
-    found = [(b, (known or {}).get("/".join(b.path) or "#", 0 if b.furniture else 2 if b.main else 1)) for b in blocks(page or "")]
-    best = max((role for _, role in found), default=0)
-    return "\n".join(b.text for b, role in found if role == best and role)
+@functools.lru_cache(maxsize=1024)
+def _wrapper(text: str, known: tuple[int, ...]) -> Wrapper:
+    return Wrapper(unpacked(text), frozenset(known))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -405,29 +584,24 @@ def extract(pages: DataFrame) -> DataFrame:
     The text is the page's main blocks joined by a line feed, character
     references decoded, white space made one space; "" if there is none, or html
     is null. A page without a host is one of the host "". Pages of any length are
-    read whole; repeated rows are answered each; other columns are ignored.
+    read whole, elements nested to any depth; repeated rows are answered each; other columns are ignored.
+    An empty table gives an empty result.
     """
-    known = materialise(infer(pages), "wrappers")
-    size = known.agg(F.sum(F.length("roles") + F.length("host") + 64)).first()[0] or 0
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    own = pages.select("page_id", "url", "html", host.alias("host"))
-    named = known.select(F.col("host").alias("__host"), "roles")
-    if size <= BROADCAST_BYTES:
-        both = own.join(F.broadcast(named), own["host"] == F.col("__host"), "left")
-    else:
-        dealt = own.withColumn("__salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALT)))
-        named = named.withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-        both = dealt.join(named, (F.col("host") == F.col("__host")) & (F.col("__salt") == F.col("__deal")), "left")
+    own = pages.select("page_id", "url", "html", _host("url").alias("host"))
+    fixed, hot = literals(own)
+    own = _with_host(own, fixed, hot)
+    both = _with_host(own, infer(own), hot)
 
     def make():
-        def run(texts: list, named: list) -> tuple:
-            found = [main_text(h, _roles(r) if r else None) for h, r in zip(texts, named)]
+        def run(texts: list, wrappers: list, known: list) -> tuple:
+            found = [main_text(h, _wrapper(w, tuple(k or ())) if w else None) for h, w, k in zip(texts, wrappers, known)]
             return found, list(map(len, found))
 
         return run
 
-    return mapped(both, ["page_id", "url"], ["html", "roles"], make, {"text": ("string", pa.string()), "n_chars": ("long", pa.int64())})
+    return mapped(both, ["page_id", "url"], ["html", "wrapper", "literals"], make, {"text": ("string", pa.string()), "n_chars": ("long", pa.int64())})
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract() of the whole table `pages`; nulls, empty and long pages, repeated rows and an empty table as there."""
     return extract(table(spark, sf_dir, "pages"))
