@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, components, cube_mix, feistel_shard, fm_quality, html_wrappers, pii_boost, quality_rules, simhash_dedup, token_cache, topk_search
+from corpusloom.llm import byte_bpe, components, cube_mix, feistel_shard, fm_quality, html_wrappers, pii_boost, quality_rules, simhash_dedup, token_cache
 
 
 @given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=4, unique=True))
@@ -147,25 +147,6 @@ def test_base_spans(parts):
     assert sorted(pii_boost.base_spans(text)) == sorted(pii(text))
 
 
-@given(st.integers(1, 5), st.integers(1, 60))
-@settings(max_examples=40, deadline=None)
-def test_search_group(seed, n):
-    rng = np.random.default_rng(seed)
-    v, ids = rng.integers(-40, 40, (n, 6)), rng.permutation(n) * 3
-    q, got, score, scored = topk_search.search_group(ids[:7], v[:7], ids, v, 3, block=4)
-    for k in range(min(7, n)):
-        want = sorted((-int(v[k] @ v[j]), int(ids[j])) for j in range(n) if ids[j] != ids[k])[:3]
-        assert sorted((-int(s), int(i)) for a, i, s in zip(q, got, score) if a == k) == want
-    assert scored <= min(7, n) * -(-n // 4)
-
-
-def test_blocks_are_pruned():
-    rng = np.random.default_rng(0)
-    v = np.concatenate([rng.integers(-3, 3, (256, 8)), rng.integers(200, 220, (32, 8))])
-    *_, scored = topk_search.search_group(np.array([-1]), np.ones((1, 8), np.int64), np.arange(len(v)), v, 5, block=32)
-    assert scored < len(v) / 32
-
-
 @pytest.mark.parametrize("n", [1, 2, 3, 24, 25, 100, 4097])
 def test_permutation(spark, n):
     got = [r.p for r in spark.range(n).select(feistel_shard.permuted(F.col("id"), n).alias("p")).collect()]
@@ -180,31 +161,11 @@ def test_write_shards(spark, small, tmp_path):
     assert sum(counts) == docs.count() and max(counts) - min(counts) <= 1
 
 
-def test_wrapper_shapes():
-    page = lambda k, extra="": f"<body><nav><ul><li><a>A</a><li><a>B</a></ul></nav><div class=story><h2>T{k}</h2><p>x{k}</p><p>y{k}</p>{extra}</div><div class=legal>All rights</div></body>"
-    a, b = (html_wrappers.page_wrapper(html_wrappers.blocks(page(k, e))) for k, e in ((1, ""), (2, "<table><tr><td>z</td></tr></table>")))
-    merged = html_wrappers.align(a, b)
-    known = html_wrappers.roles(merged, 2)
-    body = merged[0]
-    story = next(x for x in body[html_wrappers.BELOW] if x[0] == "div.story")
-    assert [(x[0], x[1], x[2]) for x in story[html_wrappers.BELOW]] == [("h2", False, False), ("p", False, True), ("table", True, False)]
-    # without a main element, what varies is main text and what all pages share is not
-    assert html_wrappers.main_text(page(1), known) == "T1\nx1\ny1"
-
-
-def test_repeated_groups():
-    text = "<body><main>" + "".join(f"<h2>{k}</h2><p>{k}</p>" for k in range(5)) + "</main></body>"
-    wrapper = html_wrappers.page_wrapper(html_wrappers.blocks(text))
-    group = wrapper[0][html_wrappers.BELOW][0][html_wrappers.BELOW]
-    assert [x[0] for x in group] == ["("] and [x[0] for x in group[0][html_wrappers.BELOW]] == ["h2", "p"]
-    assert html_wrappers.main_text(text, html_wrappers.roles(wrapper, 1)).split() == [str(k) for k in range(5) for _ in "ab"]
-
-
 @given(st.text(alphabet="<>/ab p\"'=&;!-#3", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_any_markup_is_borne(text):
     found = html_wrappers.blocks(text)
-    html_wrappers.roles(html_wrappers.page_wrapper(found), 1)
+    html_wrappers.main_text(text, html_wrappers.Wrapper(html_wrappers.page_wrapper(found)))
     assert all(b.text and b.text == b.text.strip() for b in found)
 
 
