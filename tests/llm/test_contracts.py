@@ -143,7 +143,8 @@ def luhn(d):
 
 def pii(text):
     out, digits = [], lambda s: re.sub("[^0-9]", "", s)
-    out += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    if "@" in text:  # else each start would be tried to the text's end
+        out += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
     out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
     out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
@@ -153,7 +154,7 @@ def pii(text):
 def test_pii(spark, small):
     want = []
     for r in rows():
-        s = pii(r[1] or "") if (r[1] or "")[:10] != "x" * 10 else []
+        s = pii(r[1] or "")
         names = [x[0] for x in s]
         want.append((r[0], *(names.count(k) for k in ("email", "ip", "card", "phone")), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in s).encode()).hexdigest()))
     got = result(spark, small, 6)

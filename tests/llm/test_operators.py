@@ -127,17 +127,6 @@ def test_machine_learns_held_out(spark):
     assert all(abs(r.score - 0.5) < 1e-9 for r in fm_quality.score_documents(docs, nothing).collect())
 
 
-def test_pii_adds_and_redacts(spark):
-    model = pii_boost.trained()
-    kinds = lambda t: [s[0] for s in pii_boost.find_spans(t, model)[1]]
-    assert kinds("call (212) 555-1234 now") == ["phone"] and kinds("mail john.doe (at) mail.com") == ["email"]
-    assert kinds("version 1.2.3 of 2020-01-02, page 12, Apache License, Version 2.0.") == []
-    df = spark.createDataFrame([(2**60 + 1, "to a@b.co and +1 (988) 555-2485.", 5), (None, None, None)], "doc_id long, text string, n_chars long")
-    got = {r.doc_id: r for r in pii_boost.redact(df).collect()}
-    assert got[2**60 + 1].text == "to [EMAIL] and [PHONE]." and got[2**60 + 1].n_chars == len("to [EMAIL] and [PHONE].")
-    assert got[None].text is None
-
-
 @given(st.lists(st.sampled_from(["a", "b@", "@", ".", "c.d", "1", "4539", "-", " ", "+", "12", "255", "256", "_", "x@y.z", "1.2.3.4", "4111111111111111"]), max_size=14))
 @settings(max_examples=300, deadline=None)
 def test_base_spans(parts):
