@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -23,26 +24,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where it is unset and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: the cluster must name a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "corpusloom-scratch")
     return root.rstrip("/")
 
 
-_written: list[str] = []
+#: Scratch tables of each open scratch(), innermost last; the first list is of those outside of any.
+_scopes: list[list[str]] = [[]]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    _written.append(f"{scratch_root(spark)}/corpusloom/{label}-{uuid.uuid4().hex}")
-    return _written[-1]
+    """A fresh folder for a scratch table, which goes with the innermost scratch()."""
+    _scopes[-1].append(f"{scratch_root(spark)}/corpusloom/{label}-{uuid.uuid4().hex}")
+    return _scopes[-1][-1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made within, at its end: what is wanted of them must have been written elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the scratch tables that this process has written, once no result that reads them is wanted any more."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all scratch tables that this process has written, once no result that reads them is wanted any more."""
+    for paths in _scopes:
+        while paths:
+            delete(spark, paths.pop())
+
+
+def written(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write df to path and read it back."""
+    writer = df.write.mode("overwrite").option("compression", "zstd")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -51,13 +81,30 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     Cuts the lineage in a way that survives lost executors, and makes what is
     read twice (counts and rows, both sides of a self-join) the same rows.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, scratch_path(df.sparkSession, label), partition_by)
+
+
+#: A key is hot if it has more rows than this, and than that share of all: so there are at most HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
+
+
+def join_unique(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) to right, whose key is unique, however many rows of left have one key.
+
+    Rows of hot keys meet theirs by a broadcast of HOT_KEYS rows at most, where
+    they are; only the others are shuffled. Both sides must have been written.
+    """
+    n = left.count()
+    hot = left.where(F.col(left_key).isNotNull()).groupBy(left_key).count().where(F.col("count") > max(HOT_ROWS, n // HOT_KEYS))
+    hot = materialise(hot.select(F.col(left_key).alias("__hot")), "hot-keys")
+    if not hot.limit(1).count():
+        return left.join(right.hint("merge"), left[left_key] == right[right_key], how)
+    few = F.broadcast(hot)
+    their = F.broadcast(right.join(few, right[right_key] == F.col("__hot"), "left_semi"))
+    often = left.join(few, left[left_key] == F.col("__hot"), "left_semi")
+    seldom = left.join(few, left[left_key] == F.col("__hot"), "left_anti")
+    rest = right.join(few, right[right_key] == F.col("__hot"), "left_anti")
+    return often.join(their, often[left_key] == their[right_key], how).unionByName(seldom.join(rest.hint("merge"), seldom[left_key] == rest[right_key], how))
 
 
 def words(text: Column | str) -> Column:

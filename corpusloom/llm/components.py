@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_unique, materialise
 
 #: Rows that a task holds before it emits what it has contracted: bounds its memory.
 CONTRACT_ROWS = 2_000_000
@@ -73,8 +73,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             )
         # large star: every root of b -> least root of b; small star: a chained low -> its own low
         tops = least.select(F.col("b").alias("key"), F.col("low").alias("top"))
-        across = stars.join(tops, stars["b"] == tops["key"]).select("a", "b", "top")
+        across = materialise(stars.join(tops, stars["b"] == tops["key"]).select("a", "b", "top"), "cc-across")
         linked = across.where("a <> top").select(F.col("top").alias("a"), F.col("a").alias("b")).unionByName(across.select(F.col("top").alias("a"), "b"))
-        up = linked.join(tops.withColumnRenamed("top", "over"), linked["a"] == F.col("key"), "left")
+        # a root of many nodes is looked up without gathering its rows
+        up = join_unique(linked, tops.withColumnRenamed("top", "over"), "a", "key", "left")
         jumped = up.select(F.coalesce("over", "a").alias("a"), "b").unionByName(up.where("over is not null").select(F.col("over").alias("a"), F.col("a").alias("b")))
         stars = materialise(jumped.where("a <> b").distinct().mapInPandas(_contract, "a long, b long"), "cc")

@@ -7,7 +7,8 @@ are cut into bands; by the pigeonhole principle a linked pair differs in at most
 pattern on the other bits. A fingerprint's home is the code word nearest to it,
 and it is replicated to every code word (anchor) within covering radius plus
 threshold that can be the home of a linked one. Homes and replicas of an anchor
-are compared there. Documents of one fingerprint are one class throughout, so
+are compared there; of the links found only a forest leaves, so that a dense cluster
+costs its rows and not its pairs. Documents of one fingerprint are one class throughout, so
 copies are never expanded to pairs; the links are between different fingerprints.
 """
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, materialise, table
+from .common import join_unique, mapped, materialise, table
 from .components import connected_components
 
 SEED = 42
@@ -112,32 +113,139 @@ def anchors(fps: np.ndarray, bands: int, threshold: int) -> tuple[np.ndarray, np
     return np.concatenate(index), np.concatenate(keys), np.concatenate(homes)
 
 
-def links(distinct: DataFrame, threshold: int = 4, bands: int = 3) -> DataFrame:
-    """(a, b) with a < b for every pair of different fingerprints at `threshold` or fewer bits.
+def replicas(bands: int, threshold: int) -> tuple[float, float]:
+    """(replicas of a fingerprint, share of all evenly spread fingerprints that it is compared with), over all bands: means of a few."""
+    some = np.random.default_rng(1).integers(-(2**63), 2**63, 256)
+    _, keys, home = anchors(some, bands, threshold)
+    made = np.bincount((keys[~home] >> 40).astype(int), minlength=bands) / len(some)
+    return float(made.sum()), float(sum(n / 2.0 ** (width - CHECK_BITS) for n, (_, width) in zip(made, _bands(bands))))
+
+
+def planned_bands(distinct: int, threshold: int = 4) -> int:
+    """How many bands cost least for so many different fingerprints: replicas to move (each as dear as 100 comparisons) and comparisons."""
+    cost = {}
+    for bands in range(2, threshold + 1):
+        if 64 // bands >= CODE_BITS:
+            made, share = replicas(bands, threshold)
+            cost[bands] = 100.0 * made * distinct + share * distinct**2
+    return min(cost, key=lambda bands: (cost[bands], -bands)) if cost else 1
+
+
+#: Homes, and replicas, of an anchor that are compared in one place; an anchor of more is cut. Pairs held at a time.
+TILE, PAIRS = 32_768, 2_000_000
+
+
+def forest(homes: np.ndarray, visitors: np.ndarray, first: np.ndarray, last: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect what is linked: visitor i is compared with homes first[i] to last[i]. At most one link for each home and visitor."""
+    root = np.arange(len(homes))
+    tied = np.full(len(visitors), -1)  # a home that the visitor is linked to
+    at = 0
+    sizes = np.cumsum(last - first)
+    while at < len(visitors):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PAIRS, side="right")))
+        n = (last - first)[at:end]
+        v = np.repeat(np.arange(at, end), n)
+        h = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:end], n)
+        apart = np.bitwise_count(homes[h].view(np.uint64) ^ visitors[v].view(np.uint64))
+        near = (apart <= threshold) & (apart > 0)
+        v, h = v[near], h[near]
+        while len(v):  # homes that a visitor links take their least root, until none changes
+            least = np.full(end - at, len(homes))
+            own = root[h]
+            np.minimum.at(least, v - at, own)
+            new = least[v - at]
+            if (new == own).all():
+                tied[v] = new
+                break
+            np.minimum.at(root, own, new)
+            np.minimum.at(root, h, new)
+            while (root[root] != root).any():
+                root = root[root]
+        at = end
+    moved = np.nonzero(root != np.arange(len(homes)))[0]
+    seen = np.nonzero(tied >= 0)[0]
+    a = np.concatenate((homes[root[moved]], homes[root[tied[seen]]]))
+    b = np.concatenate((homes[moved], visitors[seen]))
+    differ = a != b
+    return np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+
+
+def _near(threshold: int):
+    """Task that compares rows (anchor, p, q, fp, home) sorted by anchor, p, q and homes first."""
+
+    def found(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        fps, home = pdf["fp"].to_numpy(np.int64), pdf["home"].to_numpy(bool)
+        group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        counts = np.bincount(group[home], minlength=len(edges) - 1)
+        ends = np.cumsum(counts)
+        a, b = forest(fps[home], fps[~home], (ends - counts)[group[~home]], ends[group[~home]], threshold)
+        return pd.DataFrame({"a": a, "b": b})
 
-    The rows of an anchor are joined on its key with a check of the distance in
-    the join itself, so only true links leave it; a hot anchor's partition is
-    split by the adaptive skew join.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        n = 0
+        for pdf in batches:
+            held.append(pdf)
+            n += len(pdf)
+            if n < 4 * TILE:
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            key = whole[["anchor", "p", "q"]].to_numpy(np.int64)
+            starts = np.concatenate(([0], np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1))
+            if len(starts) > 1:  # the last group may go on
+                yield found(whole.iloc[: starts[-1]], starts)
+                held = [whole.iloc[starts[-1] :]]
+            else:
+                held = [whole]
+            n = len(held[0])
+        if held:
+            whole = pd.concat(held, ignore_index=True)
+            if len(whole):
+                key = whole[["anchor", "p", "q"]].to_numpy(np.int64)
+                starts = np.concatenate(([0], np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1, [len(whole)]))
+                yield found(whole, starts)
+
+    return run
+
+
+def links(distinct: DataFrame, threshold: int = 4, bands: int | None = None) -> DataFrame:
+    """(a, b) with a < b: links between different fingerprints at `threshold` or fewer bits, enough to connect all that are linked.
+
+    Each anchor's homes and replicas meet in one place, where a forest of their links
+    is made: at most one link a row. An anchor of more than TILE homes or replicas is cut into tiles,
+    each share of its homes meeting each share of its replicas; such anchors are at most all rows
+    divided by TILE, and so may be broadcast. bands only decide the cost (planned_bands, if not given).
     """
+    if bands is None:
+        bands = planned_bands(distinct.count(), threshold)
     if 64 // bands < CODE_BITS:
         raise ValueError(f"bands of {64 // bands} bits are shorter than the code's {CODE_BITS}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = pdf["fp"].to_numpy(np.int64)
-            for at in range(0, len(fps), 20_000):
-                part = fps[at : at + 20_000]
+            for at in range(0, len(fps), 4_000):
+                part = fps[at : at + 4_000]
                 i, key, home = anchors(part, bands, threshold)
                 yield pd.DataFrame({"anchor": key, "fp": part[i], "home": home})
 
     placed = materialise(distinct.select("fp").mapInPandas(run, "anchor long, fp long, home boolean"), "anchors")
-    at_home = placed.where("home").select("anchor", F.col("fp").alias("a"))
-    visiting = placed.where("not home").select("anchor", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
-    return at_home.join(visiting.hint("merge"), (at_home["anchor"] == visiting["anchor"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-
-
-def simhash_classes(docs: DataFrame, threshold: int = 4, shingle: int = 4, bands: int = 3) -> DataFrame:
+    count = placed.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v"))
+    parts = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    hot = count.where((F.col("h") > TILE) | (F.col("v") > TILE)).where("h > 0").select(F.col("anchor").alias("__hot"), parts("h").alias("hp"), parts("v").alias("vp"))
+    hot = F.broadcast(materialise(hot, "hot-anchors"))
+    both = placed.join(hot, placed["anchor"] == F.col("__hot"), "left")
+    own = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    # which tiles (p of the homes, q of the replicas) a row is in: its own share, and each of the other side's
+    p = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).when(F.col("home"), F.array(own("hp"))).otherwise(every("hp"))
+    q = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).when(F.col("home"), every("vp")).otherwise(F.array(own("vp")))
+    tiles = both.select("anchor", F.explode(p).alias("p"), q.alias("qs"), "fp", "home").select("anchor", "p", F.explode("qs").alias("q"), "fp", "home")
+    dealt = tiles.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q", F.desc("home"))
+    return dealt.mapInPandas(_near(threshold), "a long, b long")
+
+
+def simhash_classes(docs: DataFrame, threshold: int = 4, shingle: int = 4, bands: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id, root) for each row of docs; component_id is the smallest doc_id reachable.
 
     Null texts, empty texts and texts of white space only have fingerprint 0 and
@@ -150,9 +258,10 @@ def simhash_classes(docs: DataFrame, threshold: int = 4, shingle: int = 4, bands
     found = connected_components(links(distinct, threshold, bands))  # (node, root) of linked fingerprints only
     named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "simhash-roots")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialise(named.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id", "root"), "simhash-classes")
-    return rows.join(classes.hint("merge"), rows["fp"] == classes["class_fp"]).select("doc_id", "fp", "component_id", "root")
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "__root"), "simhash-least")
+    classes = join_unique(named, least, "root", "__root").select(F.col("fp").alias("class_fp"), "component_id", "root")
+    # many copies have one fingerprint, and many fingerprints one root: neither gathers in a task
+    return join_unique(rows, materialise(classes, "simhash-classes"), "fp", "class_fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, threshold: int = 4) -> DataFrame:
@@ -178,5 +287,6 @@ def keep_one(docs: DataFrame, threshold: int = 4) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_classes() of the whole table `documents`; nulls, empty and long texts, repeated rows and an empty table as there."""
     found = simhash_classes(table(spark, sf_dir, "documents"), threshold=4, shingle=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -15,20 +15,6 @@ from pyspark.sql import functions as F
 from corpusloom.llm import byte_bpe, components, cube_mix, feistel_shard, fm_quality, html_wrappers, pii_boost, quality_rules, simhash_dedup, token_cache
 
 
-@given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=4, unique=True))
-@settings(max_examples=300, deadline=None)
-def test_anchor_covering(fp, flips):
-    """A linked pair meets: each one's home is among the other's replicas in some band."""
-    other = fp
-    for b in flips:
-        other ^= 1 << b
-    pair = np.array([fp, other], np.uint64).view(np.int64)
-    i, key, home = simhash_dedup.anchors(pair, 3, 4)
-    homes = {(int(k)) for j, k, h in zip(i, key, home) if j == 0 and h}
-    replicas = {(int(k)) for j, k, h in zip(i, key, home) if j == 1 and not h}
-    assert len(homes) == 3 and homes & replicas
-
-
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 2000 + i) for i in range(300)] + [(rng.randrange(5000, 6000), rng.randrange(5000, 6000)) for _ in range(400)] + [(7, 7)]
