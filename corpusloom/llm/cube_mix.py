@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, n_words, table
+from .common import join_unique, materialise, n_words, table
+from .feistel_shard import numbered
 
 #: Documents that fly together.
 CHUNK = 4096
@@ -37,9 +38,10 @@ def targets(sources: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), shar
     the excess is shared again by weight until none is above. Only three sums come
     to the driver each round; a round without a new stop is the last.
     """
-    ranked = sources.withColumn("__rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    # sources are numbered by range partitions: there may be any number of them
+    ranked = numbered(sources.withColumn("__null", F.col("source").isNull()), ["__null", "source"])
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    out = materialise(ranked.withColumn("weight", F.get(turn, (F.col("__rank") % len(weights)).cast("int"))).drop("__rank"), "mix-sources")
+    out = materialise(ranked.withColumn("weight", F.get(turn, (F.col("row_number") % len(weights)).cast("int"))).drop("row_number", "__null"), "mix-sources")
     total = out.agg(F.sum("source_size")).first()[0] or 0
     cap = F.col("source_size") * F.lit(float(most))
     rate, stopped = None, -1  # rate: words for each unit of weight; it only grows, so what has stopped stays so
@@ -115,7 +117,7 @@ def land(p: np.ndarray, size: np.ndarray, words_due: float, docs_due: float) ->
 
 def _chunk(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "size", "p", "seq"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["key", "turn", "size", "p", "seq"], kind="stable").reset_index(drop=True)
         size, p = pdf["size"].to_numpy(float), pdf["p"].to_numpy(float)
         last = bool(pdf["last"].iat[0])
         words_due, docs_due = float(p @ size), float(p.sum())
@@ -130,13 +132,25 @@ def _chunk(seed: int):
     return run
 
 
+def _turns(units: DataFrame) -> DataFrame:
+    """units with `turn`: 0, 1, ... among those of one key. Counted by place first, so that no task holds a key's units of more than one place."""
+    placed = units.withColumn("__place", F.shiftright("seq", 33))  # the partition that monotonically_increasing_id gave the row
+    counts = placed.groupBy("key", "__place").count().select(F.col("key").alias("__k"), F.col("__place").alias("__p"), "count")
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    several = counts.withColumn("__before", before).where("count > 1 or __before > 0")
+    here = F.row_number().over(Window.partitionBy("key", "__place").orderBy("seq")) - 1
+    both = placed.withColumn("__here", here).join(several, (F.col("key") == F.col("__k")) & (F.col("__place") == F.col("__p")), "left")
+    return both.withColumn("turn", (F.col("__here") + F.coalesce("__before", F.lit(0))).cast("long")).select(*units.columns, "turn")
+
+
 def balanced(units: DataFrame, seed: int = 42, chunk: int = CHUNK) -> DataFrame:
     """units (seq, stratum, key, size, p) -> (seq, p) with each p 0 or 1, balanced on number and size by stratum.
 
     stratum, seq and key are longs, seq unique. Chunks of a stratum are dealt by
-    a hash of the key, so that a stratum of any size spreads over tasks.
+    a hash of the key and of the unit's turn among those of its key, so that a stratum of
+    any size spreads over tasks, and so do units that are all alike.
     """
-    schema = "seq long, stratum long, key long, size long, p double, last boolean"
+    schema = "seq long, stratum long, key long, turn long, size long, p double, last boolean"
     done: DataFrame | None = None
     level = 0
     while True:
@@ -145,9 +159,12 @@ def balanced(units: DataFrame, seed: int = 42, chunk: int = CHUNK) -> DataFrame:
         most = n.agg(F.max("chunks")).first()[0] or 0
         if not most:
             break
-        dealt = units.join(n, units["stratum"] == F.col("__s")).withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(seed + level)), F.col("chunks")))
+        if not level:
+            units = materialise(_turns(units), "mix-turns")
+        # strata are one row each: joined to their units without gathering these
+        dealt = join_unique(units, materialise(n, "mix-chunks"), "stratum", "__s").withColumn("chunk", F.pmod(F.xxhash64("key", "turn", F.lit(seed + level)), F.col("chunks")))
         dealt = dealt.withColumn("last", F.col("chunks") == 1)
-        flown = dealt.select("seq", "stratum", "key", "size", "p", "last", "chunk").groupBy("stratum", "chunk")
+        flown = dealt.select("seq", "stratum", "key", "turn", "size", "p", "last", "chunk").groupBy("stratum", "chunk")
         flown = materialise(flown.applyInPandas(_chunk(seed + level), schema), "mix-flight")
         fixed = flown.where(f"p <= {EPS} or p >= {1 - EPS}").select("seq", "p")
         done = fixed if done is None else done.unionByName(fixed)
@@ -177,13 +194,17 @@ def _units(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("key"), n_words("text").alias("size"), *more)
 
 
+def _stratum():
+    """A source as a long; no source has the stratum of null."""
+    return F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())
+
+
 def _counted(base: DataFrame, weights: Sequence[float], share: float, most: float, seed: int) -> DataFrame:
     """base (seq, doc_id, source, key, size), written already, with source_size, target and copies."""
     named = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    named = materialise(named.withColumn("stratum", F.xxhash64(F.coalesce("source", F.lit("\x00null")))), "mix-targets")
-    named = named.select(F.col("source").alias("__source"), "source_size", "target", "stratum")
+    named = materialise(named.select(_stratum().alias("__stratum"), "source_size", "target"), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    wanted = base.join(named, base["source"].eqNullSafe(F.col("__source"))).drop("__source")
+    wanted = join_unique(base.withColumn("stratum", _stratum()), named, "stratum", "__stratum").drop("__stratum")
     whole = F.floor(rate + EPS)
     part = F.when(rate - whole > EPS, rate - whole).otherwise(0.0)
     wanted = materialise(wanted.withColumn("whole", whole.cast("long")).withColumn("p", part), "mix-wanted")
@@ -199,6 +220,7 @@ def take_mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share:
 
     The rows are written once with a number of their own, by which their copies
     are joined back: a key that no two rows share, however often a row repeats.
+    Null and empty texts are taken as often as others. An empty table gives an empty one.
     """
     columns = docs.columns
     whole = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
@@ -209,5 +231,6 @@ def take_mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix_counts() of the whole table `documents`; null and empty texts, ties, repeated rows and an empty table as there."""
     found = mix_counts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

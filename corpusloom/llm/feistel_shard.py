@@ -78,7 +78,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 42) -> DataFrame:
 
     size is UTF-8 bytes of the text (null: none) plus 8; the checksum of a null
     text is that of an empty one. Null ids come first in the order. Repeated rows
-    get places of their own. Other columns are ignored; an empty table gives an
+    get places of their own. Long texts count whole. Other columns are ignored; an empty table gives an
     empty result.
     """
     text = F.coalesce("text", F.lit(""))
@@ -92,8 +92,12 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 42) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 42) -> None:
-    """Write the rows of docs under path/shard=k/, each shard in slot order."""
+def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 42, files: int | None = None) -> None:
+    """Write the rows of docs under path/shard=k/, each shard in slot order: file by file, and in each file.
+
+    files (spark.sql.shuffle.partitions, if not given; at least the shards) is the number of tasks, each of a range of shards and slots.
+    """
+    files = max(shards, files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     columns = [c for c in docs.columns if c not in ("shard", "slot")]
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*columns).withColumn("__crc", F.crc32(text.cast("binary"))).withColumn("__size", F.octet_length(text))
@@ -101,9 +105,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 42) -
     place = F.explode(F.array(permuted(F.col("row_number"), placed.count(), seed)))
     out = placed.withColumn("__place", place).withColumn("shard", (F.col("__place") % shards).cast("int"))
     out = out.withColumn("slot", F.floor(F.col("__place") / shards).cast("long")).select(*columns, "shard", "slot")
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    out.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard_rows() of the whole table `documents` into 24 shards; awkward rows and an empty table as there."""
     found = shard_rows(table(spark, sf_dir, "documents"), 24)
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table
+from .common import hashed_sample, mapped, table
 
 #: Hash buckets of words; after them come the buckets of the statistics.
 WORDS, BUCKETS, RANK = 2**16, 16, 8
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     """
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (part != 2)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").alias("__id"), "quality")
+    chosen = hashed_sample(known, ["doc_id"], fit_rows).select(F.col("doc_id").alias("__id"), "quality")
     n_chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
     some = docs.select("doc_id", "text", n_chars.alias("n_chars")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # fit_rows ids at most
     # an id of many rows gives one: that of the smallest hash of its text
@@ -162,5 +162,6 @@ def score_documents(docs: DataFrame, model: Machine, threshold: float = 0.7) ->
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_documents() of the whole table `documents`, fitted by train() on `labels`; awkward rows and empty tables as there."""
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, table
+from .common import hashed_sample, mapped, table
 
 # Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "ipv6", "iban", "ssn", "secret")
@@ -499,10 +499,9 @@ def trained(docs: DataFrame | None = None) -> Boosted:
     """The model for docs: contexts are cut from the texts of the CONTEXTS rows first by a hash of their id; none without docs."""
     if docs is None:
         return _fitted(())
-    h = F.xxhash64("doc_id", F.length("text"))
     start = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.length("text") - CONTEXT_CHARS, F.lit(0)) + 1) + 1).cast("int")
-    some = docs.where("text is not null").select(h.alias("h"), F.col("text").substr(start, F.lit(CONTEXT_CHARS)).alias("context"))
-    return _fitted(tuple(sorted(r["context"] for r in some.orderBy("h", "context").limit(CONTEXTS).collect())))
+    some = docs.where("text is not null").select("doc_id", F.col("text").substr(start, F.lit(CONTEXT_CHARS)).alias("context"))
+    return _fitted(tuple(sorted(r["context"] for r in hashed_sample(some, ["doc_id", "context"], CONTEXTS).collect())))
 
 
 def find_spans(text: str | None, model: Boosted) -> tuple[list[Span], list[Span]]:

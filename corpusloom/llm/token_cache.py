@@ -4,6 +4,10 @@ A document's key is the digest of its content and the digest of the tokenizer's
 file. Keys are joined to stored counts; of the misses each distinct text is
 encoded once, and the new counts are appended to the cache. The content is not
 normalised further than null to empty: any other change could change a count.
+
+Digests are compared before any text moves: a text of one row is encoded where it
+is, and only those of several rows are moved, to be encoded once. Which is which
+the tasks see in two bitmaps of fixed size over the digests.
 """
 
 from __future__ import annotations
@@ -12,14 +16,16 @@ import functools
 import hashlib
 import os
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, materialise, scratch_path, table
+from .common import SLICE, join_unique, mapped, materialise, scratch_path, table
 
 #: Pieces of text that a generation of a worker's memo holds; the last two generations are kept.
 MEMO = 200_000
@@ -131,22 +137,80 @@ def encode_counts(texts: DataFrame, path: str) -> DataFrame:
     return mapped(texts, ["digest"], ["text"], make, {"n_tokens": ("long", pa.int64())})
 
 
+#: Parts of the cache by the digest's first byte; a run reads those that it has digests of.
+BUCKETS = 256
+#: Bits of the bitmaps, 2 MB each: they decide which texts move, not what is counted.
+BITS = 2**24
+_ROW = "digest binary, n_tokens long, bucket int"
+
+
+def _bucket(digest: Column) -> Column:
+    return F.conv(F.hex(F.substring(digest, 1, 1)), 16, 10).cast("int")
+
+
 def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
-    """The counts that a cache folder has for a tokenizer version, null if it has none."""
+    """The counts (digest, n_tokens, bucket) that a cache folder has for a tokenizer version, null if it has none. A digest may be there twice."""
     home = f"{cache}/version={version}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(home)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return None
-    return spark.read.schema("digest binary, n_tokens long").parquet(home).dropDuplicates(["digest"])
+    return spark.read.schema(_ROW).parquet(home)
+
+
+def _bitmap(digests: DataFrame) -> np.ndarray:
+    """BITS bits, those set that some digest falls on. Made in parts of 4 kB by Spark; all of it is BITS / 8 bytes at most."""
+    place = (F.conv(F.hex(F.substring("digest", 2, 4)), 16, 10).cast("long") % BITS + 1).alias("place")
+    parts = digests.select(place).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(-(-BITS // 32768) * 4096, np.uint8)
+    for r in parts.collect():  # part p, from 1, holds 32768 places
+        start = (r["part"] - 1) * 4096
+        out[start : start + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _on(bits: np.ndarray, n: int, digests: list[bytes]) -> np.ndarray:
+    place = np.array([int.from_bytes(d[1:5], "big") % n for d in digests], np.int64)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def _encoded(rows: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
+    """(digest, n_tokens) of the wanted digests (digest, rows): those of one row where they are, others once after a move."""
+    sent = rows.sparkSession.sparkContext.broadcast((_bitmap(wanted), _bitmap(wanted.where("rows > 1")), BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        missing, several, n = sent.value
+        count, seen = counter(path), set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                digests = batch.column("digest").to_pylist()
+                due, moved = _on(missing, n, digests), _on(several, n, digests)
+                keep = []
+                for i in np.nonzero(due)[0].tolist():
+                    if digests[i] not in seen:
+                        keep.append(i)
+                        if moved[i]:
+                            seen.add(digests[i])
+                texts = batch.column("text")
+                here = [None if moved[i] else count(texts[i].as_py()) for i in keep]
+                there = [texts[i].as_py() if moved[i] else None for i in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([digests[i] for i in keep], pa.binary()), pa.array(here, pa.int64()), pa.array(there, pa.string())], names=["digest", "n_tokens", "text"]
+                )
+
+    found = materialise(rows.mapInArrow(run, "digest binary, n_tokens long, text string"), "token-texts")
+    moved = found.where("text is not null").select("digest", "text").dropDuplicates(["digest"])
+    return found.where("n_tokens is not null").select("digest", "n_tokens").unionByName(encode_counts(moved, path))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_tokens.
 
     cache is a folder that all executors see; without one a fresh one is used,
-    and every distinct text is a miss. Null texts count as empty: 0 bytes, 0
-    tokens. Texts of any length are encoded whole. Appending twice the same counts
+    and every distinct text is a miss. Of the cache only the run's own digests are kept. Null texts count as empty: 0 bytes, 0
+    tokens. Texts of any length are encoded whole; repeated rows are answered each; columns of other
+    names are ignored; an empty table gives an empty result. Appending twice the same counts
     (two runs at once, or a task tried again) is harmless: reads keep one.
     """
     spark = docs.sparkSession
@@ -154,19 +218,38 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None)
     version = tokenizer_digest(tokenizer_path)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    misses = keyed.select("digest", "text")
-    known = read_cache(spark, cache, version)
-    if known is not None:
-        misses = misses.join(known.select("digest"), "digest", "left_anti")
-    # only misses are moved: first copies within a task go, then those across tasks
-    distinct = misses.dropDuplicates(["digest"])
-    encode_counts(distinct, tokenizer_path).write.mode("append").option("compression", "zstd").parquet(f"{cache}/version={version}")
-    stored = read_cache(spark, cache, version).withColumnRenamed("digest", "__digest")
-    stored = materialise(stored, "token-counts")
     small = materialise(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
-    return small.join(stored.hint("merge"), small["digest"] == F.col("__digest")).select("doc_id", "n_bytes", "n_tokens")
+    asked = materialise(small.groupBy("digest").agg(F.count("*").alias("rows")), "token-digests")
+    stored = read_cache(spark, cache, version)
+    if stored is None:
+        counts = asked.select("digest", "rows", F.lit(None).cast("long").alias("n_tokens"))
+    else:
+        buckets = [r["b"] for r in asked.select(_bucket(F.col("digest")).alias("b")).distinct().collect()]  # BUCKETS at most
+        own = stored.where(F.col("bucket").isin(buckets)).join(asked.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        counts = materialise(asked.join(own, "digest", "left"), "token-hits")
+    missing = counts.where("n_tokens is null").select("digest", "rows")
+    known = counts.where("n_tokens is not null").select("digest", "n_tokens")
+    if missing.limit(1).count():
+        fresh = _encoded(keyed.select("digest", "text"), missing, tokenizer_path)
+        # a digest that shares a bit with a missing one may have been encoded in vain
+        fresh = fresh.join(missing.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+        fresh = materialise(fresh, "token-counts")
+        filed = fresh.withColumn("bucket", _bucket(F.col("digest"))).repartition("bucket")
+        filed.write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{cache}/version={version}")
+        known = known.unionByName(fresh)
+    known = materialise(known.withColumnRenamed("digest", "__digest"), "token-known")
+    return join_unique(small, known, "digest", "__digest").select("doc_id", "n_bytes", "n_tokens")
+
+
+def count_in_batches(docs: DataFrame, tokenizer_path: str, batches: int = 2, cache: str | None = None) -> DataFrame:
+    """count_tokens() of docs as they would come in batches (by a hash of the id, each row in one): later ones meet the counts stored by former ones."""
+    cache = cache or scratch_path(docs.sparkSession, "token-cache")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+    parts = [count_tokens(docs.where(turn == k), tokenizer_path, cache) for k in range(batches)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    """count_in_batches() of the whole table `documents`: all rows, in two batches, the second meeting what the first stored; awkward rows as there."""
+    found = count_in_batches(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))

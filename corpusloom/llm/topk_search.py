@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import hashed_sample, materialise, table
 
 #: Vectors in a block; least vectors in a group; queries that a task scores against a group.
 BLOCK, GROUP, QUERIES = 128, 16_384, 4_096
@@ -201,7 +201,7 @@ class Index:
         groups = max(1, min(GROUPS, SUMMARY_BYTES // (24 * max(widest, 1))))
         size = max(group, block * -(-n // (groups * block)))
         rows = min(SAMPLE, max(256, SAMPLE_BYTES // (8 * max(widest, 1))))
-        some = vectors.withColumn("h", F.xxhash64("id", F.lit(3))).orderBy("h", "id").limit(rows).select("dim", "q").toPandas()
+        some = hashed_sample(vectors, ["id", "q"], rows).select("dim", "q").toPandas()
         fits = {dim: Partition(_matrix(some["q"][some["dim"] == dim], dim)) for dim in shape}
         shared = spark.sparkContext.broadcast(fits)
 

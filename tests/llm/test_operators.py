@@ -59,6 +59,25 @@ def test_mix_of_many_chunks(spark):
     assert abs((got.p * got["size"]).sum() - 0.37 * got["size"].sum()) < 30 and abs(got.p.sum() - 0.37 * 6000) < 10
 
 
+def test_identical_rows_are_dealt(spark):
+    """50,000 rows that are all alike: no chunk holds more than about its share, and half of them are taken."""
+    df = spark.range(50_000, numPartitions=7).selectExpr("monotonically_increasing_id() AS seq", "1L AS stratum", "7L AS key", "10L AS size", "0.5D AS p")
+    turns = cube_mix._turns(df).toPandas()
+    assert sorted(turns.turn) == list(range(50_000))
+    got = cube_mix.balanced(df).toPandas()
+    assert len(got) == 50_000 and set(got.p) == {0.0, 1.0} and abs(got.p.sum() - 25_000) <= 1
+    n = -(-50_000 // cube_mix.CHUNK)
+    dealt = cube_mix._turns(df).selectExpr(f"pmod(xxhash64(key, turn, 42), {n}) AS chunk").groupBy("chunk").count().toPandas()
+    assert dealt["count"].max() < 1.2 * cube_mix.CHUNK
+
+
+def test_sources_of_any_number(spark):
+    rows = [(f"s{i:05}", 100) for i in range(3000)] + [(None, 50), ("", 10)]
+    got = {r.source: r for r in cube_mix.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+    order = sorted(s for s, _ in rows if s is not None) + [None]
+    assert [got[s].weight for s in order] == [(3.0, 1.0, 2.0)[i % 3] for i in range(len(order))]
+
+
 def test_take_mix(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     taken = cube_mix.take_mix(docs)
@@ -75,16 +94,44 @@ def test_cascade_order_is_only_speed(spark, small):
     assert sorted(quality_rules.cascade_order(docs, rules, 50)) == sorted(names)
 
 
-def test_token_cache_encodes_only_misses(spark, small, tmp_path):
+def test_token_cache_encodes_only_misses(spark, small, tmp_path, monkeypatch):
     docs, path = spark.read.parquet(f"{small}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")
     first = sorted(map(str, token_cache.count_tokens(docs, path, str(tmp_path)).collect()))
     stored = spark.read.parquet(str(tmp_path)).count()
     assert stored == docs.selectExpr("coalesce(text, '')").distinct().count()
+    files = sorted(p for p in tmp_path.rglob("*.parquet"))
+    monkeypatch.setattr(token_cache, "_encoded", lambda *_: pytest.fail("nothing was missing"))
     assert sorted(map(str, token_cache.count_tokens(docs, path, str(tmp_path)).collect())) == first
-    assert spark.read.parquet(str(tmp_path)).count() == stored  # nothing was missing
+    assert sorted(p for p in tmp_path.rglob("*.parquet")) == files  # nothing was written
+    monkeypatch.undo()
     assert token_cache.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), str(tmp_path)).count() == docs.count()
 
 
+def test_second_batch_meets_the_first(spark, small, monkeypatch):
+    docs, path = spark.read.parquet(f"{small}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")
+    asked, encode = [], token_cache._encoded
+
+    def count(rows, wanted, path):
+        asked.append({bytes(r.digest) for r in wanted.collect()})
+        return encode(rows, wanted, path)
+
+    monkeypatch.setattr(token_cache, "_encoded", count)
+    got = sorted(map(str, token_cache.count_in_batches(docs, path).collect()))
+    assert len(asked) == 2 and not asked[0] & asked[1]
+    assert len(asked[0] | asked[1]) == docs.selectExpr("coalesce(text, '')").distinct().count()
+    assert got == sorted(map(str, token_cache.count_tokens(docs, path).collect()))
+
+
+@pytest.mark.parametrize("bits", [8, 64, 2**24])
+def test_bitmaps_decide_only_what_moves(spark, monkeypatch, bits):
+    """With few bits nearly all texts are moved, with many only those of several rows; counts are the same."""
+    monkeypatch.setattr(token_cache, "BITS", max(bits, 8))
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(60)] + [(100, None)], "doc_id long, text string").repartition(4)
+    count = token_cache.counter(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_cache.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert got == {r.doc_id: (len(r.text or ""), count(r.text or "")) for r in docs.collect()}
+
+
 def test_counter_special_strings():
     count = token_cache.counter(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("a<|endoftext|>b", "it's  fine\n\n x", "漢字 é\x1c ", "1234 5678"):
