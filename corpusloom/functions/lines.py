@@ -8,15 +8,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # English words that mark a text as English, and the patterns of scanning services' lines.
-STOPWORDS = (
-    "the and that was with for his her they this from were had have not but are him she you all which when then there their who what into out said one upon them would"
-).split()
+STOPWORDS = tuple(
+    """
+    the a an and of to in on he she it they we you i is are was were be been
+    said say that this these those all one two his her him them there here
+    with for from by at as not but or which who what when where how had have
+    has would could their your our then see compare according into out
+    upon their its also who whom
+    """.split()
+)
 BOILERPLATE = (r"(?i)^Hosted by Google$", r"(?i)^Digiti[sz]ed by (the )?(Google|Internet Archive|Microsoft)", r"(?i)^https?://(www\.)?archive\.org")
 PAGE_NUMBER = r"^\[?\d{1,4}\]?$"
 DISTRIBUTOR = (
-    r"(?i)project gutenberg", r"(?i)gutenberg (?:ebook|e-text)", r"(?i)\*\*\*\s*(?:start|end) of (?:the )?(?:project gutenberg )?(?:ebook|e-text)",
+    r"(?i)project gutenberg",
+    r"(?i)gutenberg (?:ebook|e-text)",
+    r"(?i)\*\*\*\s*start of (?:the )?(?:project gutenberg )?(?:ebook|e-text)",
+    r"(?i)\*\*\*\s*end of (?:the )?(?:project gutenberg )?(?:ebook|e-text)",
     r"(?i)this eBook is for the use of anyone anywhere",
-)
+    r"(?i)project gutenberg literary archive foundation",
+)
 
 
 def header_form(line: Column) -> Column:

@@ -121,3 +121,18 @@ def start_line_hint(raw: Column | str, within: int = 800) -> Column:
 def trim_occurrence(evidence: Column | str, limit: int = 240) -> Column:
     """First evidence quote of an occurrence, cut for listing."""
     return F.substring(F.get(_col(evidence), 0)["quote"], 1, limit)
+
+
+def iso_date(c: Column | str) -> Column:
+    """A time as its date, `2026-07-20`."""
+    return F.date_format(_col(c), "yyyy-MM-dd")
+
+
+def utc_stamp(c: Column | str) -> Column:
+    """A time of the session's zone (UTC) to the second, `2026-07-20T18:54:58Z`."""
+    return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def compact_stamp(c: Column | str) -> Column:
+    """The same for file names, `2026-07-20T185458Z`."""
+    return F.date_format(_col(c), "yyyy-MM-dd'T'HHmmss'Z'")

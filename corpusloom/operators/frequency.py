@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import ordered_lists
+
 # Half-open eras (id, from, to) of signed years.
 ERAS = (
     ("deep_bronze", -10000, -1500), ("late_bronze_iron", -1500, -800), ("axial", -800, -300), ("classical", -300, 200), ("late_antique", 200, 800),
@@ -25,13 +27,17 @@ def occurrence_index(df: DataFrame, key: str, group: str, label: str | None = No
 
 
 def occurrence_lists(df: DataFrame, key: str, order: Sequence[str], keep: Sequence[str], most: int | None = None) -> DataFrame:
-    """(key, occurrences): the rows of each key as an ordered array; with `most` only so many, cut before they are gathered."""
+    """(key, occurrences): the rows of each key as an ordered array; with `most` only the first so many, cut before they are gathered.
+
+    Without `most` a key of more than 100,000 rows is an error: windows.ordered_rows gives these as rows.
+    """
+    fields = [*order, *[c for c in keep if c not in order]]
     if most:
         from pyspark.sql import Window
 
         df = df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__r") <= most)
-    rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in keep if c not in order])))
-    return df.groupBy(key).agg(rows.alias("occurrences"))
+        return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("occurrences"))
+    return ordered_lists(df, key, fields, "occurrences").drop("n")
 
 
 def canonical_rollup(counts: DataFrame, groups: DataFrame, key: str, tradition: str, n: str, group_id: str, meta: str | None = None) -> DataFrame:
@@ -63,8 +69,19 @@ def era(year: Column, eras: Sequence[tuple[str, int, int]] = ERAS) -> Column:
 
 
 def era_join(df: DataFrame, year: str, eras: DataFrame) -> DataFrame:
-    """df with the `era` of a table (era, start, end) of ranges: inner join, so undated rows go. The table is broadcast when small."""
-    return df.join(eras, (df[year] >= eras["start"]) & (df[year] < eras["end"]))
+    """df with the `era` of a table (era, start, end) of ranges: inner join, so undated rows go.
+
+    Up to 1,000 ranges are broadcast; more are joined on slices of the years, as wide as a range is on average.
+    """
+    inside = (F.col(year) >= F.col("start")) & (F.col(year) < F.col("end"))
+    size = eras.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("end") - F.col("start")).alias("width")).first()
+    if size["n"] <= 1_000:
+        return df.join(F.broadcast(eras), inside)
+    width = F.lit(max(1, int(size["width"] or 1)))
+    slices = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))
+    named = eras.where("start < end").withColumn("__slice", F.explode(slices))
+    sliced = df.withColumn("__at", F.floor(F.col(year) / width))
+    return sliced.join(named, (F.col("__at") == F.col("__slice")) & inside).drop("__at", "__slice")
 
 
 def era_flow(df: DataFrame, family: str, era_col: str, tradition: str, eras: Sequence[str]) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def resolve(raw: DataFrame, motif: str, groups: DataFrame, members: DataFrame, aliases: DataFrame, index: DataFrame, max_depth: int = 8) -> DataFrame:
+def resolve(raw: DataFrame, motif: str, groups: DataFrame, members: DataFrame, aliases: DataFrame, index: DataFrame) -> DataFrame:
     """(motif, group_id): canonical group of each distinct raw label, null if there is none.
 
     Precedence: (1) index (motif, group_id); (2) the label is a group's id; (3) the
     first group, by pos, that lists it in members (group_id, pos, member); (4) its
-    alias entry (alias, ord, ref), references in their order, depth first. Alias
-    chains end after max_depth steps, so a cycle resolves to null. A result that is
-    no known group becomes null. groups is (group_id, pos).
+    alias entry (alias, ord, ref), references in their order, depth first. Chains of aliases are
+    followed to their end, whatever their length; a label that is on its own route is not
+    followed again, so a cycle resolves to null. A result that is no known group becomes null. groups is (group_id, pos).
     """
     labels = raw.select(F.col(motif).alias("motif")).distinct()
 
@@ -25,11 +25,17 @@ def resolve(raw: DataFrame, motif: str, groups: DataFrame, members: DataFrame, a
         out = df.join(one, F.col(c) == F.col("__m1"), "left").join(two, F.col(c) == F.col("__g2"), "left").join(three, F.col(c) == F.col("__m3"), "left")
         return out.withColumn("hit", F.coalesce("__g1", "__g2", "__g3")).drop("__m1", "__g1", "__g2", "__m3", "__g3")
 
-    step = direct(labels.withColumn("at", F.col("motif")).withColumn("route", F.array().cast("array<int>")), "at")
+    start = labels.withColumn("at", F.col("motif")).withColumn("route", F.array().cast("array<int>")).withColumn("seen", F.array("motif"))
+    step = direct(start, "at").checkpoint()
     found = step.where("hit is not null").select("motif", "route", "hit")
-    for _ in range(max_depth):
-        near = step.where("hit is null").drop("hit").join(aliases, F.col("at") == F.col("alias"))
-        step = direct(near.select("motif", F.col("ref").alias("at"), F.concat("route", F.array(F.col("ord").cast("int"))).alias("route")), "at")
+    while True:
+        near = step.where("hit is null").drop("hit").join(aliases, F.col("at") == F.col("alias")).where(~F.array_contains("seen", F.col("ref")))
+        # of several routes of one length to a label the first counts
+        near = near.select("motif", F.col("ref").alias("at"), F.struct(F.concat("route", F.array(F.col("ord").cast("int"))).alias("route"), F.concat("seen", F.array("ref")).alias("seen")).alias("way"))
+        near = near.groupBy("motif", "at").agg(F.min("way").alias("way")).select("motif", "at", "way.route", "way.seen")
+        step = direct(near, "at").checkpoint()
+        if not step.limit(1).count():
+            break
         found = found.unionByName(step.where("hit is not null").select("motif", "route", "hit"))
     # depth first is the order of the routes: arrays compare from the left
     best = found.groupBy(F.col("motif").alias("__m")).agg(F.min(F.struct("route", "hit")).getField("hit").alias("__hit"))

@@ -8,18 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
+from .ranges import numbered, numbered_within
 
 
 def shards(df: DataFrame, order: str, size: int) -> DataFrame:
     """df with shard_id `%04d` from 1, `size` rows each in order. Rows are numbered by range, so no task sees them all."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, order).withColumn("__p", F.spark_partition_id()).checkpoint()
-    before = ranged.groupBy("__p").count().select(
-        F.col("__p").alias("__q"), F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b")
-    )
-    local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
-    at = local.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn("__at", F.col("__n") + F.col("__b"))  # a row a partition
-    return at.withColumn("shard_id", F.format_string("%04d", F.ceil(F.col("__at") / size))).drop("__p", "__q", "__b", "__n", "__at")
+    return numbered(df, [order], "__at").withColumn("shard_id", F.format_string("%04d", F.ceil(F.col("__at") / size))).drop("__at")
 
 
 def shard_manifest(sharded: DataFrame, line: str, order: str) -> DataFrame:
@@ -32,15 +26,14 @@ def shard_manifest(sharded: DataFrame, line: str, order: str) -> DataFrame:
 
 def slug_files(df: DataFrame, label: str, order: str) -> DataFrame:
     """df with `slug`; of labels with one slug the second gets `-2`, the third `-3`, in order."""
-    s = df.withColumn("__s", slug(label, "-"))
-    n = F.row_number().over(Window.partitionBy("__s").orderBy(order))
-    return s.withColumn("__n", n).withColumn("slug", F.when(F.col("__n") > 1, F.concat("__s", F.lit("-"), F.col("__n").cast("string"))).otherwise(F.col("__s"))).drop("__s", "__n")
+    s = numbered_within(df.withColumn("__s", slug(label, "-")), ["__s"], [order], "__n")  # a slug may have any number of labels
+    return s.withColumn("slug", F.when(F.col("__n") > 1, F.concat("__s", F.lit("-"), F.col("__n").cast("string"))).otherwise(F.col("__s"))).drop("__s", "__n")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
     """All keys, the row of the greatest order for each; incoming rows win ties."""
     both = existing.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc("__new"), F.desc(order))
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc("__new"))
     return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__new")
 
 
@@ -59,9 +52,9 @@ def transition(queue: DataFrame, done: DataFrame, key: str, source: str, target:
 
 
 def admitted(jobs: DataFrame, order: str, active: Sequence[str], most: int, status: str = "status") -> DataFrame:
-    """Waiting jobs that may start: the first in order, as many as active ones leave free."""
+    """Waiting jobs that may start: the first in order, as many as active ones leave free. Only the first `most` are ever numbered."""
     busy = jobs.agg(F.count_if(F.col(status).isin(*active)).alias("__busy"))
-    waiting = jobs.where(F.col(status) == "prepared").withColumn("__n", F.row_number().over(Window.orderBy(order)))
+    waiting = jobs.where(F.col(status) == "prepared").orderBy(order).limit(most).withColumn("__n", F.row_number().over(Window.orderBy(order)))
     return waiting.join(F.broadcast(busy)).where(F.col("__n") + F.col("__busy") <= most).drop("__n", "__busy")
 
 
@@ -96,3 +89,50 @@ def same_reviewer(df: DataFrame, drafter: str, reviewer: str) -> DataFrame:
 def freshness(df: DataFrame, group: str, stamp: str) -> DataFrame:
     """(group, version): count and latest stamp, by which a reader sees whether a source has changed."""
     return df.groupBy(group).agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.max(stamp).cast("string")).alias("version"))
+
+
+# Answers that are tried again, and the states of a job that takes a place.
+RETRYABLE = (408, 409, 429, 500, 502, 503, 504)
+ACTIVE = ("submitted", "validating", "in_progress", "finalizing", "cancelling")
+
+
+def retries(attempts: DataFrame, code: str, attempt: str, most: int, hint: str | None = None, top: int = 60) -> DataFrame:
+    """attempts with `decision` (ok, retry, error) and `delay`: seconds to wait before the next, 2 to the power of the attempt, `top` at most.
+
+    A wait that the server names (hint) goes before. The jitter is left to the caller.
+    """
+    ok = F.col(code).between(200, 299)
+    again = F.col(code).isin(*RETRYABLE) & (F.col(attempt) <= most)
+    own = F.least(F.pow(F.lit(2.0), F.col(attempt)), F.lit(float(top)))
+    wait = F.when(F.col(hint) > 0, F.col(hint).cast("double")).otherwise(own) if hint else own
+    decision = F.when(ok, "ok").when(again, "retry").otherwise("error")
+    return attempts.withColumn("decision", decision).withColumn("delay", F.when(decision == "retry", wait))
+
+
+def job_decisions(shards: DataFrame, order: str, most: int | None = None, retry_failed: bool = False, force: bool = False, status: str = "status", batch: str = "batch_id") -> DataFrame:
+    """shards with `decision`: skip (it has a batch already), create, or defer (no place free for it), in order.
+
+    A failed one is created again if retry_failed; force creates all. Created ones take the places that
+    active ones leave of `most`; where none are left the rest is deferred.
+    """
+    has = F.col(batch).isNotNull() & F.lit(not force)
+    if retry_failed:
+        has = has & (F.col(status) != "failed")
+    named = shards.withColumn("__skip", F.coalesce(has, F.lit(False)))
+    if most is None:
+        return named.withColumn("decision", F.when(F.col("__skip"), "skip").otherwise("create")).drop("__skip")
+    busy = shards.agg(F.count_if(F.col(status).isin(*ACTIVE)).alias("__busy"))
+    numbers = numbered(named, ["__skip", order], "__n")  # those not skipped first, in order
+    free = F.greatest(F.lit(most) - F.col("__busy"), F.lit(0))
+    out = numbers.join(F.broadcast(busy))  # one row
+    return out.withColumn("decision", F.when(F.col("__skip"), "skip").when(F.col("__n") <= free, "create").otherwise("defer")).drop("__skip", "__n", "__busy")
+
+
+def polled(history: DataFrame, job: str, time: str, status: str = "status", terminal: Sequence[str] = ("completed", "failed", "expired", "cancelled")) -> DataFrame:
+    """(job, status, at, polls): what a poll loop that ends at a job's first terminal state has seen: that state, or the last one, and how many polls."""
+    end = F.col(status).isin(*terminal)
+    seen = history.groupBy(job).agg(F.min(F.when(end, F.struct(time, status))).alias("__end"), F.max(F.struct(time, status)).alias("__last"))
+    both = history.join(seen.withColumnRenamed(job, "__j"), F.col(job) == F.col("__j"))
+    counted = both.where(F.col("__end").isNull() | (F.col(time) <= F.col("__end").getField(time)))
+    last = F.coalesce("__end", "__last")
+    return counted.groupBy(job, last.alias("__s")).agg(F.count(F.lit(1)).alias("polls")).select(job, F.col("__s").getField(status).alias("status"), F.col("__s").getField(time).alias("at"), "polls")

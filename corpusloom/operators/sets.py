@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import numbered_within
+
 
 def audit(checks: dict[str, tuple[DataFrame, DataFrame]], key: str) -> DataFrame:
     """(check, key): for each named check the keys of the first table that the second lacks."""
@@ -49,13 +53,45 @@ def recurring(df: DataFrame, n: str, more_than: int = 1) -> DataFrame:
 
 
 def library(df: DataFrame, group: str, title: str, missing: str = "unattributed") -> DataFrame:
-    """(group, n, titles): titles in order by group, null groups under `missing`, largest first."""
+    """(group, n, place, title): titles in order by group, null groups under `missing`; a row a title, so that a group may have any number."""
     g = F.coalesce(F.col(group), F.lit(missing)).alias(group)
-    return df.select(g, title).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(title)).alias("titles")).orderBy(F.desc("n"), group)
+    rows = df.select(g, title)
+    n = rows.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("n"))
+    return numbered_within(rows, [group], [title], "place").join(n, F.col(group) == F.col("__g")).select(group, "n", "place", title)
 
 
 def flat_fields(df: DataFrame, key: str, document: str) -> DataFrame:
-    """(key, path, value): the leaves of a JSON document's two upper levels as rows."""
-    top = df.select(key, F.explode(F.from_json(document, "map<string,string>")).alias("k1", "v1"))
-    low = top.select(key, "k1", "v1", F.explode_outer(F.when(F.col("v1").startswith("{"), F.from_json("v1", "map<string,string>"))).alias("k2", "v2"))
-    return low.select(key, F.concat_ws(".", "k1", "k2").alias("path"), F.coalesce("v2", "v1").alias("value"))
+    """(key, path, value): the leaves of a JSON document as rows, at any depth; items of arrays are numbered from 1.
+
+    Strings are their text, numbers and booleans their JSON; nulls, empty objects and empty arrays
+    have no row. A broken document has none either. Depth has no bound, so this walks in Python by Arrow batches.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def leaves(text: str) -> list[tuple[str, str]]:
+        try:
+            top = json.loads(text)
+        except ValueError:
+            return []
+        out, todo = [], [("", top)]
+        while todo:
+            path, node = todo.pop()
+            inner = node.items() if isinstance(node, dict) else enumerate(node, 1) if isinstance(node, list) else None
+            if inner is not None:
+                todo += [(f"{path}.{k}" if path else str(k), v) for k, v in reversed(list(inner))]
+            elif node is not None and path:
+                out.append((path, node if isinstance(node, str) else json.dumps(node)))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, *leaf) for k, d in zip(pdf[key], pdf[document]) if d for leaf in leaves(d)]
+            yield pd.DataFrame(rows, columns=[key, "path", "value"])
+
+    return df.select(key, document).mapInPandas(run, f"`{key}` {kind}, path string, value string")
+
+
+def by_path(df: DataFrame, wanted: str, path: str = "path") -> DataFrame:
+    """The rows of one path, written in any of its usual forms: leading `./` and `/`, and repeated slashes, don't count."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"/(?:\.?/)+", "/"), r"^(?:\.?/)+", "")
+    return df.where(plain(F.col(path)) == plain(F.lit(wanted)))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from .joins import blocked_pairs
+from .ranges import running
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -17,24 +18,102 @@ def l2_normalised(v: Column) -> Column:
     return F.element_at(F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: x.cast("double")))), 1)
 
 
+#: Rows of a block that are multiplied with as many others in one place.
+TILE = 4_096
+
+
+def _tiled(df: DataFrame, block: str, key: str) -> DataFrame:
+    """df with `__tiles`, the number of tiles of its block, and `__tile`, its own by a hash of the key. Blocks are few rows each, of counts."""
+    n = df.groupBy(F.col(block).alias("__n")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("__tiles"))
+    both = df.join(n, F.col(block) == F.col("__n")).drop("__n")
+    return both.withColumn("__tile", F.pmod(F.xxhash64(key), F.col("__tiles")).cast("int"))
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    """Rows as vectors of one length; of several lengths the shorter are filled with zeros, which no product sees."""
+    width = max(map(len, column), default=0)
+    out = np.zeros((len(column), width))
+    for i, v in enumerate(column):
+        out[i, : len(v)] = v
+    return out
+
+
 def cosine_pairs(df: DataFrame, block: str, key: str, vector: str, threshold: float = 0.9, weight: str | None = None, most: int | None = 2000) -> DataFrame:
     """(block, a, b, cosine, keep): pairs of a block at the threshold or above, best first.
 
     keep is the key of greater weight, ties to the earlier. Vectors are normalised
-    once, before the join; the test is part of the join, so only pairs that pass leave it.
+    once; a block is cut into tiles, each pair of which is one product of matrices in some task, so that only pairs that
+    pass are ever made and no block is a single task.
     """
-    unit = df.select(block, key, l2_normalised(F.col(vector)).alias("v"), *([F.col(weight).alias("w")] if weight else [F.lit(0).alias("w")]))
-    close = dot(F.col("a_v"), F.col("b_v")) >= threshold
-    out = blocked_pairs(unit, block, key, ("v", "w"), close)
-    out = out.select(block, "a", "b", F.round(dot(F.col("a_v"), F.col("b_v")), 4).alias("cosine"), F.when(F.col("b_w") > F.col("a_w"), F.col("b")).otherwise(F.col("a")).alias("keep"))
+    kind, of = (df.schema[c].dataType.simpleString() for c in (block, key))
+    weighted = F.col(weight).cast("double").alias("w") if weight else F.lit(0.0).alias("w")
+    unit = df.where(F.col(vector).isNotNull()).select(F.col(block).alias("__b"), F.col(key).alias("k"), l2_normalised(F.col(vector)).alias("v"), weighted)
+    tiles = _tiled(unit, "__b", "k")
+    # each tile meets itself and those after it
+    left = tiles.withColumn("i", F.col("__tile")).withColumn("j", F.explode(F.sequence(F.col("__tile"), F.col("__tiles") - 1)))
+    right = tiles.withColumn("j", F.col("__tile")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("__tile"))))
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"block": [], "a": [], "b": [], "c": [], "keep": []})
+        y = y.rename(columns=lambda c: c[2:])
+        u, v = _matrix(x["v"]), _matrix(y["v"])
+        width = min(u.shape[1], v.shape[1])
+        same, found = bool(x["i"].iat[0] == x["j"].iat[0]), []
+        for at in range(0, len(u), 512):
+            c = u[at : at + 512, :width] @ v[:, :width].T
+            r, s = np.nonzero(c >= threshold)
+            found.append((r + at, s, c[r, s]))
+        r, s, c = (np.concatenate(z) for z in zip(*found))
+        a, b = x["k"].to_numpy()[r], y["k"].to_numpy()[s]
+        wa, wb = x["w"].to_numpy()[r], y["w"].to_numpy()[s]
+        swap = a > b
+        a, b, wa, wb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, wb, wa), np.where(swap, wa, wb)
+        fine = (a < b) & ~(same & swap)  # a tile with itself has each pair twice
+        out = pd.DataFrame({"a": a[fine], "b": b[fine], "c": c[fine], "keep": np.where(wb > wa, b, a)[fine]})
+        return out.assign(block=x["__b"].iat[0])[["block", "a", "b", "c", "keep"]]
+
+    columns = ["__b", "i", "j", "k", "v", "w"]
+    right = right.select(*[F.col(c).alias(f"r_{c}") for c in columns])  # both sides are of one table: names tell them apart
+    pairs = left.select(*columns).groupBy("__b", "i", "j").cogroup(right.groupBy("r___b", "r_i", "r_j"))
+    out = pairs.applyInPandas(near, f"block {kind}, a {of}, b {of}, c double, keep {of}")
+    out = out.select(F.col("block").alias(block), "a", "b", F.round("c", 4).alias("cosine"), "keep")
     return out.orderBy(F.desc("cosine"), "a", "b").limit(most) if most else out
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, key: str, vector: str, block: str, k: int = 10) -> DataFrame:
-    """(query, key, cosine, rank): the k nearest rows of a query's block, its own left out."""
-    q = queries.select(F.col(key).alias("query"), F.col(block).alias("__b"), l2_normalised(F.col(vector)).alias("__q"))
-    c = corpus.select(F.col(key).alias(key), F.col(block).alias("__c"), l2_normalised(F.col(vector)).alias("__v"))
-    both = q.join(c, (F.col("__b") == F.col("__c")) & (F.col("query") != F.col(key))).select("query", key, F.round(dot(F.col("__q"), F.col("__v")), 4).alias("cosine"))
+    """(query, key, cosine, rank): the k nearest rows of a query's block, its own left out; ties of the rounded cosine to the smaller key.
+
+    A block is cut into tiles; a query goes to each tile of its block, which gives its k best, and these few are merged.
+    """
+    of = corpus.schema[key].dataType.simpleString()
+    tiles = _tiled(corpus.where(F.col(vector).isNotNull()).select(F.col(block).alias("__b"), F.col(key).alias("k"), l2_normalised(F.col(vector)).alias("v")), "__b", "k")
+    count = tiles.groupBy(F.col("__b").alias("__n")).agg(F.max("__tiles").alias("__tiles"))
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(block).alias("__b"), F.col(key).alias("k"), l2_normalised(F.col(vector)).alias("v"))
+    q = q.join(count, F.col("__b") == F.col("__n")).withColumn("__tile", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)))
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query": [], "k": [], "c": []})
+        y = y.rename(columns=lambda c: c[2:]).sort_values("k", kind="stable")
+        u, v, keys = _matrix(x["v"]), _matrix(y["v"]), y["k"].to_numpy()
+        width = min(u.shape[1], v.shape[1])
+        out = []
+        for at in range(0, len(u), 512):
+            c = u[at : at + 512, :width] @ v[:, :width].T
+            own = x["k"].to_numpy()[at : at + 512]
+            c[own[:, None] == keys[None, :]] = -np.inf
+            rounded = np.sign(c) * np.floor(np.abs(c) * 1e4 + 0.5)
+            order = np.argsort(-rounded, axis=1, kind="stable")[:, :k]  # keys are in order already
+            for r in range(len(c)):
+                some = order[r][np.isfinite(c[r, order[r]])]
+                out.append(pd.DataFrame({"query": own[r], "k": keys[some], "c": c[r, some]}))
+        return pd.concat(out)
+
+    columns = ["__b", "__tile", "k", "v"]
+    tiles = tiles.select(*[F.col(c).alias(f"r_{c}") for c in columns])
+    pairs = q.select(*columns).groupBy("__b", "__tile").cogroup(tiles.groupBy("r___b", "r___tile"))
+    both = pairs.applyInPandas(best, f"query {of}, k {of}, c double").select("query", F.col("k").alias(key), F.round("c", 4).alias("cosine"))
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -77,16 +156,27 @@ def aligned(first: DataFrame, second: DataFrame, cluster: str = "cluster") -> Da
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: rank correlation, ties at their mean rank."""
-    r = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-    return df.select(r(x).alias("rx"), r(y).alias("ry")).agg(F.round(F.corr("rx", "ry"), 4).alias("spearman"))
+    """One row: rank correlation, ties at their mean rank; null if either column has one value only. Rows with a null don't count.
+
+    Values are counted first, and ranks are running counts by range partitions.
+    """
+    both = df.select(F.col(x).alias("x"), F.col(y).alias("y")).na.drop().groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+    def ranks(c: str) -> DataFrame:
+        per = both.groupBy(c).agg(F.sum("n").alias("k"))
+        return running(per, [c], {"upto": "k"}).select(F.col(c).alias(f"__{c}"), (F.col("upto") - (F.col("k") - 1) / 2).alias(f"r{c}"))
+
+    every = both.join(ranks("x"), F.col("x") == F.col("__x")).join(ranks("y"), F.col("y") == F.col("__y"))
+    sums = every.agg(*[F.sum(F.col("n") * e).alias(k) for k, e in {"s": F.lit(1.0), "sx": F.col("rx"), "sy": F.col("ry")}.items()])
+    centred = every.join(F.broadcast(sums)).select("n", (F.col("rx") - F.col("sx") / F.col("s")).alias("dx"), (F.col("ry") - F.col("sy") / F.col("s")).alias("dy"))  # one row
+    parts = centred.agg(*[F.sum(F.col("n") * F.col(a) * F.col(b)).alias(k) for k, a, b in (("xy", "dx", "dy"), ("xx", "dx", "dx"), ("yy", "dy", "dy"))])
+    return parts.select(F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.round(F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")), 4)).alias("spearman"))
 
 
 def ks_distance(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """One row: the greatest distance of two empirical distributions."""
     both = a.select(F.col(value).alias("x"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(b.select(F.col(value).alias("x"), F.lit(0).alias("in_a"), F.lit(1).alias("in_b")))
-    per = both.groupBy("x").agg(F.sum("in_a").alias("a"), F.sum("in_b").alias("b"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every))
-    return per.select(gap.alias("g")).agg(F.round(F.max("g"), 4).alias("ks"))
+    per = both.groupBy("x").agg(F.sum("in_a").alias("a"), F.sum("in_b").alias("b")).checkpoint()
+    every = per.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    upto = running(per, ["x"], {"upto_a": "a", "upto_b": "b"}).join(F.broadcast(every))  # one row
+    return upto.agg(F.round(F.max(F.abs(F.col("upto_a") / F.col("all_a") - F.col("upto_b") / F.col("all_b"))), 4).alias("ks"))

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered, numbered_within
+
 
 def ranked(df: DataFrame, order: Sequence[Column | str], rank: str = "rank") -> DataFrame:
-    """df with its place from 1 in a total order. Meant for reports: the ranked table passes one task."""
-    return df.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+    """df with its place from 1 (long) in a total order, numbered by range partitions."""
+    return numbered(df, order, rank)
 
 
 def top_k(df: DataFrame, group: str | Sequence[str], order: Sequence[Column | str], k: int, rank: str = "rank") -> DataFrame:
@@ -44,13 +46,22 @@ def stacked(df: DataFrame, x: str, order: Sequence[Column | str], value: str) ->
 
 def inside_out(df: DataFrame, order: Sequence[Column | str], place: str = "place") -> DataFrame:
     """df with a place that puts the first ranks in the middle, the next to either side."""
-    r = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("__r", r).withColumn(place, F.when(F.col("__r") % 2 == 1, F.floor(F.col("__r") / 2)).otherwise(-F.floor(F.col("__r") / 2)).cast("long")).drop("__r")
+    return numbered(df, order, "__r").withColumn(place, F.when(F.col("__r") % 2 == 1, F.floor(F.col("__r") / 2)).otherwise(-F.floor(F.col("__r") / 2)).cast("long")).drop("__r")
+
+
+def ordered_rows(df: DataFrame, group: str, fields: Sequence[str], place: str = "place") -> DataFrame:
+    """(group, place, fields): each group's rows in the order of the fields, of groups of any size."""
+    return numbered_within(df.select(group, *fields), [group], fields, place).select(group, place, *fields)
 
 
-def ordered_lists(df: DataFrame, group: str, fields: Sequence[str], name: str = "rows") -> DataFrame:
-    """(group, n, rows): each group's rows as an array in the order of the fields."""
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+def ordered_lists(df: DataFrame, group: str, fields: Sequence[str], name: str = "rows", most: int = 100_000) -> DataFrame:
+    """(group, n, rows): each group's rows as an array in the order of the fields. A group of more than `most` rows is an error: see ordered_rows."""
+    n = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("n"))
+    # counted before rows are gathered
+    fits = F.when(F.col("n") <= most, F.col("n")).otherwise(F.raise_error(F.concat(F.lit(f"more than {most} rows in group "), F.col("__g").cast("string"))).cast("long"))
+    checked = n.select("__g", fits.alias("n")).checkpoint()
+    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    return rows.join(checked, F.col(group).eqNullSafe(F.col("__g"))).select(group, "n", name)
 
 
 def restored(results: DataFrame, requests: DataFrame, key: str, ordinal: str) -> DataFrame:

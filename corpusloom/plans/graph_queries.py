@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from .registry import query
 
-#: Groups of 25 in which an edge must hold here: with four nearly every pair would.
-CONSERVED = 13
+#: Groups in which an edge must hold, as in the reference and the functions' defaults.
+CONSERVED = 4
 #: Permutations of the registered null models, as in the reference and the functions' default.
 PERMS = 200
 
@@ -92,15 +92,19 @@ def induced_edges(t):
 SELECT observed, round(avg(k), 2) AS null_mean, round(stddev_pop(k), 2) AS null_sd, max(k) AS null_max, CASE WHEN stddev_pop(k) > 0 THEN round((observed - avg(k)) / stddev_pop(k), 2) END AS z,
 round((count(*) FILTER (k >= observed) + 1) / {PERMS + 1}, 5) AS p FROM k, o GROUP BY observed""")
 def null_model_summary(t):
-    return G.null_summary(observed(t), G.null_counts(brand_sets(t), PERMS, min_groups=CONSERVED), PERMS)
+    sets = brand_sets(t).checkpoint()  # read by all branches
+    seen = G.conserved_edges(G.pmi_edges(G.pair_counts(sets)), CONSERVED)
+    return G.null_summary(seen, G.null_counts(sets, PERMS, min_groups=CONSERVED), PERMS)
 
 
 @query(f"{NULL} SELECT a, b, n_groups, cooccurrence, round(count(z.perm) / {PERMS}, 4) AS null_rate FROM c LEFT JOIN z USING (a, b) GROUP BY a, b, n_groups, cooccurrence")
 def edge_null_hit_rate(t):
-    return G.edge_hit_rate(observed(t), G.null_counts(brand_sets(t), PERMS, min_groups=CONSERVED), PERMS)
+    sets = brand_sets(t).checkpoint()  # read by all branches
+    seen = G.conserved_edges(G.pmi_edges(G.pair_counts(sets)), CONSERVED)
+    return G.edge_hit_rate(seen, G.null_counts(sets, PERMS, min_groups=CONSERVED), PERMS)
 
 
-_TRAIN, _TEST = (3, 9), (2, 6)
+_TRAIN, _TEST = (3, 4), (2, 2)
 _HOLD = f"""WITH {SETS}, s1 AS (SELECT * FROM s WHERE NOT held), s2 AS (SELECT * FROM s WHERE held), {counts_sql('o', 's1')}, {counts_sql('h', 's2')},
 tr AS (SELECT a, b FROM o_e WHERE {PMI.format(_TRAIN[0], 10)} GROUP BY a, b HAVING count(*) >= {_TRAIN[1]}),
 te AS (SELECT a, b FROM h_e WHERE {PMI.format(_TEST[0], 10)} GROUP BY a, b HAVING count(*) >= {_TEST[1]})"""
@@ -123,9 +127,20 @@ def lineage_edges(t):
     return G.per_lineage(brand_sets(t, False), brand_sets(t, True), _TRAIN).withColumnRenamed("group", "tradition")
 
 
-@query()
+def _propagated(rounds: int) -> str:
+    """CTEs l0 to l<rounds>: labels after each round of synchronous propagation over the edges c."""
+    out = """e AS (SELECT a AS u, b AS v, n_groups AS w FROM c UNION ALL SELECT b, a, n_groups FROM c), p AS (SELECT * FROM e UNION ALL SELECT u, u, max(w) FROM e GROUP BY u), l0 AS (SELECT DISTINCT u AS node, u AS label FROM e)"""
+    for i in range(1, rounds + 1):
+        votes = f"SELECT u AS node, label, sum(w) AS s FROM p JOIN l{i - 1} ON v = node GROUP BY u, label"
+        out += f", l{i} AS MATERIALIZED (SELECT node, label FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY s DESC, label DESC) AS r FROM ({votes})) WHERE r = 1)"
+    return out
+
+
+@query(f"""{BASE}, {_propagated(10)}, m AS (SELECT label, string_agg(node, ',' ORDER BY node) AS members, count(*) AS size FROM l10 GROUP BY 1 HAVING count(*) >= 2),
+n AS (SELECT x.label, count(*) AS internal_edges, round(avg(n_groups), 2) AS mean_groups FROM c JOIN l10 x ON x.node = a JOIN l10 y ON y.node = b WHERE x.label = y.label GROUP BY 1)
+SELECT m.label, members, size, coalesce(internal_edges, 0) AS internal_edges, mean_groups FROM m LEFT JOIN n USING (label)""")
 def edge_communities(t):
-    edges = observed(t)
+    edges = observed(t).checkpoint()
     c = G.communities(G.label_propagation(edges), edges)
     return c.withColumn("members", F.array_join("members", ","))
 

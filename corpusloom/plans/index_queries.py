@@ -186,15 +186,22 @@ def unbinned_families(t):
     return J.unbinned(n, "p_brand", "n", t("part").where("p_size >= 50 AND p_type = 'PROMO'"), 20).withColumnRenamed("p_brand", "family")
 
 
-@query()
+_MOTIF = "p_name || '/' || p_size"
+
+
+@query(f"""WITH RECURSIVE raw AS (SELECT DISTINCT {_MOTIF} AS m FROM part),
+i AS (SELECT {_MOTIF} AS m, min(p_brand) AS g FROM part WHERE p_size >= 40 GROUP BY 1), k AS (SELECT {_MOTIF} AS m, arg_min(p_brand, split_part(p_brand, '#', 2)::INTEGER) AS g FROM part WHERE p_size < 10 GROUP BY 1),
+hit AS (SELECT m, coalesce(i.g, k.g) AS g FROM i FULL JOIN k USING (m)), al AS (SELECT DISTINCT {_MOTIF} AS m, p_name || '/' || (p_size - 5) AS ref FROM part WHERE p_size BETWEEN 10 AND 39),
+walk AS (SELECT m, m AS at FROM raw UNION ALL SELECT w.m, al.ref FROM walk w JOIN al ON al.m = w.at WHERE w.at NOT IN (SELECT m FROM hit))
+SELECT raw.m AS motif, f.g AS group_id FROM raw LEFT JOIN (SELECT walk.m, hit.g FROM walk JOIN hit ON hit.m = walk.at) f ON f.m = raw.m""")
 def alias_resolution(t):
     """Part names resolved to brands through an index, members and a chain of aliases."""
     part = t("part")
-    groups = part.select(F.col("p_brand").alias("group_id")).distinct().withColumn("pos", F.xxhash64("group_id"))
-    members = part.where("p_size < 10").select(F.col("p_brand").alias("group_id"), F.xxhash64("p_brand").alias("pos"), F.concat_ws("/", "p_name", "p_size").alias("member")).distinct()
+    groups = part.select(F.col("p_brand").alias("group_id")).distinct().withColumn("pos", F.substring_index("group_id", "#", -1).cast("int"))
+    members = part.where("p_size < 10").select(F.col("p_brand").alias("group_id"), F.substring_index("p_brand", "#", -1).cast("int").alias("pos"), F.concat_ws("/", "p_name", "p_size").alias("member")).distinct()
     index = part.where("p_size >= 40").groupBy(F.concat_ws("/", "p_name", "p_size").alias("motif")).agg(F.min("p_brand").alias("group_id"))
     raw = part.select(F.concat_ws("/", "p_name", "p_size").alias("motif")).distinct()
-    aliases = part.where("p_size BETWEEN 10 AND 30").select(F.concat_ws("/", "p_name", "p_size").alias("alias"), F.lit(0).alias("ord"), F.concat_ws("/", "p_name", F.col("p_size") - 5).alias("ref")).distinct()
+    aliases = part.where("p_size BETWEEN 10 AND 39").select(F.concat_ws("/", "p_name", "p_size").alias("alias"), F.lit(0).alias("ord"), F.concat_ws("/", "p_name", F.col("p_size") - 5).alias("ref")).distinct()
     return J.resolve(raw, "motif", groups, members, aliases, index)
 
 
@@ -241,11 +248,11 @@ def latest_by_custom_id(t):
     return out.select("user_id", "event_type", "event_id", "value")
 
 
-@query("SELECT coalesce(nullif(source, 'src0'), 'unattributed') AS source, count(*) AS n, string_agg(lpad(doc_id::VARCHAR, 9, '0'), ',' ORDER BY lpad(doc_id::VARCHAR, 9, '0')) AS titles FROM documents GROUP BY 1")
+@query("""WITH s AS (SELECT coalesce(nullif(source, 'src0'), 'unattributed') AS source, lpad(doc_id::VARCHAR, 9, '0') AS title FROM documents)
+SELECT source, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY title) AS place, title FROM s""")
 def library_listing(t):
     df = t("documents").select(F.nullif("source", F.lit("src0")).alias("source"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("title"))
-    out = X.library(df, "source", "title")
-    return out.select("source", "n", F.array_join("titles", ",").alias("titles"))
+    return X.library(df, "source", "title")
 
 
 @query("""SELECT doc_id, field FROM (SELECT doc_id, unnest(list_filter([CASE WHEN trim(text) = '' OR text IS NULL THEN 'text' END, CASE WHEN nullif(lang, 'de') IS NULL THEN 'lang' END], lambda x: x IS NOT NULL)) AS field FROM documents)""")
@@ -314,9 +321,12 @@ def scalar_functions(t):
     return t("part").select("p_partkey", T.slug("p_name").alias("slug"), T.year_label(y).alias("year"), T.midpoint(F.col("p_size") - 50, F.col("p_size")).alias("middle"), T.path_tradition(path).alias("tradition"))
 
 
-@query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events")
+@query("""SELECT event_id, unnest(['k', 'deep.list.1.a', 'deep.list.2', 'deep.on']) AS path, unnest([json_extract_string(props, '$.k'), event_type, '7', 'true']) AS value FROM events""")
 def flat_fields(t):
-    return X.flat_fields(t("events"), "event_id", "props")
+    """Leaves of documents nested three levels deep, with a list."""
+    deep = F.concat(F.lit('{"list": [{"a": "'), "event_type", F.lit('"}, 7, null], "on": true, "none": {}}'))
+    doc = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "deep": '), deep, F.lit("}"))
+    return X.flat_fields(t("events").select("event_id", doc.alias("doc")), "event_id", "doc")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#2'")
@@ -327,16 +337,14 @@ def rights_gate(t):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def trickle_stream(t):
     """Hourly counts through a stream that reads what is there and ends."""
-    import uuid
-
     from ..streaming import trickle as S
+    from .source_queries import folder
 
     spark = t("events").sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/corpusloom-scratch"
-    home = f"{base.rstrip('/')}/trickle-{uuid.uuid4().hex}"
     rows = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    rows.repartition(4).write.parquet(f"{home}/in")
-    stream = S.trickle(spark, f"{home}/in", rows.schema, 2)
-    S.drain(stream, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{home}/out/epoch={epoch}"), f"{home}/state")
-    out = S.windowed(spark.read.parquet(f"{home}/out"), "ts", "event_type")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
+    with folder(spark, "trickle") as home:
+        rows.repartition(4).write.parquet(f"{home}/in")
+        stream = S.trickle(spark, f"{home}/in", rows.schema, 2)
+        S.drain(stream, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{home}/out/epoch={epoch}"), f"{home}/state")
+        out = S.windowed(spark.read.parquet(f"{home}/out"), "ts", "event_type")
+        return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n").checkpoint()

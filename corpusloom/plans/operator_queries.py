@@ -20,7 +20,7 @@ from .text_queries import _NSTOP, _PARA, _READ, _SIG, _STOP, _TOKS, LINES, lines
 
 @query(f"""WITH {LINES}, t AS (SELECT *, {_TOKS.format('line')} AS w, list_filter(regexp_split_to_array(trim(line), '\\s+'), lambda x: x <> '') AS a, len(regexp_replace(line, '\\s', '', 'g')) AS solid, len(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters,
   regexp_extract(trim(line), '^[0-9]{{1,4}}\\s+(.*)$', 1) AS rest, list_filter(list_transform(regexp_split_to_array(trim(line), '\\s+'), lambda x: regexp_replace(lower(x), '[^a-zāēīōū]', '', 'g')), lambda x: x <> '') AS p FROM l),
-u AS (SELECT *, {_NSTOP.format('w')} AS s, {_SIG.format('w')} AS f, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z]{{5,}}[.,;:!?]?$') AND regexp_matches(x, '(?i)[aeiou]') AND NOT regexp_matches(x, '[^\\x00-\\x7F]|[a-z][A-Z]|@'))) AS content FROM t)
+u AS (SELECT *, {_NSTOP.format('w').replace('len(x) >= 3 AND ', '')} AS s, {_SIG.format('w')} AS f, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z]{{5,}}[.,;:!?]?$') AND regexp_matches(x, '(?i)[aeiou]') AND NOT regexp_matches(x, '[^\\x00-\\x7F]|[a-z][A-Z]|@'))) AS content FROM t)
 SELECT doc_id, count(*) FILTER (trim(line) <> '' AND NOT regexp_matches(line, '[A-Za-z]{{3,}}')) AS no_word,
   count(*) FILTER (len(rest) BETWEEN 1 AND 50 AND len(regexp_replace(rest, '[^A-Za-z]', '', 'g')) >= 4 AND len(regexp_replace(rest, '[^A-Z]', '', 'g')) >= 0.7::DOUBLE * len(regexp_replace(rest, '[^A-Za-z]', '', 'g'))) AS verso,
   count(*) FILTER (solid > 0 AND letters < 0.4::DOUBLE * solid AND NOT regexp_matches(line, '[A-Za-z]{{4}}') AND len(list_filter(a, lambda x: regexp_matches(x, '^[A-Za-z]{{2,}}[.,;:!?]?$'))) < 0.5::DOUBLE * len(a)) AS soup,

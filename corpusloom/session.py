@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,3 +18,13 @@ SETTINGS = {
 
 def session(name: str = "corpusloom", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | settings).getOrCreate()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where it is unset and all runs in one process (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: the cluster must name a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "corpusloom-scratch")
+    return root.rstrip("/")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +51,10 @@ def yaml_index(df: DataFrame, header: dict, name: str, most: int = 100_000) -> s
 
 
 def markdown_table(df: DataFrame, most: int = 500) -> str:
-    """The first rows as a Markdown table."""
-    rows = df.limit(most).collect()
+    """The rows as a Markdown table; more than `most` are refused, since this is gathered (a report of the first ones takes top_n of them)."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: cut the report first")
     cells = lambda values: "| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in values) + " |"
     return "\n".join([cells(df.columns), cells(["---"] * len(df.columns)), *map(cells, rows)])
 
@@ -61,6 +64,16 @@ def replace_block(text: str, name: str, body: str) -> str:
     return re.sub(rf"(<!-- BEGIN {re.escape(name)} -->\n).*?(\n?<!-- END {re.escape(name)} -->)", lambda m: m[1] + body + m[2], text, flags=re.S)
 
 
+def write_files(df: DataFrame, path: str, key: str, content: str) -> None:
+    """One folder key=... for each row, its content as a text file there. Written by whichever task holds the row."""
+    df.select(key, F.col(content).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def text_catalog(df: DataFrame, key: str, fields: Sequence[str], path: str) -> None:
+    """The catalogue endpoint: one JSON line for each text, written in the order of its key."""
+    df.select(key, *fields).orderBy(key).write.mode("overwrite").json(path)
+
+
 def endpoint(summary: DataFrame) -> str:
     """A one-row summary as JSON."""
     row = summary.first()
