@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
 
 import public_tokenizers
 import pyarrow as pa
@@ -22,8 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import mapped, table
 
-#: Pre-tokens that a worker remembers; it forgets all when there are more. Longer ones aren't remembered.
-MEMO, MEMO_CHARS = 150_000, 64
+#: Pre-tokens that a generation of a worker's memo holds; the last two are kept. Longer ones aren't remembered.
+MEMO, MEMO_CHARS = 200_000, 64
+#: Characters of texts whose pre-tokens are encoded together.
+TOGETHER = 1_000_000
 #: First of the 256 characters that stand for bytes: letters without any meaning to sentencepiece.
 BASE = 0x4E00
 
@@ -87,8 +90,13 @@ class ByteBpe:
         self.rank_of = [-1] + [r for _, r in by_rank]  # piece number -> rank
         self.ranks = ranks
         self.bytes_of = {r: to_bytes(to_chars(b)) for b, r in by_rank}
+        # by piece number: the decimal rank, and the bytes
+        self.shown = ["-1"] + [str(r) for _, r in by_rank]
+        self.back = [b""] + [self.bytes_of[r] for _, r in by_rank]
         self.pattern = regex.compile(pattern)
-        self.memo: dict[str, tuple[int, str, bytes]] = {}
+        # two generations: what the former holds is taken over when it is met again
+        self.memo: dict[str, tuple[str, bytes]] = {}
+        self.former: dict[str, tuple[str, bytes]] = {}
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token: its own id if it is a token, else the merges' result."""
@@ -104,22 +112,47 @@ class ByteBpe:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def _known(self, piece: str) -> tuple[int, str, bytes]:
-        ids = self.encode_piece(piece)
-        found = len(ids), ",".join(map(str, ids)), self.decode(ids)
-        if len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[piece] = found
+    def _learn(self, pieces: set[str]) -> dict[str, tuple[str, bytes]]:
+        """piece -> (decimal ids joined by commas, decoded bytes) of pieces: of the memo, or encoded together and, unless long, remembered."""
+        memo, former, found, todo = self.memo, self.former, {}, []
+        shown, back, ranks = self.shown, self.back, self.ranks
+        for p in pieces.difference(memo):
+            known = former.get(p)
+            if known is not None:
+                memo[p] = known
+                continue
+            data = p.encode("utf-8", "surrogatepass")
+            own = ranks.get(data)
+            if own is not None:
+                memo[p] = str(own), self.bytes_of[own]
+            else:
+                todo.append((p, to_chars(data)))
+        if todo:
+            for (p, _), merged in zip(todo, self.model.encode([c for _, c in todo], num_threads=1)):
+                # piece numbers to decimal ranks, and by the inverse mapping to bytes
+                entry = ",".join([shown[i] for i in merged]), b"".join([back[i] for i in merged])
+                (memo if len(p) <= MEMO_CHARS else found)[p] = entry
         return found
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, sha256 of the decimal ids joined by commas, sha256 of the decoded bytes)."""
-        get, known = self.memo.get, self._known
-        found = [get(p) or known(p) for p in self.pattern.findall(text)]
-        ids = ",".join([x[1] for x in found])
-        back = b"".join([x[2] for x in found])
-        return sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+    def digests(self, texts: Sequence[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: number of ids, sha256 of the decimal ids joined by commas, sha256 of the decoded bytes."""
+        at = 0
+        while at < len(texts):
+            lists, size = [], 0
+            while at < len(texts) and size < TOGETHER:  # bounded memory; a longer text is worked on alone
+                lists.append(self.pattern.findall(texts[at]))
+                size += len(texts[at])
+                at += 1
+            passing = self._learn(set().union(*lists))
+            memo = self.memo
+            get = memo.__getitem__ if not passing else lambda p: passing[p] if p in passing else memo[p]
+            for pieces in lists:
+                found = [get(p) for p in pieces]
+                ids = ",".join([x[0] for x in found])
+                back = b"".join([x[1] for x in found])
+                yield ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+            if len(self.memo) > MEMO:
+                self.former, self.memo = self.memo, {}
 
 
 @functools.lru_cache(maxsize=2)
@@ -129,7 +162,7 @@ def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBpe:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int) for each row of docs; a null or empty text has no ids."""
+    """doc_id, ids (array of int) for each row of docs; a null or empty text has no ids. Long texts are encoded whole, repeated rows each; an empty table gives an empty result."""
 
     def make():
         bpe = codec(path)
@@ -139,7 +172,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, text of (doc_id, ids); bytes that aren't UTF-8 become U+FFFD, null ids an empty text."""
+    """doc_id, text of (doc_id, ids); bytes that aren't UTF-8 become U+FFFD, null ids an empty text. Repeated rows are decoded each; an empty table gives an empty result."""
 
     def make():
         bpe = codec(path)
@@ -156,12 +189,14 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def make():
+        gc.set_threshold(200_000, 20, 100)  # the memo's many small objects hold no cycles
         bpe = codec(path)
-        return lambda texts: tuple(zip(*[bpe.digest(t or "") for t in texts])) or ((), (), ())
+        return lambda texts: tuple(zip(*bpe.digests([t or "" for t in texts]))) or ((), (), ())
 
     added = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
     return mapped(docs, ["doc_id"], ["text"], make, added)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """round_trip() of the whole table `documents`; nulls, empty and long texts, repeated rows and an empty table as there."""
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
