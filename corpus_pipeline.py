@@ -11,26 +11,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import byte_bpe, cube_mix, pii_boost, quality_rules, simhash_dedup
-from corpusloom.llm.common import materialise
+from corpusloom.llm.common import delete, scratch, scratch_path, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that a quality rule rejects: null and empty texts go, long ones count whole, repeated rows stay as often; columns as they were."""
     return quality_rules.keep_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies, that of the smallest doc_id; of rows that repeat it one, of classes of null ids one; columns as they were."""
     return simhash_dedup.keep_one(docs, threshold=4)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with personal data in text replaced and n_chars set anew: null and empty texts stay, long ones are read whole, repeated rows are redacted alike."""
     return pii_boost.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs as often as the mix takes each row, at most twice: repeated rows are taken each, null and empty texts count no words; columns as they were."""
     return cube_mix.take_mix(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and of the bytes decoded from them, for each row: null texts as empty ones, long ones whole, repeated rows each."""
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
@@ -41,7 +46,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in turn over the whole table `documents`; the rows of the last.
+
+    Null, empty and long texts, repeated rows, extra columns of any name and empty
+    tables pass as the stages say. What a stage has used is deleted once its rows are written, and its input once the
+    next stage's rows are: only the last stage's stay, until common.release.
+    """
+    docs, former = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), path)
+        if former:
+            delete(spark, former)
+        former = path
     return docs
