@@ -78,3 +78,40 @@ def enrichment(df: DataFrame, tier: str, rejected: str) -> DataFrame:
     total = df.agg(F.count_if(F.col(rejected)).alias("__rejected"), F.count(F.lit(1)).alias("__every"))
     both = per.join(F.broadcast(total))  # one row
     return both.select(tier, F.round(F.col("__r") / F.nullif("__rejected", F.lit(0)), 4).alias("share_rejected"), F.round(F.col("__n") / F.col("__every"), 4).alias("share_all"))
+
+
+def pairwise_canonical(sets: DataFrame, mapping: DataFrame, ref: str, canonical: str) -> DataFrame:
+    """(run_a, run_b, shared, mean_raw_jaccard, mean_canonical_jaccard, exact_canonical_rate): pairwise() on references and on what they resolve to.
+
+    mapping (ref, canonical) has one row a reference; a reference without one counts in the raw sets only.
+    """
+    m = mapping.select(F.col(ref).alias("__ref"), F.col(canonical).alias("__canonical"))
+    named = sets.select("run", "passage", F.explode("refs").alias("__r")).join(m, F.col("__r") == F.col("__ref"))
+    found = named.groupBy(F.col("run").alias("__run"), F.col("passage").alias("__passage")).agg(F.array_sort(F.collect_set("__canonical")).alias("__c"))
+    both = sets.join(found, (F.col("run") == F.col("__run")) & (F.col("passage") == F.col("__passage")), "left")
+    none = F.array().cast(f"array<{mapping.schema[canonical].dataType.simpleString()}>")
+    value = F.struct("refs", F.coalesce("__c", none).alias("canonical"))
+    pairs = shared_keys(both.select("run", "passage", value.alias("value")), "run", "passage", "value")
+    a, b = F.col("value_a"), F.col("value_b")
+    return pairs.groupBy("run_a", "run_b").agg(
+        F.count(F.lit(1)).alias("shared"), F.round(F.avg(jaccard(a["refs"], b["refs"])), 4).alias("mean_raw_jaccard"),
+        F.round(F.avg(jaccard(a["canonical"], b["canonical"])), 4).alias("mean_canonical_jaccard"),
+        F.round(F.avg((a["canonical"] == b["canonical"]).cast("int")), 4).alias("exact_canonical_rate"),
+    )
+
+
+def gate_report(verdicts: DataFrame, honeypot: str, verdict: str, caught: tuple[str, ...] = ("revise", "reject"), worst: str = "reject") -> DataFrame:
+    """(part, name, n, rate): verdicts of real records, seeded ones caught by kind, records gated, and escalations (real ones of the worst verdict)."""
+    real = verdicts.where(F.col(honeypot).isNull())
+    none, n = F.lit(None).cast("double").alias("rate"), F.count(F.lit(1)).alias("n")
+    per = real.groupBy(F.col(verdict).alias("name")).agg(n).select(F.lit("verdict").alias("part"), "name", "n", none)
+    kinds = gate_sensitivity(verdicts.where(F.col(honeypot).isNotNull()).withColumn("__bad", F.col(verdict).isin(*caught)), honeypot, "__bad")
+    seeded = kinds.select(F.lit("honeypot").alias("part"), F.col(honeypot).alias("name"), F.col("total").alias("n"), F.col("sensitivity").alias("rate"))
+    total = real.agg(n).select(F.lit("total").alias("part"), F.lit("records_gated").alias("name"), "n", none)
+    up = escalated(verdicts, honeypot, verdict, worst).agg(n).select(F.lit("total").alias("part"), F.lit("escalations").alias("name"), "n", none)
+    return per.unionByName(seeded).unionByName(total).unionByName(up)
+
+
+def escalated(verdicts: DataFrame, honeypot: str, verdict: str, worst: str = "reject") -> DataFrame:
+    """Real records of the worst verdict: these go to a second reader."""
+    return verdicts.where(F.col(honeypot).isNull() & (F.col(verdict) == worst))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import slug
 from .windows import ordered_lists
 
 # Half-open eras (id, from, to) of signed years.
@@ -26,6 +27,12 @@ def occurrence_index(df: DataFrame, key: str, group: str, label: str | None = No
     return out
 
 
+def refs_or_label(refs: Column, label: Column | str) -> Column:
+    """A motif's references as slugs; without any, its label's slug is the one."""
+    own = F.coalesce(F.transform(refs, lambda r: slug(r)), F.array().cast("array<string>"))
+    return F.when(F.size(own) > 0, own).otherwise(F.array(slug(label)))
+
+
 def occurrence_lists(df: DataFrame, key: str, order: Sequence[str], keep: Sequence[str], most: int | None = None) -> DataFrame:
     """(key, occurrences): the rows of each key as an ordered array; with `most` only the first so many, cut before they are gathered.
 

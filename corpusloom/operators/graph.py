@@ -8,7 +8,7 @@ of 200 is a job and not a loop.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -263,6 +263,14 @@ def per_lineage(train: DataFrame, test: DataFrame, train_at: tuple[int, int] = (
     return n.join(present, F.col("group") == F.col("__g"), "left").select("group", "records", F.coalesce("k", F.lit(0)).alias("present"))
 
 
+def hard_core(train: DataFrame, test: DataFrame, groups: Sequence, train_at: tuple[int, int] = (3, 4), test_at: tuple[int, int] = (2, 2), min_records: int = 10) -> DataFrame:
+    """One row (training_edges, reproduced, rate): the training edges that the listed held-out groups alone show again."""
+    known = edge_set(train, *train_at, min_records).checkpoint()
+    seen = edge_set(test.where(F.col("group").isin(*groups)), *test_at, min_records)
+    both = known.agg(F.count(F.lit(1)).alias("training_edges")).join(seen.join(known, ["a", "b"], "left_semi").agg(F.count(F.lit(1)).alias("reproduced")))  # one row each
+    return both.withColumn("rate", F.when(F.col("training_edges") > 0, F.round(F.col("reproduced") / F.col("training_edges"), 4)))
+
+
 def label_propagation(edges: DataFrame, weight: str = "n_groups", rounds: int = 10) -> DataFrame:
     """(node, label): synchronous propagation; a node takes the label of greatest (weight, label) among its neighbours and itself.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
+from ..sources.readers import raw_extensions
 
 
 def _doc(doc: str) -> Window:
@@ -220,6 +221,20 @@ def tail_backtrack(lines: DataFrame, marker: str, min_words: int = 2, doc: str =
     return marked.withColumn("__end", F.when(F.col("__m").isNotNull(), F.coalesce(end, F.lit(0)))).where(F.col("__m").isNull() | (F.col("line_no") <= F.col("__end"))).select(*lines.columns)
 
 
+# What clean Markdown doesn't hold.
+HTML_ENTITY = r"&(?:amp|apos|copy|gt|ldquo|lsquo|mdash|nbsp|ndash|quot|rdquo|rsquo);|&#(?:\d+|x[0-9a-fA-F]+);"
+HTML_TAG = r"</?[A-Za-z][A-Za-z0-9:-]*(?:\s+[^<>]*)?/?>"
+SCRIPT_TAG = r"(?i)</?(?:script|style)\b[^>]*>"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+
+
+def raw_downloads(files: DataFrame, path: str = "path") -> DataFrame:
+    """(path, line_no, rule): the lint's rule of files: raw downloads among the clean texts, hidden files apart."""
+    name = F.element_at(F.split(F.col(path), "/"), -1)
+    found = raw_extensions(files.where(~name.startswith(".")), path)
+    return found.select(path, F.lit(1).alias("line_no"), F.lit("raw download file").alias("rule"))
+
+
 def lint(lines: DataFrame, doc: str = "doc_id", texts_only: Column | None = None) -> DataFrame:
     """(doc, line_no, rule) for each broken rule of clean Markdown.
 
@@ -241,13 +256,13 @@ def lint(lines: DataFrame, doc: str = "doc_id", texts_only: Column | None = None
     marked = marked.withColumn("__n", F.when(F.col("__blank"), n))
     content = F.regexp_replace(line, "`[^`\n]*`", "")
     prose = ~F.col("__front") & (F.col("__fences") % 2 == 0)
-    script = content.rlike(r"(?i)</?(?:script|style)\b[^>]*>")
-    tag = content.rlike(r"</?[A-Za-z][A-Za-z0-9:-]*(?:\s+[^<>]*)?/?>") & ~content.rlike(r"^\s*<!--.*-->\s*$")
-    entity = content.rlike(r"&(?:amp|apos|copy|gt|ldquo|lsquo|mdash|nbsp|ndash|quot|rdquo|rsquo);|&#(?:\d+|x[0-9a-fA-F]+);")
+    script = content.rlike(SCRIPT_TAG)
+    tag = content.rlike(HTML_TAG) & ~content.rlike(r"^\s*<!--.*-->\s*$")
+    entity = content.rlike(HTML_ENTITY)
     rules = [
         F.when((F.col("line_no") == F.col("__last")) & (line != ""), "missing final newline"),
         F.when(line.rlike(r"[ \t]+$"), "trailing whitespace"),
-        F.when(line.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), "control character"),
+        F.when(line.rlike(CONTROL), "control character"),
         F.when(F.col("__n") == 3, "excessive blank lines"),
         F.when(prose & script, "script/style tag").when(prose & tag, "raw HTML tag"),
         F.when(prose & entity, "undecoded HTML entity"),

@@ -136,3 +136,35 @@ def polled(history: DataFrame, job: str, time: str, status: str = "status", term
     counted = both.where(F.col("__end").isNull() | (F.col(time) <= F.col("__end").getField(time)))
     last = F.coalesce("__end", "__last")
     return counted.groupBy(job, last.alias("__s")).agg(F.count(F.lit(1)).alias("polls")).select(job, F.col("__s").getField(status).alias("status"), F.col("__s").getField(time).alias("at"), "polls")
+
+
+def _request(key: Column, model: str, prompt: Column) -> list[Column]:
+    body = F.to_json(F.struct(F.lit(model).alias("model"), prompt.alias("input")))
+    return [key.alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/responses").alias("url"), body.alias("body")]
+
+
+def pair_requests(edges: DataFrame, a: str, b: str, profiles: DataFrame, key: str, profile: str, model: str, template: str) -> DataFrame:
+    """Requests that compare the two ends of each edge: the template takes both keys and both profiles, in the order a, its profile, b, its profile."""
+    p = profiles.groupBy(key).agg(F.max(profile).alias(profile))
+    pa, pb = (p.select(F.col(key).alias(f"__{s}"), F.col(profile).alias(f"__p{s}")) for s in "ab")
+    both = edges.join(pa, F.col(a) == F.col("__a")).join(pb, F.col(b) == F.col("__b"))
+    custom = F.concat_ws(":", F.lit("edge"), F.col(a).cast("string"), F.col(b).cast("string"))
+    return both.select(*_request(custom, model, F.format_string(template, F.col(a), F.col("__pa"), F.col(b), F.col("__pb"))))
+
+
+def group_requests(df: DataFrame, group: str, child: str, order: Sequence[Column | str], model: str, template: str, label: str = "group", least: int = 1, most: int = 200) -> DataFrame:
+    """One request for each group of `least` children or more: the template takes the group, its number of children and the first `most` of them, a line each."""
+    n = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
+    first = df.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__r") <= most)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", F.col(child).cast("string").alias("__c")))), lambda r: F.concat(F.lit("- "), r["__c"])), "\n")
+    both = first.groupBy(group).agg(listed.alias("__l")).join(n, F.col(group) == F.col("__g"))
+    custom = F.concat_ws(":", F.lit(label), F.col(group).cast("string"))
+    return both.select(*_request(custom, model, F.format_string(template, F.col(group), F.col("__n"), F.col("__l"))))
+
+
+def table_request(df: DataFrame, columns: Sequence[str], order: Sequence[Column | str], model: str, template: str, custom_id: str, most: int = 500) -> DataFrame:
+    """One request over the first `most` rows of a table, a line of its columns each: the template takes their number and the lines."""
+    top = df.orderBy(*order).limit(most).select(F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]).alias("__line"), *[F.col(c) for c in columns])
+    ranks = top.withColumn("__r", F.row_number().over(Window.orderBy(*order)))  # `most` rows
+    lines = ranks.agg(F.count(F.lit(1)).alias("__n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__line"))), lambda r: r["__line"]), "\n").alias("__l"))
+    return lines.select(*_request(F.lit(custom_id), model, F.format_string(template, F.col("__n"), F.col("__l"))))

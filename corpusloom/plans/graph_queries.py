@@ -127,6 +127,14 @@ def lineage_edges(t):
     return G.per_lineage(brand_sets(t, False), brand_sets(t, True), _TRAIN).withColumnRenamed("group", "tradition")
 
 
+@query(f"""{_HOLD}, s3 AS (SELECT * FROM s2 WHERE g IN ('NATION_0', 'NATION_1', 'NATION_5', 'NATION_6', 'NATION_10')), {counts_sql('k', 's3')},
+tk AS (SELECT a, b FROM k_e WHERE {PMI.format(_TEST[0], 10)} GROUP BY a, b HAVING count(*) >= {_TEST[1]}), m AS (SELECT (SELECT count(*) FROM tr) AS t, (SELECT count(*) FROM tr JOIN tk USING (a, b)) AS r)
+SELECT t AS training_edges, r AS reproduced, CASE WHEN t > 0 THEN round(r / t, 4) END AS rate FROM m""")
+def hard_core_prediction(t):
+    """The holdout test on a listed subset of the held-out groups."""
+    return G.hard_core(brand_sets(t, False), brand_sets(t, True), ["NATION_0", "NATION_1", "NATION_5", "NATION_6", "NATION_10"], _TRAIN, _TEST)
+
+
 def _propagated(rounds: int) -> str:
     """CTEs l0 to l<rounds>: labels after each round of synchronous propagation over the edges c."""
     out = """e AS (SELECT a AS u, b AS v, n_groups AS w FROM c UNION ALL SELECT b, a, n_groups FROM c), p AS (SELECT * FROM e UNION ALL SELECT u, u, max(w) FROM e GROUP BY u), l0 AS (SELECT DISTINCT u AS node, u AS label FROM e)"""

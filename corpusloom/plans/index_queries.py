@@ -34,14 +34,31 @@ def motif_occurrence_index(t):
     return out.select(F.col("p_name").alias("motif"), "total", "n_groups", groups.alias("groups"))
 
 
+@query(f"""WITH {_F}, m AS (SELECT CASE WHEN p_size % 5 = 0 THEN trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') ELSE trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') END AS motif, p_name, l_orderkey * 1000000 + l_partkey AS o, n_name
+  FROM (SELECT f.*, part.p_size AS size_ FROM f JOIN part ON f.l_partkey = part.p_partkey))
+SELECT motif, arg_min(p_name, (o, p_name)) AS label, count(*) AS total, count(DISTINCT n_name) AS n_groups FROM m GROUP BY 1""")
+def occurrence_labels(t):
+    """The occurrence index of motifs that may have no references: then the label's slug is the motif. Labels are the first seen."""
+    sized = facts(t).join(t("part").select(F.col("p_partkey").alias("__k"), "p_size"), F.col("l_partkey") == F.col("__k"))
+    refs = F.when(F.col("p_size") % 5 != 0, F.array("p_brand")).otherwise(F.array().cast("array<string>"))
+    rows = sized.withColumn("motif", F.explode(Q.refs_or_label(refs, F.col("p_name")))).withColumn("o", F.col("l_orderkey") * 1000000 + F.col("l_partkey"))
+    return Q.occurrence_index(rows, "motif", "n_name", "p_name", "o").select("motif", "label", "total", "n_groups")
+
+
 @query(f"""WITH {_F}, c AS (SELECT p_partkey, n_name, count(*) AS n FROM f GROUP BY ALL),
-g AS (SELECT p_brand, sum(n)::BIGINT AS occurrences, count(DISTINCT n_name) AS traditions, count(DISTINCT c.p_partkey) AS mapped FROM c JOIN part USING (p_partkey) GROUP BY 1)
-SELECT p_brand AS family, occurrences, traditions, mapped, row_number() OVER (ORDER BY traditions DESC, occurrences DESC, p_brand) AS rank FROM g""")
+g AS (SELECT p_brand, sum(n)::BIGINT AS occurrences, count(DISTINCT n_name) AS traditions, count(DISTINCT c.p_partkey) AS mapped FROM c JOIN part USING (p_partkey) GROUP BY 1),
+e AS (SELECT 'Empty' AS p_brand, FALSE AS is_meta UNION ALL SELECT DISTINCT p_brand, split_part(p_brand, '#', 2)::INTEGER % 6 = 0 FROM part)
+SELECT p_brand AS family, is_meta, coalesce(occurrences, 0)::BIGINT AS occurrences, coalesce(traditions, 0) AS traditions, coalesce(mapped, 0) AS mapped,
+row_number() OVER (ORDER BY is_meta, coalesce(traditions, 0) DESC, coalesce(occurrences, 0) DESC, p_brand) AS rank FROM e LEFT JOIN g USING (p_brand)""")
 def canonical_frequency(t):
+    """Groups by traditions and occurrences, meta groups last; a group without members stays."""
     counts = facts(t).groupBy("l_partkey", "n_name").agg(F.count(F.lit(1)).alias("n"))
-    out = Q.canonical_rollup(counts, t("part").select("p_brand", F.col("p_partkey").alias("l_partkey")), "l_partkey", "n_name", "n", "p_brand")
-    out = W.ranked(out.drop("is_meta"), [F.desc("traditions"), F.desc("occurrences"), "p_brand"])
-    return out.withColumnRenamed("p_brand", "family").withColumn("rank", F.col("rank").cast("long"))
+    meta = F.substring_index("p_brand", "#", -1).cast("int") % 6 == 0
+    groups = t("part").select("p_brand", F.col("p_partkey").alias("l_partkey"), meta.alias("meta"))
+    empty = groups.sparkSession.createDataFrame([("Empty", None, False)], groups.schema)
+    out = Q.canonical_rollup(counts, groups.unionByName(empty), "l_partkey", "n_name", "n", "p_brand", "meta")
+    out = W.ranked(out, ["is_meta", F.desc("traditions"), F.desc("occurrences"), "p_brand"])
+    return out.withColumnRenamed("p_brand", "family")
 
 
 @query(f"""WITH {_F}, c AS (SELECT p_brand, n_name, count(*) AS n FROM f GROUP BY ALL)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import integrity as I
 from ..operators import joins as J
+from ..operators import lines as D
 from ..operators import pipeline as P
 from ..operators import sets as X
 from ..operators import windows as W
@@ -184,6 +185,14 @@ def raw_files(t):
     return R.raw_extensions(t("part").select("p_partkey", path.alias("path")))
 
 
+@query(f"SELECT 'texts/' || p_partkey || '.' || list_extract({list(_EXT)}, (p_size % 7 + 1)::INTEGER) AS path, 1 AS line_no, 'raw download file' AS rule FROM part WHERE p_size % 7 IN (1, 2, 4, 5)")
+def raw_file_rule(t):
+    """The lint's rule of files."""
+    path = F.concat(F.lit("texts/"), F.col("p_partkey").cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, _EXT)), (F.col("p_size") % 7 + 1).cast("int")))
+    hidden = t("part").select(F.concat(F.lit("texts/."), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"))
+    return D.raw_downloads(t("part").select(path.alias("path")).unionByName(hidden))
+
+
 @query("SELECT 'nation' AS collection, n_name AS name, n_regionkey::BIGINT AS regionkey FROM nation UNION ALL SELECT 'region', r_name, NULL FROM region")
 def collections_written(t):
     """JSON lines of two collections, read back as the atlas."""
@@ -375,3 +384,30 @@ def trickle_merge(t):
             raise RuntimeError("the run ended before the stream was empty")
         S.vacuum(spark, f"{home}/out")
         return kept(S.read_merged(spark, f"{home}/out"))
+
+
+_BODY = """'{{"model":"m","input":"' || {0} || '"}}'"""
+
+
+@query(f"""WITH e AS (SELECT DISTINCT p_brand AS a, 'Brand#1' AS b FROM part WHERE p_brand > 'Brand#1'), p AS (SELECT p_brand AS k, max(p_name) AS v FROM part GROUP BY 1)
+SELECT 'edge:' || a || ':' || b AS custom_id, 'POST' AS method, '/v1/responses' AS url, {_BODY.format("'Compare ' || a || ' (' || x.v || ') with ' || b || ' (' || y.v || ')'")} AS body FROM e JOIN p x ON x.k = a JOIN p y ON y.k = b""")
+def edge_requests(t):
+    """Requests that compare the two ends of an edge."""
+    edges = t("part").where("p_brand > 'Brand#1'").select(F.col("p_brand").alias("a"), F.lit("Brand#1").alias("b")).distinct()
+    return P.pair_requests(edges, "a", "b", t("part"), "p_brand", "p_name", "m", "Compare %s (%s) with %s (%s)")
+
+
+@query(f"""WITH r AS (SELECT p_brand, p_name, p_partkey, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part),
+l AS (SELECT p_brand, n, string_agg('- ' || p_name, '\\n' ORDER BY p_partkey) AS l FROM r WHERE r <= 5 AND n >= 8 GROUP BY ALL)
+SELECT 'bins:' || p_brand AS custom_id, 'POST' AS method, '/v1/responses' AS url, {_BODY.format("'Bin the ' || n || ' of ' || p_brand || ':' || chr(92) || 'n' || l")} AS body FROM l""")
+def binning_requests(t):
+    """One request for each large family, with the first of its children."""
+    return P.group_requests(t("part"), "p_brand", "p_name", ["p_partkey"], "m", "Bin the %2$s of %1$s:\n%3$s", "bins", 8, 5)
+
+
+@query(f"""WITH n AS (SELECT n_regionkey, count(*) AS c FROM nation GROUP BY 1), l AS (SELECT count(*) AS k, string_agg(n_regionkey || ' | ' || c, '\\n' ORDER BY c DESC, n_regionkey) AS l FROM n)
+SELECT 'synthesis' AS custom_id, 'POST' AS method, '/v1/responses' AS url, {_BODY.format("k || ' rows:' || chr(92) || 'n' || l")} AS body FROM l""")
+def synthesis_request(t):
+    """One request over a whole report."""
+    df = t("nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("c"))
+    return P.table_request(df, ["n_regionkey", "c"], [F.desc("c"), "n_regionkey"], "m", "%s rows:\n%s", "synthesis")

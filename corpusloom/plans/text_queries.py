@@ -96,7 +96,7 @@ _LINT = f"""WITH {LINES}, x AS (SELECT *, max(line_no) OVER (PARTITION BY doc_id
 y AS (SELECT *, trim(line) = '' AND (line_no < lst OR line <> '') AS blank, regexp_replace(line, '`[^`\\n]*`', '', 'g') AS body FROM x),
 z AS (SELECT *, sum((NOT blank)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS solid FROM y),
 w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, solid, blank ORDER BY line_no) AS n, fences % 2 = 0 AS prose FROM z)"""
-_SCRIPT, _TAG = r"regexp_matches(body, '(?i)</?(?:script|style)\b[^>]*>')", r"regexp_matches(body, '</?[A-Za-z][A-Za-z0-9:-]*(?:\s+[^<>]*)?/?>')"
+_SCRIPT, _TAG = f"regexp_matches(body, '{D.SCRIPT_TAG}')", f"regexp_matches(body, '{D.HTML_TAG}')"
 
 
 @query(f"""{_LINT} SELECT doc_id, line_no, 'missing final newline' AS rule FROM w WHERE line_no = lst AND line <> ''
@@ -105,8 +105,8 @@ UNION ALL SELECT doc_id, line_no, 'control character' FROM w WHERE regexp_matche
 UNION ALL SELECT doc_id, line_no - 2, 'excessive blank lines' FROM w WHERE blank AND n = 3
 UNION ALL SELECT doc_id, line_no, 'script/style tag' FROM w WHERE prose AND {_SCRIPT}
 UNION ALL SELECT doc_id, line_no, 'raw HTML tag' FROM w WHERE prose AND NOT {_SCRIPT} AND {_TAG} AND NOT regexp_matches(body, '^\\s*<!--.*-->\\s*$')
-UNION ALL SELECT doc_id, line_no, 'undecoded HTML entity' FROM w WHERE prose AND regexp_matches(body, '&(?:amp|apos|copy|gt|ldquo|lsquo|mdash|nbsp|ndash|quot|rdquo|rsquo);|&#(?:[0-9]+|x[0-9a-fA-F]+);')
-UNION ALL SELECT doc_id, line_no, 'distributor boilerplate' FROM w WHERE prose AND regexp_matches(trim(line), '(?i)project gutenberg|gutenberg (?:ebook|e-text)|this eBook is for the use of anyone anywhere')""")
+UNION ALL SELECT doc_id, line_no, 'undecoded HTML entity' FROM w WHERE prose AND regexp_matches(body, '{D.HTML_ENTITY}')
+UNION ALL SELECT doc_id, line_no, 'distributor boilerplate' FROM w WHERE prose AND regexp_matches(trim(line), '{"|".join(L.DISTRIBUTOR)}')""")
 def markdown_lint(t):
     return D.lint(lines_of(t))
 
@@ -164,6 +164,40 @@ def replication_agreement(t):
     return A.pairwise(A.reading_sets(readings(t), "event_type", "user_id", "k"))
 
 
+@query(f"""WITH e AS (SELECT event_type AS run, user_id AS passage, json_extract_string(props, '$.k') AS k FROM events),
+r AS (SELECT run, passage, list_distinct(list(k)) AS refs, list_distinct(list(nullif(k::INTEGER // 10, 3))) AS canon FROM e GROUP BY ALL),
+p AS (SELECT x.run AS run_a, y.run AS run_b, list_sort(x.canon) = list_sort(y.canon) AS same, len(list_intersect(x.refs, y.refs)) AS i, len(list_distinct(x.refs || y.refs)) AS u,
+  len(list_intersect(x.canon, y.canon)) AS ci, len(list_distinct(x.canon || y.canon)) AS cu FROM r x JOIN r y ON x.passage = y.passage AND x.run < y.run)
+SELECT run_a, run_b, count(*) AS shared, round(avg(CASE WHEN u = 0 THEN 1 ELSE i / u END), 4) AS mean_raw_jaccard, round(avg(CASE WHEN cu = 0 THEN 1 ELSE ci / cu END), 4) AS mean_canonical_jaccard,
+round(avg(same::INT), 4) AS exact_canonical_rate FROM p GROUP BY ALL""")
+def canonical_agreement(t):
+    """Agreement of runs on raw references and on the groups that these resolve to; one group of references has none."""
+    k = F.col("k").cast("int")
+    mapping = readings(t).select("k", F.nullif(F.floor(k / 10).cast("string"), F.lit("3")).alias("group_id")).where("group_id IS NOT NULL").distinct()
+    return A.pairwise_canonical(A.reading_sets(readings(t), "event_type", "user_id", "k"), mapping, "k", "group_id")
+
+
+@query("""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN lang END AS honeypot, CASE WHEN quality = 0 THEN 'reject' WHEN toxic = 1 THEN 'revise' ELSE 'accept' END AS verdict FROM labels JOIN documents USING (doc_id))
+SELECT 'verdict' AS part, verdict AS name, count(*) AS n, NULL::DOUBLE AS rate FROM v WHERE honeypot IS NULL GROUP BY 2
+UNION ALL SELECT 'honeypot', honeypot, count(*), round(count(*) FILTER (verdict IN ('revise', 'reject')) / count(*), 3) FROM v WHERE honeypot IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'total', 'records_gated', count(*), NULL FROM v WHERE honeypot IS NULL UNION ALL SELECT 'total', 'escalations', count(*), NULL FROM v WHERE honeypot IS NULL AND verdict = 'reject'""")
+def gate_report(t):
+    """A gate's verdicts on real records, its sensitivity to seeded ones by kind, and how many records go to a second reader."""
+    return A.gate_report(_verdicts(t), "honeypot", "verdict")
+
+
+def _verdicts(t):
+    both = t("labels").join(t("documents").select("doc_id", "lang"), "doc_id")
+    verdict = F.when(F.col("quality") == 0, "reject").when(F.col("toxic") == 1, "revise").otherwise("accept")
+    return both.select("doc_id", F.when(F.col("doc_id") % 6 == 0, F.col("lang")).alias("honeypot"), verdict.alias("verdict"))
+
+
+@query("SELECT doc_id FROM labels JOIN documents USING (doc_id) WHERE doc_id % 6 <> 0 AND quality = 0")
+def escalations(t):
+    """Real records that the gate rejects."""
+    return A.escalated(_verdicts(t), "honeypot", "verdict").select("doc_id")
+
+
 @query("""WITH l AS (SELECT DISTINCT user_id, event_type, json_extract_string(props, '$.k') AS k FROM events), c AS (SELECT user_id, k, count(*) AS readers FROM l GROUP BY ALL)
 SELECT user_id AS passage, k AS family, readers, CASE WHEN readers >= 3 THEN 'confirmed' WHEN readers = 2 THEN 'corroborated' ELSE 'provisional' END AS tier FROM c WHERE user_id IN (SELECT user_id FROM l GROUP BY 1 HAVING count(DISTINCT event_type) >= 2)""")
 def consensus_tiers(t):
@@ -230,6 +264,16 @@ def embedding_ingest(t):
     return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {_UNIT}, x AS (SELECT vec_id % 2 AS pile, (vec_id // 2) % 8 AS cluster, unnest(v) AS x, unnest(range(len(v))) AS i FROM u), m AS (SELECT pile, cluster, i, avg(x) AS x FROM x GROUP BY ALL),
+c AS (SELECT pile, cluster, list(x ORDER BY i) AS v, sqrt(sum(x * x)) AS n FROM m GROUP BY ALL),
+p AS (SELECT a.cluster, b.cluster AS partner, list_inner_product(a.v, b.v) / (a.n * b.n) AS c FROM c a JOIN c b ON a.pile = 0 AND b.pile = 1)
+SELECT cluster, partner, round(c, 4) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY c DESC, partner) AS r FROM p) WHERE r = 1""")
+def centroid_alignment(t):
+    """Two piles with given clusters, their centroids aligned."""
+    df = t("embeddings").withColumn("cluster", F.floor(F.col("vec_id") / 2) % 8)
+    return V.aligned(*[V.centroids(df.where(w), "cluster", "embedding") for w in ("vec_id % 2 = 0", "vec_id % 2 = 1")])
+
+
 @query()
 def crown_alignment(t):
     """Two piles clustered blind, their centroids aligned."""
