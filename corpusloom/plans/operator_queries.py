@@ -218,3 +218,30 @@ SELECT (SELECT round(corr(x, y), 4) FROM r) AS spearman, (SELECT round(max(g), 4
 def rank_statistics(t):
     a, b = t("customer").select(F.floor("c_acctbal").alias("v")), t("supplier").select(F.floor("s_acctbal").alias("v"))
     return V.spearman(t("customer"), "c_acctbal", "c_nationkey").join(F.broadcast(V.ks_distance(a, b, "v")))  # one row each
+
+
+_VOWELS = "len(list_filter(p, lambda x: regexp_matches(x, '[aeiouāēīōū]$')))"
+
+
+def _ratio_sql(least: int, ratio: float, short: int) -> str:
+    return f"len(w) > 0 AND s = 0 AND ((f >= {least} AND f >= {ratio}::DOUBLE * len(w)) OR (len(w) <= {short} AND f >= 1 AND f = len(w)))"
+
+
+def _vowel_sql(words: int, ratio: float, particles: str = "") -> str:
+    return f"len(p) >= {words} AND NOT list_has_any(p, {_STOP}) AND {_VOWELS} >= {ratio}::DOUBLE * len(p)" + (f" AND list_has_any(p, {particles})" if particles else "")
+
+
+@query(f"""WITH {LINES}, t AS (SELECT *, {_TOKS.format('line')} AS w,
+  list_filter(list_transform(regexp_split_to_array(trim(line), '\\s+'), lambda x: regexp_replace(lower(x), '[^a-zāēīōū]', '', 'g')), lambda x: x <> '') AS p FROM l),
+u AS (SELECT *, {_NSTOP.format('w')} AS s, {_SIG.format('w')} AS f FROM t)
+SELECT doc_id, count(*) FILTER ({_ratio_sql(2, 0.15, 4)}) AS share_15, count(*) FILTER ({_ratio_sql(3, 0.15, 4)}) AS three_15, count(*) FILTER ({_ratio_sql(2, 0.34, 2)}) AS share_34, count(*) FILTER ({_ratio_sql(2, 0.4, 2)}) AS share_40,
+  count(*) FILTER ({_vowel_sql(3, 0.6)}) AS vowel_60, count(*) FILTER ({_vowel_sql(3, 0.7)}) AS vowel_70, count(*) FILTER ({_vowel_sql(2, 0.72)}) AS two_words_72, count(*) FILTER ({_vowel_sql(3, 0.6, "['ka', 'la', 'te', 'no']")}) AS particles FROM u GROUP BY 1""")
+def classifier_family(t):
+    """How many lines of each document each setting of the two classifier families flags."""
+    line = F.col("line")
+    flags = {
+        "share_15": L.foreign(line, min_ratio=0.15), "three_15": L.foreign(line, min_flags=3, min_ratio=0.15), "share_34": L.foreign(line, min_ratio=0.34, short_words=2),
+        "share_40": L.foreign(line, min_ratio=0.4, short_words=2), "vowel_60": L.vowel_final(line, ratio=0.6), "vowel_70": L.vowel_final(line, ratio=0.7),
+        "two_words_72": L.vowel_final(line, ratio=0.72, min_words=2), "particles": L.vowel_final(line, ratio=0.6, particles=("ka", "la", "te", "no")),
+    }
+    return lines_of(t).groupBy("doc_id").agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
