@@ -133,12 +133,10 @@ def two_map_index(df: DataFrame, key: str, group: str, sub: str) -> DataFrame:
 
 
 def subcorpus_rollup(df: DataFrame, sub: str, text: str, record: str, motif: str) -> DataFrame:
-    """(sub, texts, records, occurrences, motifs): per-text sums rolled up, motif sets united."""
-    per = df.groupBy(sub, text).agg(F.count_distinct(record).alias("r"), F.count(F.lit(1)).alias("o"), F.collect_set(motif).alias("m"))
-    return per.groupBy(sub).agg(
-        F.count(F.lit(1)).alias("texts"), F.sum("r").alias("records"), F.sum("o").alias("occurrences"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("m")))).cast("long").alias("motifs"),
-    )
+    """(sub, texts, records, occurrences, motifs): records of each text counted apart, motifs once. No set is gathered."""
+    return df.groupBy(sub).agg(
+        F.count_distinct(text).alias("texts"), F.count_distinct(text, record).alias("records"), F.count(F.lit(1)).alias("occurrences"), F.count_distinct(motif).alias("motifs")
+    )
 
 
 def coverage(texts: DataFrame, records: DataFrame, text: str) -> DataFrame:
