@@ -114,12 +114,12 @@ _TURNS = 2**40
 def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """At most `rows` rows of df, the first by a hash of their keys; rows of one hash count once. The same for the same rows in any layout.
 
-    Rows above a share of the hash, set by the number of rows, go where they are, so
+    Rows above a share of the hash, set by the number of different ones, go where they are, so
     that about twice the rows asked for move, whatever the number of partitions.
     """
-    n = df.count()
-    share = min(1.0, (2.0 * rows + 100) / max(n, 1))
     h = F.pmod(F.xxhash64(*keys, F.lit(11)), F.lit(_TURNS))
+    n = df.agg(F.approx_count_distinct(h, 0.02)).first()[0] or 0
+    share = min(1.0, (2.0 * rows + 100) / max(n, 1))
     few = df.withColumn("__h", h).where(F.col("__h") < F.lit(int(share * _TURNS))).dropDuplicates(["__h"])
     return few.orderBy("__h").limit(rows).drop("__h")
 
