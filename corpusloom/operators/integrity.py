@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MIN_FRAGMENT, norm_ws, quote_matches
@@ -22,11 +22,16 @@ def quote_rollup(verified: DataFrame, record: str, quote: str = "quote", samples
     """One row per record: verified, failed and missing counts, rate to 4 places, and a few failed quotes."""
     n = F.count(F.lit(1))
     ok = F.count_if(F.col("status") == "verified")
-    failed = F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.substring(quote, 1, chars))))
-    return verified.groupBy(record).agg(
+    counts = verified.groupBy(record).agg(
         ok.alias("n_verified"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.count_if(F.col("status") == "source_missing").alias("n_missing"),
-        F.round(ok / n, 4).alias("rate"), F.slice(failed, 1, samples).alias("samples"),
+        F.round(ok / n, 4).alias("rate"),
     )
+    # cut before they are gathered: a record may have any number of failed quotes
+    failed = verified.where("status = 'failed'").select(F.col(record).alias("__r"), F.substring(quote, 1, chars).alias("__q"))
+    first = failed.withColumn("__n", F.row_number().over(Window.partitionBy("__r").orderBy("__q"))).where(F.col("__n") <= samples)
+    listed = first.groupBy("__r").agg(F.array_sort(F.collect_list("__q")).alias("samples"))
+    none = F.array().cast("array<string>")
+    return counts.join(listed, F.col(record).eqNullSafe(F.col("__r")), "left").withColumn("samples", F.coalesce("samples", none)).drop("__r")
 
 
 def bad_line_ranges(records: DataFrame, lines: DataFrame, source: str, start: str = "start", end: str = "end") -> DataFrame:

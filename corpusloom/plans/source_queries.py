@@ -411,3 +411,19 @@ def synthesis_request(t):
     """One request over a whole report."""
     df = t("nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("c"))
     return P.table_request(df, ["n_regionkey", "c"], [F.desc("c"), "n_regionkey"], "m", "%s rows:\n%s", "synthesis")
+
+
+@query("""WITH q AS (SELECT doc_id, doc_id % 7 AS record, doc_id % 4 AS kind FROM documents WHERE len(text) >= 200),
+f AS (SELECT record, 'no such words as these ' || doc_id AS s, row_number() OVER (PARTITION BY record ORDER BY 'no such words as these ' || doc_id) AS r FROM q WHERE kind = 2),
+s AS (SELECT record, string_agg(s, ';' ORDER BY r) AS samples FROM f WHERE r <= 2 GROUP BY 1)
+SELECT record, count(*) FILTER (kind IN (0, 1)) AS n_verified, count(*) FILTER (kind = 2) AS n_failed, count(*) FILTER (kind = 3) AS n_missing, round(count(*) FILTER (kind IN (0, 1)) / count(*), 4) AS rate, any_value(samples) AS samples
+FROM q LEFT JOIN s USING (record) GROUP BY 1""")
+def quote_rollup(t):
+    """Quotations of documents, whole and elided, invented ones, and ones of missing sources, rolled up by record with samples of what failed."""
+    docs, k = t("documents").where(F.length("text") >= 200), F.col("doc_id") % 4
+    piece = lambda a, n: F.substring("text", a, n)
+    text = F.when(k == 0, piece(11, 90)).when(k == 1, F.concat(piece(3, 80), F.lit(" [...] "), piece(101, 80))).when(k == 2, F.concat(F.lit("no such words as these "), F.col("doc_id").cast("string"))).otherwise(piece(1, 50))
+    quotes = docs.select((F.col("doc_id") % 7).alias("record"), F.when(k == 3, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("source_id"), text.alias("quote"))
+    verified = I.verify_quotes(quotes, t("documents").select(F.col("doc_id").alias("source_id"), "text"), "record", "source_id")
+    out = I.quote_rollup(verified, "record")
+    return out.withColumn("samples", F.nullif(F.array_join("samples", ";"), F.lit("")))
