@@ -230,7 +230,11 @@ def links(distinct: DataFrame, threshold: int = 4, bands: int | None = None) ->
                 yield pd.DataFrame({"anchor": key, "fp": part[i], "home": home})
 
     placed = materialise(distinct.select("fp").mapInPandas(run, "anchor long, fp long, home boolean"), "anchors")
-    count = placed.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v"))
+    # anchors that may be hot show in a share of the fingerprints, and only these are counted: were one overlooked, it would cost time alone
+    share = max(1, TILE // 512)
+    seen = placed.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(share)) == 0).groupBy(F.col("anchor").alias("__seen")).count().where(F.col("count") >= TILE // (2 * share))
+    few = placed.join(F.broadcast(materialise(seen.select("__seen"), "seen-anchors")), F.col("anchor") == F.col("__seen"), "left_semi")
+    count = few.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v"))
     parts = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     hot = count.where((F.col("h") > TILE) | (F.col("v") > TILE)).where("h > 0").select(F.col("anchor").alias("__hot"), parts("h").alias("hp"), parts("v").alias("vp"))
     hot = F.broadcast(materialise(hot, "hot-anchors"))
