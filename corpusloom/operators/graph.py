@@ -112,7 +112,9 @@ def permuted_counts(sets: DataFrame, n: int = 200, seed: int = 42) -> DataFrame:
     seats = seats.select("g", "group", "record", "item", "code", "seat", "slices", first.alias("rec")).checkpoint()
     widest, total = groups.agg(F.max("slices")).first()[0] or 0, seats.count()
 
-    tokens = seats.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("__key", _key(seed))
+    # few rows may be few partitions: they are spread before each becomes n
+    spread = seats.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "seat")
+    tokens = spread.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("__key", _key(seed))
     if widest > 1:
         # the first 32 bits of the md5, as a share of the slices
         part = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * F.col("slices") / F.lit(2**32)).cast("int")
