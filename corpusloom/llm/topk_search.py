@@ -33,8 +33,8 @@ GROUPS, SUMMARY_BYTES = 4_096, 32 * 1024 * 1024
 SAMPLE, SAMPLE_BYTES, PARTS, SIGNS = 16_384, 16 * 1024 * 1024, 256, 16
 
 
-def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """(id, q) with q = floor(scale * x) of each component as long.
+def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, keep: dict[str, Column] | None = None) -> DataFrame:
+    """(id, q, and the columns `keep`) with q = floor(scale * x) of each component as long.
 
     Vectors that are null, or hold a null or a non-finite component, go, as do
     null ids; an empty vector stays. A component beyond a long is an error.
@@ -46,7 +46,7 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     sound = F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     kept = vectors.where(F.col(vector_col).isNotNull() & sound & F.col(id_col).isNotNull())
-    return kept.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, whole).alias("q"))
+    return kept.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, whole).alias("q"), *[c.alias(k) for k, c in (keep or {}).items()])
 
 
 def _largest(m: np.ndarray) -> int:
