@@ -1,4 +1,4 @@
-"""Vectors: normalising, cosine pairs within blocks, nearest neighbours, blind clusters and their alignment."""
+"""Vectors: normalising, cosine pairs within blocks, nearest neighbours, centroids of given clusters and their alignment."""
 
 from __future__ import annotations
 
@@ -131,15 +131,6 @@ def embedding_status(rows: DataFrame, known: DataFrame, key: str, vector: str, c
     return both.withColumn("status", status).drop("__k")
 
 
-def clustered(df: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> DataFrame:
-    """(key, cluster) by k-means on unit vectors."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = df.select(key, array_to_vector(l2_normalised(F.col(vector))).alias("features"))
-    return KMeans(k=k, seed=seed, maxIter=20).fit(unit).transform(unit).select(key, F.col("prediction").alias("cluster"))
-
-
 def centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     """(cluster, v): the mean of each cluster's unit vectors, normalised."""
     each = df.select(cluster, F.posexplode(l2_normalised(F.col(vector))).alias("i", "x")).groupBy(cluster, "i").agg(F.avg("x").alias("x"))

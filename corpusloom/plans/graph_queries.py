@@ -135,24 +135,6 @@ def hard_core_prediction(t):
     return G.hard_core(brand_sets(t, False), brand_sets(t, True), ["NATION_0", "NATION_1", "NATION_5", "NATION_6", "NATION_10"], _TRAIN, _TEST)
 
 
-def _propagated(rounds: int) -> str:
-    """CTEs l0 to l<rounds>: labels after each round of synchronous propagation over the edges c."""
-    out = """e AS (SELECT a AS u, b AS v, n_groups AS w FROM c UNION ALL SELECT b, a, n_groups FROM c), p AS (SELECT * FROM e UNION ALL SELECT u, u, max(w) FROM e GROUP BY u), l0 AS (SELECT DISTINCT u AS node, u AS label FROM e)"""
-    for i in range(1, rounds + 1):
-        votes = f"SELECT u AS node, label, sum(w) AS s FROM p JOIN l{i - 1} ON v = node GROUP BY u, label"
-        out += f", l{i} AS MATERIALIZED (SELECT node, label FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY s DESC, label DESC) AS r FROM ({votes})) WHERE r = 1)"
-    return out
-
-
-@query(f"""{BASE}, {_propagated(10)}, m AS (SELECT label, string_agg(node, ',' ORDER BY node) AS members, count(*) AS size FROM l10 GROUP BY 1 HAVING count(*) >= 2),
-n AS (SELECT x.label, count(*) AS internal_edges, round(avg(n_groups), 2) AS mean_groups FROM c JOIN l10 x ON x.node = a JOIN l10 y ON y.node = b WHERE x.label = y.label GROUP BY 1)
-SELECT m.label, members, size, coalesce(internal_edges, 0) AS internal_edges, mean_groups FROM m LEFT JOIN n USING (label)""")
-def edge_communities(t):
-    edges = observed(t).checkpoint()
-    c = G.communities(G.label_propagation(edges), edges)
-    return c.withColumn("members", F.array_join("members", ","))
-
-
 @query("""WITH f AS (SELECT user_id, event_type, min(event_id) AS at FROM events GROUP BY ALL)
 SELECT x.event_type AS a, y.event_type AS b, count(*) FILTER (x.at < y.at) AS before, count(*) FILTER (x.at > y.at) AS after
 FROM f x JOIN f y ON x.user_id = y.user_id AND x.event_type < y.event_type GROUP BY ALL""")

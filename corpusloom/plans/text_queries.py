@@ -274,14 +274,6 @@ def centroid_alignment(t):
     return V.aligned(*[V.centroids(df.where(w), "cluster", "embedding") for w in ("vec_id % 2 = 0", "vec_id % 2 = 1")])
 
 
-@query()
-def crown_alignment(t):
-    """Two piles clustered blind, their centroids aligned."""
-    piles = [t("embeddings").where(w) for w in ("vec_id % 2 = 0", "vec_id % 2 = 1")]
-    means = [V.centroids(p.join(V.clustered(p, "vec_id", "embedding", 8).withColumnRenamed("vec_id", "k"), F.col("vec_id") == F.col("k")), "cluster", "embedding") for p in piles]
-    return V.aligned(*means)
-
-
 @query("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS chain, count(*) AS n FROM conversations GROUP BY 1")
 def conversation_chains(t):
     rows = F.array_sort(F.collect_list(F.struct("turn", "role")))
