@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .permutations import dealt, round_keys
 from .ranges import numbered, numbered_within
 
 
@@ -62,79 +63,117 @@ def conserved_edges(edges: DataFrame, min_groups: int = 4, by: tuple[str, ...] =
     return out.where(F.col("n_groups") >= min_groups)
 
 
-def _key(seed: int) -> Column:
-    """What the tokens of a permutation are ordered by, before their record and item: the same on any number of partitions, and in any engine."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), "perm", "group", "record", "item"))
+#: Seats that may be broadcast (4 bytes each, and 8 a group); seats of a group that a task holds together (about); numbers that a task permutes, and pairs that it holds, at once.
+SEATS, SLICE, CELLS, PAIRS = 4_000_000, 500_000, 1_000_000, 4_000_000
 
 
-def permute(sets: DataFrame, n: int = 200, seed: int = 42, spread: bool = False, distinct: bool = True) -> DataFrame:
+def _seats(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(seats, groups, items), written: seats (g, seat from 0, rec, record, code) in the order of record and item within a group.
+
+    rec is a record's first seat and names it; groups (g, __group, tokens, n) and items (code, __item) have
+    numbers in the order of their names, so that a < b is the same in both.
+    """
+    items = numbered(sets.select("item").distinct(), ["item"], "code").select(F.col("item").alias("__item"), F.col("code").cast("int").alias("code")).checkpoint()
+    groups = numbered(sets.groupBy("group").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("record").alias("n")), ["group"], "g")
+    groups = groups.select(F.col("group").alias("__group"), F.col("g").cast("int").alias("g"), "n", "tokens").checkpoint()
+    seats = numbered_within(sets, ["group"], ["record", "item"], "seat").join(groups.drop("n", "tokens"), F.col("group") == F.col("__group")).join(items, F.col("item") == F.col("__item"))
+    first = F.min("seat").over(Window.partitionBy("g", "record")) - 1  # a record's set is small
+    return seats.select("g", (F.col("seat") - 1).alias("seat"), first.alias("rec"), "record", "code").checkpoint(), groups, items
+
+
+def _blocks(n: int, spark) -> tuple[Column, int]:
+    """Permutations 1 to n in blocks for as many tasks, and the size of a block: not more than a task's cells hold for short groups."""
+    size = max(1, -(-n // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return F.explode(F.sequence(F.lit(1), F.lit(n), F.lit(size))), size
+
+
+def _tokens_dealt(seats: DataFrame, groups: DataFrame, n: int, seed: int) -> DataFrame:
+    """(perm, g, seat, code): the seat that each token takes in each permutation, worked out where the token is."""
+    block, size = _blocks(n, seats.sparkSession)
+    rows = seats.join(groups.select(F.col("g").alias("__h"), F.col("__group").cast("string").alias("name"), "tokens"), F.col("g") == F.col("__h")).select("g", "name", "tokens", "seat", "code")
+    rows = rows.withColumn("block", block).repartition("block", "g", F.floor(F.col("seat") / F.lit(SLICE))).sortWithinPartitions("block", "g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, tokens, seat, code, block = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("g", "tokens", "seat", "code", "block"))
+            ends = [0, *(np.nonzero((np.diff(g) != 0) | (np.diff(block) != 0))[0] + 1).tolist(), len(g)]
+            for x, y in zip(ends, ends[1:]):
+                if x == y:
+                    continue
+                perms = np.arange(block[x], min(block[x] + size, n + 1))
+                step = max(1, CELLS // (y - x))
+                for at in range(0, len(perms), step):
+                    own = perms[at : at + step]
+                    to = dealt(seat[x:y], int(tokens[x]), [round_keys(seed, int(p), batch.column("name")[x].as_py()) for p in own], back=True)
+                    columns = [np.repeat(own, y - x).astype(np.int32), np.full(to.size, g[x], np.int32), to.ravel(), np.tile(code[x:y], len(own)).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["perm", "g", "seat", "code"])
+
+    return rows.mapInArrow(run, "perm int, g int, seat long, code int")
+
+
+def permute(sets: DataFrame, n: int = 200, seed: int = 42, distinct: bool = True) -> DataFrame:
     """sets with `perm` from 1: within each group items are pooled, shuffled and dealt to records by their sizes.
 
-    The order of a shuffle is the md5 of seed, permutation, group, record and
-    item. Places and seats are numbered by range partitions, so a group of any size is
-    no single task. A record may be dealt an item twice, which then counts once,
-    so sets can shrink; spread=True deals in strides instead, which avoids most
-    repeats. distinct=False leaves repeats in, for callers that gather sets anyway.
+    A shuffle is the bijection of permutations.dealt(), whose keys are from seed, permutation
+    and group: the same on any number of partitions, and no group is sorted or seen by one task. A record
+    may be dealt an item twice, which then counts once, so sets can shrink;
+    distinct=False leaves repeats in, for callers that gather sets anyway.
     """
-    perms = sets.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("__key", _key(seed))
-    order = ["item", "__key", "record"] if spread else ["__key", "record", "item"]
-    placed = numbered_within(perms, ["perm", "group"], order, "__at")
-    dealt = placed.select("perm", F.col("group").alias("__g"), F.col("__at").alias("__s"), "item")
-    if spread:
-        # with spread, neighbours in the order of items go to seats far apart
-        rank = F.row_number().over(Window.partitionBy("group", "record").orderBy("item"))  # a record's set is small
-        seats = numbered_within(sets.withColumn("__r", rank).withColumn("__k", F.md5(F.concat_ws("|", F.lit(str(seed)), "record"))), ["group"], ["__r", "__k", "item"], "__at")
-    else:
-        seats = numbered_within(sets, ["group"], ["record", "item"], "__at")
-    seats = seats.select("group", "record", "__at")
-    out = dealt.join(seats, (F.col("__g") == F.col("group")) & (F.col("__s") == F.col("__at"))).select("perm", "group", "record", "item")
+    seats, groups, items = _seats(sets)
+    own = seats.select(F.col("g").alias("__g"), F.col("seat").alias("__s"), "record")
+    out = _tokens_dealt(seats, groups, n, seed).join(own, (F.col("g") == F.col("__g")) & (F.col("seat") == F.col("__s")))
+    out = out.join(groups.select(F.col("g").alias("__h"), F.col("__group").alias("group")), F.col("g") == F.col("__h"))
+    out = out.join(items.select(F.col("code").alias("__c"), F.col("__item").alias("item")), F.col("code") == F.col("__c")).select("perm", "group", "record", "item")
     return out.distinct() if distinct else out
 
 
-#: Tokens of a group that a task sorts at once for one permutation (about), and seats that may be broadcast (12 bytes each).
-SLICE, SEATS = 500_000, 4_000_000
-
-
 def permuted_counts(sets: DataFrame, n: int = 200, seed: int = 42) -> DataFrame:
     """(perm, group, a, b, n_ab, n_a, n_b, n): pair_counts() of permute(sets, n, seed), without the permuted sets as a table.
 
-    Groups, items and seats are numbered once. A permutation's tokens are cut into slices by
-    the leading bits of their md5, which are even, so a slice has about SLICE tokens
-    whatever the size of its group; its places begin where the counts of the slices before it end. Tokens that
-    have taken their seats are counted by record in Arrow batches, and only sums by pair leave a task.
+    Groups, items and seats are numbered once. With up to SEATS seats each task has all their codes and looks up what
+    its records' seats are dealt, so nothing is moved for a permutation but its sums by pair; with more, tokens
+    go to the task of their seat's record. No permutation is sorted.
     """
-    # codes in the order of the items, so that a < b is the same in both
-    items = numbered(sets.select("item").distinct(), ["item"], "code").select(F.col("item").alias("__item"), F.col("code").cast("int").alias("code")).checkpoint()
-    groups = numbered(sets.groupBy("group").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("record").alias("n")), ["group"], "g")
-    groups = groups.select(F.col("group").alias("__group"), F.col("g").cast("int").alias("g"), "n", F.ceil(F.col("tokens") / SLICE).cast("int").alias("slices")).checkpoint()
-    seats = numbered_within(sets, ["group"], ["record", "item"], "seat").join(groups, F.col("group") == F.col("__group")).join(items, F.col("item") == F.col("__item"))
-    first = F.min("seat").over(Window.partitionBy("g", "record"))  # a record's set is small; its first seat names it
-    seats = seats.select("g", "group", "record", "item", "code", "seat", "slices", first.alias("rec")).checkpoint()
-    widest, total = groups.agg(F.max("slices")).first()[0] or 0, seats.count()
-
-    # few rows may be few partitions: they are spread before each becomes n
-    spread = seats.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "seat")
-    tokens = spread.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("__key", _key(seed))
-    if widest > 1:
-        # the first 32 bits of the md5, as a share of the slices
-        part = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * F.col("slices") / F.lit(2**32)).cast("int")
+    seats, groups, items = _seats(sets)
+    spark, total = sets.sparkSession, seats.count()
+    schema = "perm int, g int, a int, b int, k long"
+    if total <= SEATS:
+        known = {int(r["g"]): (str(r["__group"]), r["tokens"]) for r in groups.select("g", "__group", "tokens").collect()}  # as many seats at least
+        codes = seats.select("g", "seat", "code").toPandas().sort_values(["g", "seat"])
+        starts = codes["g"].searchsorted(sorted(known))
+        shared = spark.sparkContext.broadcast((known, dict(zip(sorted(known), starts.tolist())), codes["code"].to_numpy(np.int32)))
+        block, size = _blocks(n, spark)
+        rows = seats.select("g", "seat", "rec").withColumn("block", block)
+        rows = rows.repartition("block", "g", F.floor(F.col("rec") / F.lit(SLICE))).sortWithinPartitions("block", "g", "rec", "seat")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, starts, codes = shared.value
+            for block, g, rec, seat in _whole_records(batches, ["block", "g", "rec", "seat"]):
+                ends = [0, *(np.nonzero((np.diff(g) != 0) | (np.diff(block) != 0))[0] + 1).tolist(), len(g)]
+                for x, y in zip(ends, ends[1:]):
+                    name, tokens = known[int(g[x])]
+                    perms = np.arange(block[x], min(block[x] + size, n + 1))
+                    step = max(1, CELLS // (y - x))
+                    for at in range(0, len(perms), step):
+                        own = perms[at : at + step]
+                        code = codes[starts[int(g[x])] + dealt(seat[x:y], tokens, [round_keys(seed, int(p), name) for p in own])]
+                        for unit, a, b, k in _pair_sums(np.repeat(np.arange(len(own)), y - x), np.tile(rec[x:y], len(own)), code.ravel()):
+                            yield _sums(own[unit], np.full(len(unit), g[x]), a, b, k)
+
+        summed = rows.mapInArrow(run, schema)
     else:
-        part = F.lit(0)
-    tokens = tokens.select("perm", "g", part.alias("slice"), F.unhex("__key").alias("key"), "seat", "code")
-    w = Window.partitionBy("perm", "g", "slice").orderBy("key", "seat")  # seats are in the order of record and item
-    placed = tokens.withColumn("__at", F.row_number().over(w).cast("long"))
-    if widest > 1:
-        counts = tokens.groupBy("perm", "g", "slice").agg(F.count(F.lit(1)).alias("k"))
-        upto = F.coalesce(F.sum("k").over(Window.partitionBy("perm", "g").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = counts.select(F.col("perm").alias("__p"), F.col("g").alias("__g"), F.col("slice").alias("__s"), upto.alias("__start"))
-        placed = placed.join(starts, (F.col("perm") == F.col("__p")) & (F.col("g") == F.col("__g")) & (F.col("slice") == F.col("__s"))).withColumn("__at", F.col("__at") + F.col("__start"))
-    chairs = seats.select(F.col("g").alias("__cg"), F.col("seat").alias("__seat"), "rec")
-    few = total <= SEATS
-    seated = placed.join(F.broadcast(chairs) if few else chairs, (F.col("g") == F.col("__cg")) & (F.col("__at") == F.col("__seat")))
-    seated = seated.select("perm", "g", "slice", "rec", "code")
-    if widest > 1 or not few:  # a record's tokens may be in several slices; else they are where they are
-        seated = seated.repartition("perm", "g", F.floor(F.col("rec") / F.lit(SLICE)))
-    summed = seated.sortWithinPartitions("perm", "g", "rec", "code").mapInArrow(_count_pairs, "perm int, g int, a int, b int, k long")
+        chairs = seats.select(F.col("g").alias("__cg"), F.col("seat").alias("__seat"), "rec")
+        seated = _tokens_dealt(seats, groups, n, seed).join(chairs, (F.col("g") == F.col("__cg")) & (F.col("seat") == F.col("__seat"))).select("perm", "g", "rec", "code")
+        seated = seated.repartition("perm", "g", F.floor(F.col("rec") / F.lit(SLICE))).sortWithinPartitions("perm", "g", "rec")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for perm, g, rec, code in _whole_records(batches, ["perm", "g", "rec", "code"]):
+                unit = np.concatenate(([0], np.cumsum((np.diff(perm) != 0) | (np.diff(g) != 0))))
+                first = np.concatenate(([0], np.nonzero(np.diff(unit))[0] + 1))
+                for own, a, b, k in _pair_sums(unit, rec, code):
+                    yield _sums(perm[first[own]], g[first[own]], a, b, k)
+
+        summed = seated.mapInArrow(count, schema)
     summed = summed.groupBy("perm", "g", "a", "b").agg(F.sum("k").alias("k")).checkpoint()
     ones = summed.where("a = b").select(F.col("perm").alias("__p"), F.col("g").alias("__h"), F.col("a").alias("__i"), F.col("k").alias("__k"))
     both = summed.where("a < b").withColumnRenamed("k", "n_ab")
@@ -148,48 +187,66 @@ def permuted_counts(sets: DataFrame, n: int = 200, seed: int = 42) -> DataFrame:
     return both.select("perm", "group", F.col("__a").alias("a"), F.col("__b").alias("b"), "n_ab", "n_a", "n_b", "n")
 
 
-#: Rows that _count_pairs works on at once.
+#: Rows that _whole_records gathers before it passes them on.
 _ROWS = 200_000
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (perm, g, slice, rec, code) sorted by perm, g, rec, code -> sums (perm, g, a, b, k); a = b counts records with the item."""
-    names = ["perm", "g", "rec", "code"]
+def _whole_records(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[np.ndarray]:
+    """Columns of about _ROWS sorted rows at a time, never with a part of a record: the first three columns name one."""
     held: list[np.ndarray] = []
-
-    def summed(x: np.ndarray) -> pa.RecordBatch:
-        x = x[:, np.concatenate(([True], (x[:, 1:] != x[:, :-1]).any(0)))]  # an item that a record was dealt twice counts once
-        perm, g, rec, code = x
-        same_set = np.concatenate(([False], (x[:3, 1:] == x[:3, :-1]).all(0)))
-        start = np.maximum.accumulate(np.where(same_set, 0, np.arange(x.shape[1])))
-        place = np.arange(x.shape[1]) - start
-        parts = [(np.arange(x.shape[1]), np.arange(x.shape[1]))]
-        for gap in range(1, int(place.max(initial=0)) + 1):
-            later = np.nonzero(place >= gap)[0]
-            parts.append((later - gap, later))
-        i, j = (np.concatenate(p) for p in zip(*parts))
-        width = int(code.max(initial=0)) + 1
-        unit = np.concatenate(([0], np.cumsum((x[:2, 1:] != x[:2, :-1]).any(0))))  # number of the (perm, g)
-        key, k = np.unique((unit[j] * width + code[i]) * width + code[j], return_counts=True)
-        b, rest = key % width, key // width
-        a, u = rest % width, rest // width
-        firsts = np.concatenate(([0], np.nonzero(np.diff(unit))[0] + 1))[u]
-        columns = [perm[firsts].astype(np.int32), g[firsts].astype(np.int32), a.astype(np.int32), b.astype(np.int32), k.astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["perm", "g", "a", "b", "k"])
-
     for batch in batches:
         held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]))
         if sum(x.shape[1] for x in held) >= _ROWS:
             whole = np.concatenate(held, 1)
             ends = np.nonzero((whole[:3, 1:] != whole[:3, :-1]).any(0))[0] + 1
             if len(ends):  # the last record may go on
-                yield summed(whole[:, : ends[-1]])
+                yield whole[:, : ends[-1]]
                 whole = whole[:, ends[-1] :]
             held = [whole]
     if held:
         whole = np.concatenate(held, 1)
         if whole.shape[1]:
-            yield summed(whole)
+            yield whole
+
+
+def _sums(perm: np.ndarray, g: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    columns = [perm.astype(np.int32), g.astype(np.int32), a.astype(np.int32), b.astype(np.int32), k.astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["perm", "g", "a", "b", "k"])
+
+
+def _pair_sums(unit: np.ndarray, rec: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(unit, a, b, k): in how many records of a unit the items a <= b are; a = b counts records with the item. Rows in any order.
+
+    Items, and records, are numbered anew within the rows, so that no key passes 2^63; pairs are made by their
+    distance in a record's sorted set and summed whenever PAIRS of them are held, so a record of any size needs no more.
+    """
+    names, item = np.unique(code, return_inverse=True)
+    c = len(names)
+    order = np.lexsort((item, rec, unit))
+    unit, rec, item = unit[order], rec[order], item[order]
+    new = np.concatenate(([True], (np.diff(unit) != 0) | (np.diff(rec) != 0)))
+    fresh = new | np.concatenate(([True], np.diff(item) != 0))  # an item that a record was dealt twice counts once
+    group = np.cumsum(new)[fresh]
+    unit, item = unit[fresh], item[fresh].astype(np.int64)
+    place = np.arange(len(item)) - np.concatenate(([0], np.nonzero(np.diff(group))[0] + 1))[group - 1]
+    held: list[np.ndarray] = []
+
+    def summed() -> tuple[np.ndarray, ...]:
+        i, j = (np.concatenate([h[s] for h in held]) for s in (0, 1))
+        held.clear()
+        if (int(unit.max()) + 1) * c * c < 2**63:
+            key, k = np.unique((unit[i] * c + item[i]) * c + item[j], return_counts=True)
+            return key // (c * c), names[key // c % c], names[key % c], k
+        rows, k = np.unique(np.stack((unit[i], item[i], item[j])), axis=1, return_counts=True)
+        return rows[0], names[rows[1]], names[rows[2]], k
+
+    for gap in range(int(place.max(initial=-1)) + 1):
+        later = np.nonzero(place >= gap)[0]
+        held.append(np.stack((later - gap, later)))
+        if sum(h.shape[1] for h in held) >= PAIRS:
+            yield summed()
+    if held:
+        yield summed()
 
 
 def null_counts(sets: DataFrame, n: int = 200, seed: int = 42, min_pair: int = 3, min_records: int = 20, min_groups: int = 4) -> DataFrame:

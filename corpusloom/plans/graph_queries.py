@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.permutations import permutation_sql
 from .registry import query
 
 #: Groups in which an edge must hold, as in the reference and the functions' defaults.
@@ -50,12 +51,11 @@ def counts_sql(name: str, source: str, by: str = "") -> str:
 
 PMI = "n_ab >= {0} AND n >= {1} AND n_ab * n > n_a * n_b"
 CONS = f"c AS (SELECT a, b, count(*) AS n_groups, sum(n_ab)::BIGINT AS cooccurrence, string_agg(g, ',' ORDER BY g) AS groups FROM o_e WHERE {PMI.format(3, 20)} GROUP BY a, b HAVING count(*) >= {CONSERVED})"
-BASE = f"WITH {SETS}, {counts_sql('o', 's')}, {CONS}"
-# the shuffle: tokens of a group ordered by md5 are dealt to its seats in order of record and item
-PERM = """q AS (SELECT p AS perm, g, r, i, row_number() OVER (PARTITION BY p, g ORDER BY md5(concat_ws('|', '42', p::VARCHAR, g, r::VARCHAR, i)), r, i) AS k,
-  row_number() OVER (PARTITION BY p, g ORDER BY r, i) AS seat FROM {0} CROSS JOIN (SELECT unnest(range(1, {1} + 1)) AS p)),
-d AS (SELECT DISTINCT x.perm, x.g, x.r, y.i FROM q x JOIN q y ON x.perm = y.perm AND x.g = y.g AND x.seat = y.k)"""
-NULL = f"{BASE}, {PERM.format('s', PERMS)}, {counts_sql('w', 'd', 'perm')}, z AS (SELECT perm, a, b FROM w_e WHERE {PMI.format(3, 20)} GROUP BY perm, a, b HAVING count(*) >= {CONSERVED})"
+BASE = f"WITH RECURSIVE {SETS}, {counts_sql('o', 's')}, {CONS}"
+# the shuffle: each seat of a group, in the order of record and item, is dealt a token by a keyed bijection
+PERM = lambda source: f"""t AS MATERIALIZED (SELECT g, r, i, row_number() OVER (PARTITION BY g ORDER BY r, i) - 1 AS seat, count(*) OVER (PARTITION BY g) AS n FROM {source}), {permutation_sql('t', PERMS, 'pm')},
+d AS (SELECT DISTINCT x.perm, x.g, s.r, y.i FROM pm x JOIN t s ON x.g = s.g AND x.seat = s.seat JOIN t y ON x.g = y.g AND x.token = y.seat)"""
+NULL = f"{BASE}, {PERM('s')}, {counts_sql('w', 'd', 'perm')}, z AS (SELECT perm, a, b FROM w_e WHERE {PMI.format(3, 20)} GROUP BY perm, a, b HAVING count(*) >= {CONSERVED})"
 
 
 def observed(t):
@@ -105,12 +105,12 @@ def edge_null_hit_rate(t):
 
 
 _TRAIN, _TEST = (3, 4), (2, 2)
-_HOLD = f"""WITH {SETS}, s1 AS (SELECT * FROM s WHERE NOT held), s2 AS (SELECT * FROM s WHERE held), {counts_sql('o', 's1')}, {counts_sql('h', 's2')},
+_HOLD = f"""WITH RECURSIVE {SETS}, s1 AS (SELECT * FROM s WHERE NOT held), s2 AS (SELECT * FROM s WHERE held), {counts_sql('o', 's1')}, {counts_sql('h', 's2')},
 tr AS (SELECT a, b FROM o_e WHERE {PMI.format(_TRAIN[0], 10)} GROUP BY a, b HAVING count(*) >= {_TRAIN[1]}),
 te AS (SELECT a, b FROM h_e WHERE {PMI.format(_TEST[0], 10)} GROUP BY a, b HAVING count(*) >= {_TEST[1]})"""
 
 
-@query(f"""{_HOLD}, {PERM.format('s2', PERMS)}, {counts_sql('w', 'd', 'perm')},
+@query(f"""{_HOLD}, {PERM('s2')}, {counts_sql('w', 'd', 'perm')},
 z AS (SELECT perm, a, b FROM w_e WHERE {PMI.format(_TEST[0], 10)} GROUP BY perm, a, b HAVING count(*) >= {_TEST[1]}),
 k AS (SELECT p, count(x.perm) AS k FROM (SELECT unnest(range(1, {PERMS} + 1)) AS p) LEFT JOIN (SELECT z.perm FROM z JOIN tr USING (a, b)) x ON x.perm = p GROUP BY p),
 o AS (SELECT (SELECT count(*) FROM tr) AS t, (SELECT count(*) FROM te) AS h, (SELECT count(*) FROM tr JOIN te USING (a, b)) AS m),

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import statistics
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from corpusloom import plans
 from corpusloom.operators import graph as G
+from corpusloom.operators import permutations as P
 from corpusloom.plans import graph_queries as Q
 
 N = 200
@@ -42,14 +47,34 @@ def star(spark, tmp_path_factory):
     return str(home), groups
 
 
+def token_of(seat: int, n: int, seed: int, perm: int, group: str) -> int:
+    """The bijection in plain whole numbers."""
+    keys = []
+    for j in range(6):
+        h = hashlib.md5(f"{seed}|{perm}|{group}|{j}".encode()).hexdigest()
+        keys.append((int(h[:7], 16) + 1, int(h[7:14], 16)))
+    bits = max(2, (n - 1).bit_length())
+    left, right, x = 2 ** (bits // 2), 2 ** (bits - bits // 2), seat
+    while True:
+        u, v = divmod(x, right)
+        for j, (a, b) in enumerate(keys):
+            move = lambda y: (((y * a + b) % (2**31 - 1)) ** 2 + a) % (2**31 - 1)  # noqa: E731, B023
+            if j % 2 == 0:
+                u = (u + move(v)) % left
+            else:
+                v = (v + move(u)) % right
+        x = u * right + v
+        if x < n:
+            return x
+
+
 def shuffled(groups: dict, perm: int) -> dict:
     out = {}
     for g, records in groups.items():
         seats = sorted((r, i) for r, items in records.items() for i in items)
-        dealt = sorted((hashlib.md5(f"42|{perm}|{g}|{r}|{i}".encode()).hexdigest(), r, i) for r, i in seats)
         new = defaultdict(set)
-        for (r, _), (*_, i) in zip(seats, dealt):
-            new[r].add(i)
+        for at, (r, _) in enumerate(seats):
+            new[r].add(seats[token_of(at, len(seats), 42, perm, g)][1])
         out[g] = new
     return out
 
@@ -93,7 +118,7 @@ def test_holdout_runs_all_permutations(spark, star):
     assert row.verdict == want
 
 
-@pytest.mark.parametrize("slice_size, seats", [(500_000, 4_000_000), (30, 4_000_000), (500_000, 10), (30, 10)])
+@pytest.mark.parametrize("slice_size, seats", [(500_000, 4_000_000), (30, 4_000_000), (30, 10)])
 def test_permuted_counts_are_those_of_the_permuted_sets(spark, monkeypatch, slice_size, seats):
     """Groups cut into slices or not, seats broadcast or not; two groups of very different size, records dealt an item twice."""
     monkeypatch.setattr(G, "SLICE", slice_size)
@@ -103,3 +128,63 @@ def test_permuted_counts_are_those_of_the_permuted_sets(spark, monkeypatch, slic
     sets = spark.createDataFrame(rows, "group string, record int, item string").repartition(4)
     want = Counter(map(tuple, G.pair_counts(G.permute(sets, 7), ("perm", "group")).collect()))
     assert Counter(map(tuple, G.permuted_counts(sets, 7).collect())) == want and want
+
+
+@given(st.integers(1, 700), st.integers(1, 5), st.integers(0, 99))
+@settings(max_examples=60, deadline=None)
+def test_dealt_is_a_permutation_and_can_be_undone(n, perms, seed):
+    keys = [P.round_keys(seed, p, "g") for p in range(perms)]
+    out = P.dealt(np.arange(n), n, keys)
+    assert (np.sort(out, axis=1) == np.arange(n)).all()
+    for row, key in zip(out, keys):
+        assert (P.dealt(row, n, [key], back=True)[0] == np.arange(n)).all()
+    assert out[0, n // 2] == token_of(n // 2, n, seed, 0, "g")
+
+
+def test_places_are_dealt_evenly():
+    """Each of 60 places comes about as often to each seat, and neighbours part, over 6,000 permutations."""
+    out = P.dealt(np.arange(60), 60, [P.round_keys(1, p, "x") for p in range(6000)])
+    counts = np.stack([np.bincount(out[:, s], minlength=60) for s in range(60)])
+    chi = ((counts - 100.0) ** 2 / 100).sum()
+    assert abs(chi - 59 * 59) < 6 * (2 * 59 * 59) ** 0.5
+    near = (np.abs(np.diff(out, axis=1)) == 1).mean()
+    assert abs(near - 2 / 60) < 0.004
+
+
+def test_large_places():
+    n = 10**12 + 7
+    at = np.array([0, 1, 5 * 10**11, n - 1])
+    keys = [P.round_keys(42, p, "g") for p in (1, 2)]
+    out = P.dealt(at, n, keys)
+    assert out.tolist() == [[token_of(int(s), n, 42, p, "g") for s in at] for p in (1, 2)]
+
+
+def sums(parts):
+    out = Counter()
+    for unit, a, b, k in parts:
+        for x in zip(unit.tolist(), a.tolist(), b.tolist(), k.tolist()):
+            out[x[:3]] += x[3]
+    return out
+
+
+def test_pair_sums_of_large_codes(monkeypatch):
+    """Codes near 2^31 in many units: no key overflows; held pairs are summed in parts."""
+    monkeypatch.setattr(G, "PAIRS", 50)
+    rng = random.Random(2)
+    rows = [(u, r, 2**31 - 1 - c) for u in range(0, 40) for r in range(6) for c in rng.choices(range(10**9), k=3) + rng.choices(range(4), k=3)]
+    want = Counter()
+    for u in range(40):
+        for r in range(6):
+            items = sorted({c for x, y, c in rows if (x, y) == (u, r)})
+            want.update((u, a, b) for i, a in enumerate(items) for b in items[i:])
+    rng.shuffle(rows)
+    assert sums(G._pair_sums(*np.array(rows).T)) == want
+
+
+def test_a_record_of_many_items_is_made_in_parts():
+    """20,000 items are 2 * 10^8 pairs: not more than PAIRS and a gap of them are held."""
+    parts, n = 0, 20_000
+    for unit, a, b, k in itertools.islice(G._pair_sums(np.zeros(n, int), np.zeros(n, int), np.arange(n) * 107_000), 3):
+        assert len(a) <= G.PAIRS + n and (k == 1).all() and (a <= b).all()
+        parts += 1
+    assert parts == 3
