@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import lines as L
 from ..functions import text as T
 from ..operators import agreement as A
-from ..operators import graph as G
-from ..operators import integrity as I
 from ..operators import lines as D
-from ..operators import pipeline as P
+from ..operators import quotes as S
 from ..operators import vectors as V
 from .registry import query
 
@@ -120,35 +118,27 @@ _QUOTES = "'" + '"' * 4 + "''" * 4 + "--'"
 _NORM = "trim(regexp_replace(replace(translate({0}, '“”„‟‘’‚‛–—', " + _QUOTES + r"), '…', '...'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 
 
-@query(f"""WITH q AS (SELECT item_id, {_NORM.format('text')} AS q FROM benchmark), d AS (SELECT doc_id, {_NORM.format('text')} AS d FROM documents)
-SELECT item_id, count(doc_id) AS n_docs, CASE WHEN count(doc_id) > 0 THEN 'verified' ELSE 'failed' END AS status FROM q LEFT JOIN d ON contains(d, q) GROUP BY item_id""")
+_FOUND = r"""CASE WHEN len(parts) <= 1 THEN contains(d, q) ELSE len(list_filter(parts, lambda x: NOT contains(d, x))) = 0 END"""
+_PARTS = r"list_filter(list_transform(string_split_regex(q, '\[\.\.\.\]|\.{3,}'), lambda x: trim(x)), lambda x: len(x) >= 12)"
+_WORDS = "string_split(text, ' ')"
+
+
+@query(f"""WITH b AS (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 100000, array_to_string({_WORDS}[3:5], ' ') FROM benchmark
+  UNION ALL SELECT item_id + 200000, array_to_string({_WORDS}[2:5], ' ') || ' ... ' || array_to_string({_WORDS}[8:18], ' ') FROM benchmark
+  UNION ALL SELECT item_id + 300000, array_to_string({_WORDS}[2:4], ' ') || ' [...] ' || array_to_string({_WORDS}[6:8], ' ') FROM benchmark),
+q AS (SELECT item_id, {_NORM.format('text')} AS q, {_PARTS} AS parts FROM (SELECT item_id, text, {_NORM.format('text')} AS q FROM b)), d AS (SELECT doc_id, {_NORM.format('text')} AS d FROM documents)
+SELECT item_id, count(doc_id) AS n_docs, CASE WHEN count(doc_id) > 0 THEN 'verified' ELSE 'failed' END AS status FROM q LEFT JOIN d ON {_FOUND} GROUP BY item_id""")
 def quote_verification(t):
-    """Quotations looked up in all documents, then compared verbatim, or by their fragments if ellipses part them.
-
-    Candidates share words 2 to 7 of one needle (the quotation or a fragment) of
-    eight words or more: its first and last word can be parts of a document's words,
-    those between are whole ones. Quotations without so long a needle are compared
-    with every document.
-    """
-    gram = lambda words: F.xxhash64(F.array_join(words, " "))
-    parts = T.quote_fragments(F.col("n"))
-    q = t("benchmark").select("item_id", F.col("text").alias("quote"), T.norm_ws("text").alias("n"))
-    q = q.withColumn("needles", F.when(F.size(parts) <= 1, F.array("n")).otherwise(parts))
-    q = q.withColumn("long", F.get(F.filter(F.transform("needles", lambda x: F.split(x, " ")), lambda w: F.size(w) >= 8), F.lit(0)))
-    docs = t("documents").select("doc_id", T.norm_ws("text").alias("h"))
-    words = docs.select("doc_id", F.split("h", " ").alias("w"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))), lambda i: gram(F.slice("w", i, F.lit(6)))))
-    keyed = q.where(F.col("long").isNotNull()).select("item_id", gram(F.slice("long", 2, 6)).alias("g"))
-    near = words.select("doc_id", F.explode(grams).alias("h")).join(keyed, F.col("h") == F.col("g")).select("item_id", "doc_id")
-    # distinct also puts an exchange below the join, so that without such quotations documents aren't read for it
-    short = q.where(F.col("long").isNull()).select("item_id", "needles").distinct()
-    all_docs = docs.join(short, F.forall("needles", lambda x: F.contains(F.col("h"), x))).select("item_id", "doc_id")
-    near = near.unionByName(all_docs).distinct()
-    pairs = q.select("item_id", "quote").join(near.select(F.col("item_id").alias("i"), "doc_id"), F.col("item_id") == F.col("i"), "left").drop("i")
-    sources = t("documents").select("doc_id", "text")
-    found = I.verify_quotes(pairs, sources, "item_id", "doc_id")
-    out = I.quote_rollup(found, "item_id")
-    return out.select("item_id", F.col("n_verified").alias("n_docs"), F.when(F.col("n_verified") > 0, "verified").otherwise("failed").alias("status"))
+    """Quotations looked up in all documents: whole passages, a few words of each, and passages with an ellipsis between long or short parts."""
+    words = F.split("text", " ")
+    some = lambda a, b: F.array_join(F.slice(words, a, b - a + 1), " ")
+    b = t("benchmark")
+    shift = lambda n, text: b.select((F.col("item_id") + n).alias("item_id"), text.alias("quote"))
+    quotes = shift(0, F.col("text")).unionByName(shift(100_000, some(3, 5))).unionByName(shift(200_000, F.concat_ws(" ... ", some(2, 5), some(8, 18)))).unionByName(shift(300_000, F.concat_ws(" [...] ", some(2, 4), some(6, 8))))
+    quotes = quotes.withColumn("item_id", F.col("item_id").cast(b.schema["item_id"].dataType))
+    n = S.quote_pairs(quotes, t("documents"), "item_id", "doc_id").groupBy(F.col("item_id").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    out = quotes.join(n, F.col("item_id") == F.col("i"), "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"))
+    return out.withColumn("status", F.when(F.col("n_docs") > 0, "verified").otherwise("failed"))
 
 
 _READ = "r AS (SELECT event_type AS run, user_id AS passage, list_sort(list_distinct(list(json_extract_string(props, '$.k')))) AS refs FROM events GROUP BY ALL)"
