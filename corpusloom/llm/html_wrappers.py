@@ -1,13 +1,16 @@
 """HTML extraction by wrappers: union-free regular expressions inferred by host.
 
-A page is a nested token stream: its block elements, and in them runs of text. A
-text that recurs on a host's pages is a literal token, any other a text slot.
-The streams of one host are aligned two at a time: equal tokens match, a mismatch
+A page is a nested token stream: its block elements, and in them runs of text, which are slots. The streams
+of one host are aligned two at a time: equal tokens match, a mismatch
 becomes an optional item, a run of equal items (or of equal pairs and triples) a
-repeated group. What remains is the host's wrapper. Each page is then matched
-against it: text that a slot takes is main text, text that a literal takes is
-furniture; element names and classes are priors by which slots of menus, footers,
-comments and the like go, and slots of articles come before others.
+repeated group. What remains is the host's wrapper. Each of its items knows how much text it holds over
+the host's pages, how much of that in links, and about how many different texts.
+
+So the wrapper tells which slot holds the running text of a host: from the page's
+root the way goes to the element that has most of the text, as long as one has. What is in
+it is main text, whether or not it recurs; beside it only headings and paragraphs are, if they vary
+from page to page. Element names and classes are priors: they weigh an element's text, and
+take menus, footers and the like out of the slot that was chosen.
 
 Partial wrappers are made within tasks (one for each host a task meets), and
 only these are moved and merged, a bounded number at a time: no task ever holds
@@ -34,8 +37,11 @@ from .common import mapped, materialise, table
 
 #: Hosts whose partial wrappers a task holds before it hands them on, and partial wrappers of a host that are merged at a time.
 HELD, MERGED = 2_000, 64
-#: A text is a literal of its host if at least so many different pages, and this share of them, have it.
-LITERAL_PAGES, LITERAL_SHARE = 3, 0.5
+#: The way goes on to an element that has this share of the (weighed) text; a slot that at least so many pages have is fixed if it has
+#: hardly more than one text, one more for this share of the pages; digests kept of a slot's texts, from which their number is estimated.
+SHARE, FIXED_PAGES, FIXED_SHARE, KEPT = 0.6, 3, 0.1, 8
+#: Weights of text in elements by their priors: furniture by name or role, furniture by class, an article; of fixed texts; of links.
+WEIGH_HARD, WEIGH_SOFT, WEIGH_MAIN, WEIGH_FIXED, WEIGH_LINKS = 0.02, 0.5, 2.0, 0.05, 0.1
 #: Total size up to which what is known of hosts is broadcast; beyond, it is joined to the pages by shuffle.
 BROADCAST_BYTES = 32 * 1024 * 1024
 #: In that join a host of more pages than HOT is dealt to SALT tasks.
@@ -61,6 +67,13 @@ COMMENTS = frozenset("comment comments reply replies respond".split())
 # First words of a class that tells of a property (has-comments), and of one that names a part of the article (entry-header).
 TELLS = frozenset("has with no is not without hide show js".split())
 PARTS = frozenset("article post entry story content chapter section title".split())
+# Words that say nothing beside a mark (site-footer, ad-box), and further ones that may follow it.
+NEUTRAL = frozenset("site page main top bottom left right inner outer box bar block container wrapper wrap section list area item items row col column button buttons link links group panel slot unit global".split())
+AFTER = frozenset("content text body title message form".split())
+# Elements that hold others, and those of them that may be furniture but can hold a whole page too.
+CONTAINERS = frozenset("html body div article main section center td tr tbody table th details form fieldset".split())
+OPEN_FURNITURE = frozenset("form fieldset".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 # An open element that a start tag closes, if it is the current one.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -87,14 +100,23 @@ def digest(text: str) -> int:
 
 
 def _marked(names: list[str]) -> bool:
-    """Whether some class marks furniture: a mark alone, or first or last of a compound such as ad-box, site-footer."""
+    """Whether some class marks furniture: a mark with no other word than such as say nothing (ad-box, site-footer, post-comments).
+
+    A class that names a part of the article beside it (content social) outweighs all but readers' comments.
+    """
+    marks, part = set(), False
     for name in names:
-        words = _WORDS.findall(name)
+        words = [w for w in _WORDS.findall(name) if not w.isdigit()]
         if not words or words[0] in TELLS:
             continue
-        if words[0] in MARKS or (words[-1] in MARKS and not (words[0] in PARTS and words[-1] in ("header", "banner"))):
-            return True
-    return False
+        before = NEUTRAL if words[-1] in ("header", "banner") else NEUTRAL | PARTS
+        if words[0] in MARKS and all(w in MARKS | NEUTRAL | AFTER for w in words[1:]):
+            marks.add(words[0])
+        elif words[-1] in MARKS and all(w in before for w in words[:-1]):
+            marks.add(words[-1])
+        else:
+            part = part or words[0] in PARTS
+    return bool(marks & COMMENTS if part else marks)
 
 
 @functools.lru_cache(maxsize=65_536)
@@ -121,12 +143,12 @@ def _label(tag: str, attributes: str) -> tuple[str, int]:
 
 
 class Element:
-    """An element that is open where some text stands: label, bits of it and those it stands in, and the item made of it."""
+    """An element that is open where some text stands: label with its own bits, whether it stands in an article, and the item made of it."""
 
-    __slots__ = ("tag", "label", "bits", "above", "item")
+    __slots__ = ("tag", "label", "within", "above", "item")
 
-    def __init__(self, tag: str, label: str, bits: int, above: Element | None):
-        self.tag, self.label, self.bits, self.above, self.item = tag, label, bits, above, None
+    def __init__(self, tag: str, label: str, within: bool, above: Element | None):
+        self.tag, self.label, self.within, self.above, self.item = tag, label, within, above, None
 
 
 class Block:
@@ -210,38 +232,35 @@ def blocks(page: str) -> list[Block]:
             stack[:] = [x for x in stack if x.tag != "head"]
         label, own = _label(tag, token[3])
         above = stack[-1] if stack else None
-        bits = above.bits if above else 0
-        if tag == "header" and bits & IS_MAIN and own == HARD:
+        within = bool(above and above.within)
+        if tag == "header" and within and own == HARD:
             own = 0  # the heading of an article
-        stack.append(Element(tag, label, bits | own, above))
+        stack.append(Element(tag, f"{label}~{own}", within or bool(own & IS_MAIN), above))
     flush()
     return out
 
 
-# Roles of a text, the higher the better: FALLBACK is an article in what a class marks as furniture.
-DROPPED, FALLBACK, PLAIN, ARTICLE = range(4)
+# A wrapper is a list of items [label, optional, repeated, items below, characters, of these in links, places, pages, texts]. The label is
+# that of an element, with its bits and its shape, "#" for a text slot, "(" for a group. Characters are summed over pages; pages are those that have the item; texts are the
+# least digests of its texts. Places, in the wrapper of one page only, are the numbers of the blocks that a text item stands for, as a tree of pairs.
+LABEL, OPTIONAL, REPEATED, BELOW, CHARS, LINKED, PLACES, PAGES, TEXTS = range(9)
 
 
-def role(bits: int) -> int:
-    """What the elements above a text say of it."""
-    if bits & HARD:
-        return DROPPED
-    if bits & SOFT:
-        return FALLBACK if bits & IS_MAIN else DROPPED
-    return ARTICLE if bits & IS_MAIN else PLAIN
+def tag_of(item: list) -> str:
+    return item[LABEL].partition("~")[0].partition(".")[0]
 
 
-# A wrapper is a list of items [label, optional, repeated, items below, characters, of these in links, places]. The label is that of
-# an element, "#" and a role for a text slot, "=", a role and a digest for a literal, "(" for a group. Characters are summed over
-# pages. Places, in the wrapper of one page only, are the numbers of the blocks that a text item stands for, as a tree of pairs.
-LABEL, OPTIONAL, REPEATED, BELOW, CHARS, LINKED, PLACES = range(7)
+def bits_of(item: list) -> int:
+    return int(item[LABEL].partition("~")[2][:1] or 0)
 
 
-def _merged(a: list, b: list, along: bool) -> list:
-    """One item of two that match; along: two in a row in one page, else of two pages."""
+def _merged(a: list, b: list, along: bool, one_page: bool = False) -> list:
+    """One item of two that match; along: two in a row; one_page: of one page, else of two."""
     places = b[PLACES] if a[PLACES] is None else a[PLACES] if b[PLACES] is None else (a[PLACES], b[PLACES])
-    below = align(a[BELOW], b[BELOW]) if a[BELOW] or b[BELOW] else a[BELOW]
-    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or along, below, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], places]
+    below = align(a[BELOW], b[BELOW], along or one_page) if a[BELOW] or b[BELOW] else a[BELOW]
+    pages = max(a[PAGES], b[PAGES]) if along or one_page else a[PAGES] + b[PAGES]
+    texts = tuple(sorted({*a[TEXTS], *b[TEXTS]})[:KEPT])
+    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or along, below, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], places, pages, texts]
 
 
 def _optional(items: list) -> list:
@@ -269,8 +288,8 @@ def fold(items: list) -> list:
             if to - k >= 2 * width:
                 below = out[k : k + width]
                 for turn in range(k + width, to, width):
-                    below = [_merged(x, y, False) for x, y in zip(below, out[turn : turn + width])]
-                done.append(["(", False, True, below, 0, 0, None])
+                    below = [_merged(x, y, False, True) for x, y in zip(below, out[turn : turn + width])]
+                done.append(_group(below, True))
                 k = to
             else:
                 done.append(out[k])
@@ -279,6 +298,10 @@ def fold(items: list) -> list:
     return out
 
 
+def _group(below: list, repeated: bool) -> list:
+    return ["(", False, repeated, below, 0, 0, None, max(x[PAGES] for x in below), ()]
+
+
 def _key(item: list) -> str:
     return "(" + ",".join(x[LABEL] for x in item[BELOW]) if item[LABEL] == "(" else item[LABEL]
 
@@ -291,7 +314,7 @@ def _grouped(items: list, groups: dict[tuple, list]) -> list:
     while k < len(items):
         for key in groups:
             if tuple(labels[k : k + len(key)]) == key:
-                out.append(["(", False, False, items[k : k + len(key)], 0, 0, None])
+                out.append(_group(items[k : k + len(key)], False))
                 k += len(key)
                 break
         else:
@@ -357,20 +380,24 @@ def matched(a: list, b: list) -> Iterator[tuple[list | None, list | None]]:
         i, j = p + 1, q + 1
 
 
-def align(a: list, b: list) -> list:
-    """Two levels as one: what matches is merged, what only one has becomes optional."""
+def align(a: list, b: list, one_page: bool = False) -> list:
+    """Two levels as one: what matches is merged, what only one has becomes optional. one_page: both are of one page."""
     if not a or not b:
         return _optional(a or b)
     out, optional = [], False
     for x, y in matched(a, b):
         optional = optional or x is None or y is None
-        out.append(_merged(x, y, False) if x is not None and y is not None else _optional([x or y])[0])
+        out.append(_merged(x, y, False, one_page) if x is not None and y is not None else _optional([x or y])[0])
     return fold(out) if optional else out
 
 
-def page_wrapper(found: list[Block], literals: frozenset[int] = frozenset()) -> list:
+def page_wrapper(found: list[Block]) -> list:
     """The wrapper of one page: its blocks as nested items, folded from the innermost out."""
     top: list = []
+    for b in found:  # a page's elements may have been made items before
+        element = b.element
+        while element is not None and element.item is not None:
+            element.item, element = None, element.above
     for at, b in enumerate(found):
         fresh, element = [], b.element
         while element is not None and element.item is None:
@@ -378,15 +405,22 @@ def page_wrapper(found: list[Block], literals: frozenset[int] = frozenset()) ->
             element = element.above
         level = top if element is None else element.item[BELOW]
         for element in reversed(fresh):
-            element.item = [element.label, False, False, [], 0, 0, None]
+            element.item = [element.label, False, False, [], 0, 0, None, 1, ()]
             level.append(element.item)
             level = element.item[BELOW]
-        r = role(b.element.bits if b.element else 0)
-        known = digest(b.text) if literals else 0
-        level.append([f"={r}{known}" if known in literals else f"#{r}", False, False, [], len(b.text), b.linked, at])
+        level.append(["#", False, False, [], len(b.text), b.linked, at, 1, (digest(b.text) & 0xFFFFFFFF,)])
     return _folded(top)
 
 
+def _shape(item: list) -> str:
+    """What tells elements of one name apart: "-" holds text alone, "^" has a heading."""
+    if tag_of(item) not in CONTAINERS:
+        return ""
+    if all(x[LABEL] == "#" for x in item[BELOW]):
+        return "-"
+    return "^" if any(tag_of(x) in HEADINGS for x in item[BELOW]) else ""
+
+
 def _folded(items: list) -> list:
     # innermost levels first, without recursion: pages may be nested to any depth
     order, todo = [], [items]
@@ -395,6 +429,8 @@ def _folded(items: list) -> list:
         order.append(level)
         todo += [x[BELOW] for x in level if x[BELOW]]
     for level in reversed(order):
+        for x in level:
+            x[LABEL] += _shape(x)
         level[:] = fold(level)
     return items
 
@@ -404,15 +440,15 @@ def packed(wrapper: list) -> str:
     out, todo = [], [(0, x) for x in reversed(wrapper)]
     while todo:
         depth, x = todo.pop()
-        out.append([depth, x[LABEL], int(x[OPTIONAL]), int(x[REPEATED]), x[CHARS], x[LINKED]])
+        out.append([depth, x[LABEL], int(x[OPTIONAL]), int(x[REPEATED]), x[CHARS], x[LINKED], x[PAGES], x[TEXTS]])
         todo += [(depth + 1, y) for y in reversed(x[BELOW])]
     return json.dumps(out, separators=(",", ":"), ensure_ascii=False)
 
 
 def unpacked(text: str) -> list:
     levels: list[list] = [[]]
-    for depth, label, optional, repeated, chars, linked in json.loads(text):
-        item = [label, bool(optional), bool(repeated), [], chars, linked, None]
+    for depth, label, optional, repeated, chars, linked, pages, texts in json.loads(text):
+        item = [label, bool(optional), bool(repeated), [], chars, linked, None, pages, tuple(texts)]
         del levels[depth + 1 :]
         levels[depth].append(item)
         levels.append(item[BELOW])
@@ -431,58 +467,130 @@ def _deep(work):
     return run
 
 
-class Wrapper:
-    """A host's wrapper, to read its pages by; without one (None) a page's own elements decide."""
+def _links(item: list) -> bool:
+    return 2 * item[LINKED] > item[CHARS]
+
 
-    def __init__(self, wrapper: list | None, literals: frozenset[int] = frozenset()):
-        self.items, self.literals = wrapper or [], literals
-        slots = fixed = 0
-        todo = list(self.items)
+def _fixed(item: list) -> bool:
+    """Whether a slot has hardly more than one text over the pages that have it."""
+    if item[PAGES] < FIXED_PAGES:
+        return False
+    texts = item[TEXTS]
+    different = len(texts) if len(texts) < KEPT else (KEPT - 1) * 2**32 / max(texts[-1], 1)
+    return different <= 1 + FIXED_SHARE * item[PAGES]
+
+
+class Wrapper:
+    """A host's wrapper, to read its pages by; without one (None) a page's own stream is its wrapper."""
+
+    def __init__(self, wrapper: list | None):
+        self.items = wrapper
+        self.weights: dict[int, tuple[float, float]] = {}
+        self.fixed_count = False
+        if wrapper is not None:
+            self._weigh(wrapper)
+            # where most text is fixed, pages are copies of each other: what varies tells nothing then
+            slots = [x for x in self._slots(wrapper) if not _links(x)]
+            self.fixed_count = 2 * sum(x[CHARS] for x in slots if _fixed(x)) < sum(x[CHARS] for x in slots)
+            self._weigh(wrapper)
+
+    def _slots(self, items: list) -> Iterator[list]:
+        todo = list(items)
         while todo:
             x = todo.pop()
+            if x[LABEL] == "#":
+                yield x
+            elif not bits_of(x) & HARD:
+                todo += x[BELOW]
+
+    def _weigh(self, items: list) -> None:
+        """For each item its text over all pages, weighed by priors and plain."""
+        order, todo = [], list(items)
+        while todo:
+            x = todo.pop()
+            order.append(x)
             todo += x[BELOW]
-            if x[LABEL][0] in "#=" and int(x[LABEL][1]) >= PLAIN and 2 * x[LINKED] <= x[CHARS]:
-                fixed, slots = fixed + x[CHARS] * (x[LABEL][0] == "="), slots + x[CHARS] * (x[LABEL][0] == "#")
-        #: more fixed than varying main text: the pages are copies of each other, not alike by their template
-        self.copies = fixed > slots
-
-    def role(self, item: list, slot: list | None) -> int:
-        """The role of a page's text item that the wrapper's item `slot` (None: no item) takes."""
-        own = int(item[LABEL][1])
-        if item[LABEL][0] == "=" and not self.copies:
-            return DROPPED
-        # outside articles, what stands mostly in links over the host's pages (or, on a page alone, here) is a menu
-        x = slot or item
-        return DROPPED if own == PLAIN and 2 * x[LINKED] > x[CHARS] else own
+        for x in reversed(order):
+            if x[LABEL] == "#":
+                plain = x[CHARS] * (WEIGH_LINKS if _links(x) else 1.0)
+                self.weights[id(x)] = plain * (WEIGH_FIXED if self.fixed_count and _fixed(x) else 1.0), plain
+                continue
+            weighed, plain = (sum(self.weights[id(y)][k] for y in x[BELOW]) for k in (0, 1))
+            bits = bits_of(x)
+            factor = WEIGH_HARD if bits & HARD else (WEIGH_SOFT if bits & SOFT else 1.0) * (WEIGH_MAIN if bits & IS_MAIN else 1.0)
+            self.weights[id(x)] = factor * weighed, plain
+
+    def _of(self, item: list, which: int) -> float:
+        """Text of an item on a page that has it."""
+        return self.weights[id(item)][which] / max(item[PAGES], 1)
+
+    def _level(self, page: list, items: list) -> list[tuple[list, list]]:
+        """A page's items of one level, those in groups too, each with the wrapper's (its own where the wrapper has none)."""
+        out = []
+        for x, y in matched(page, items):
+            if x is None:
+                continue
+            if y is None:
+                self._weigh([x])
+            if x[LABEL] == "(":
+                out += self._level(x[BELOW], (y or x)[BELOW])
+            else:
+                out.append((x, y or x))
+        return out
 
     @_deep
-    def roles(self, found: list[Block]) -> list[int]:
-        """The role of each block of a page, by matching the page against the wrapper."""
-        out = [DROPPED] * len(found)
-        todo = [(page_wrapper(found, self.literals), self.items)]
+    def kept(self, found: list[Block]) -> list[int]:
+        """The places of a page's blocks that are main text, by matching the page against the wrapper."""
+        page = page_wrapper(found)
+        items = self.items
+        if items is None:
+            self._weigh(page)
+            items = page
+        out: list[int] = []
+
+        def take(item: list) -> None:
+            places = [item[PLACES]]
+            while places:
+                at = places.pop()
+                if type(at) is tuple:
+                    places += at
+                else:
+                    out.append(at)
+
+        # (page's level, wrapper's level, the way goes on, in an article, fixed texts go)
+        todo = [(page, items, True, False, True)]
         while todo:
-            for x, y in matched(*todo.pop()):
-                if x is None:
+            own, known, choose, within, strict = todo.pop()
+            level = self._level(own, known)
+            whole, plain = (sum(self._of(y, k) for _, y in level) for k in (0, 1))
+            chosen = next((x for x, y in level if choose and self._may_hold(y) and self._of(y, 0) >= SHARE * whole > 0), None)
+            for x, y in level:
+                if x[LABEL] == "#":
+                    if not (strict and self.fixed_count and _fixed(y)) and (within or not _links(y)):
+                        take(x)
                     continue
-                if x[LABEL][0] in "#=":
-                    r, places = self.role(x, y), [x[PLACES]]
-                    while places:
-                        at = places.pop()
-                        if type(at) is tuple:
-                            places += at
-                        else:
-                            out[at] = r
-                else:
-                    todo.append((x[BELOW], y[BELOW] if y else []))
-        return out
+                bits, tag = bits_of(x), tag_of(x)
+                if x is chosen:
+                    top = tag in ("html", "body")
+                    todo.append((x[BELOW], y[BELOW], not bits & IS_MAIN, within or bool(bits & IS_MAIN), top))
+                elif chosen is not None:
+                    title = tag in CONTAINERS and all(tag_of(z) in HEADINGS for z in x[BELOW]) and not chosen[LABEL].endswith("^")
+                    if not bits and (tag not in CONTAINERS or title):
+                        todo.append((x[BELOW], y[BELOW], False, within, True))
+                elif not bits & (HARD | SOFT) or (2 * self._of(y, 1) > plain and (not bits & HARD or tag in OPEN_FURNITURE)):
+                    todo.append((x[BELOW], y[BELOW], False, within or bool(bits & IS_MAIN), strict))
+        return sorted(out)
+
+    def _may_hold(self, item: list) -> bool:
+        """Whether the way can go on to an element: it holds others, stands once on a page, or is an article, and is no furniture by its name."""
+        bits, tag = bits_of(item), tag_of(item)
+        return tag in CONTAINERS and (not item[REPEATED] or bool(bits & IS_MAIN)) and (not bits & HARD or tag in OPEN_FURNITURE)
 
 
 def main_text(page: str | None, wrapper: Wrapper | None) -> str:
-    """The main text of a page read through its host's wrapper: its blocks of the best role there is."""
+    """The main text of a page read through its host's wrapper: the blocks that this takes as running text."""
     found = blocks(page or "")
-    known = (wrapper or Wrapper(None)).roles(found)
-    best = max(known, default=DROPPED)
-    return "\n".join(b.text for b, r in zip(found, known) if r == best and r)
+    return "\n".join(found[at].text for at in (wrapper or Wrapper(None)).kept(found))
 
 
 def _host(url: str | None):
@@ -509,34 +617,13 @@ def _with_host(pages: DataFrame, known: DataFrame, hot: DataFrame) -> DataFrame:
     return dealt.join(named, (F.col("host") == F.col("__host")) & (F.col("__salt") == F.col("__deal")), "left").drop("__host", "__deal", "__salt")
 
 
-def literals(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, literals) and (host, pages) of hosts with more than HOT different pages.
-
-    Only digests are moved: (host, text, page) without repeats, then their counts.
-    A host has at most its blocks a page divided by LITERAL_SHARE of them.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for url, page in zip(pdf["url"], pdf["html"]):
-                texts = [digest(b.text) for b in blocks(page or "")]
-                if texts:
-                    same = digest(repr(texts))  # pages of the same texts are one
-                    out += [(host_of(url), t, same) for t in {0, *texts}]
-            yield pd.DataFrame(out, columns=["host", "text", "page"])
-
-    seen = pages.select("url", "html").mapInPandas(run, "host string, text long, page long").distinct()
-    counts = materialise(seen.groupBy("host", "text").count().where(F.col("count") >= LITERAL_PAGES), "page-texts")
-    totals = counts.where("text = 0").select(F.col("host").alias("__host"), F.col("count").alias("__pages"))
-    both = counts.where("text <> 0").join(totals, F.col("host") == F.col("__host"))
-    often = both.where(F.col("count") >= F.lit(LITERAL_SHARE) * F.col("__pages"))
-    found = materialise(often.groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("literals")), "literals")
-    return found, materialise(totals.where(F.col("__pages") > HOT).select(F.col("__host").alias("host"), F.col("__pages").alias("pages")), "hot-hosts")
+def hot_hosts(pages: DataFrame) -> DataFrame:
+    """(host) of hosts with more than HOT pages."""
+    return materialise(pages.groupBy("host").count().where(F.col("count") > HOT).select("host"), "hot-hosts")
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """pages (host, html, literals) -> (host, wrapper): one row for each host, its wrapper packed."""
+    """pages (host, html) -> (host, wrapper): one row for each host, its wrapper packed."""
     schema = "host string, wrapper string"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -549,8 +636,8 @@ def infer(pages: DataFrame) -> DataFrame:
             return pd.DataFrame(rows, columns=["host", "wrapper"])
 
         for pdf in batches:
-            for host, page, known in zip(pdf["host"], pdf["html"], pdf["literals"]):
-                own = _deep(page_wrapper)(blocks(page or ""), frozenset(known) if known is not None else frozenset())
+            for host, page in zip(pdf["host"], pdf["html"]):
+                own = _deep(page_wrapper)(blocks(page or ""))
                 held[host] = align_deep(held[host], own) if host in held else own
             if len(held) > HELD:
                 yield out()
@@ -563,7 +650,7 @@ def infer(pages: DataFrame) -> DataFrame:
             merged = _deep(align)(merged, unpacked(text)) if k else unpacked(text)
         return pd.DataFrame({"host": [pdf["host"].iat[0]], "wrapper": [packed(merged)]})
 
-    parts = materialise(pages.select("host", "html", "literals").mapInPandas(partial, schema), "wrappers")
+    parts = materialise(pages.select("host", "html").mapInPandas(partial, schema), "wrappers")
     while True:  # a host's parts are merged some at a time, so that no task holds all of a host's
         most = parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
@@ -574,8 +661,8 @@ def infer(pages: DataFrame) -> DataFrame:
 
 
 @functools.lru_cache(maxsize=1024)
-def _wrapper(text: str, known: tuple[int, ...]) -> Wrapper:
-    return Wrapper(unpacked(text), frozenset(known))
+def _wrapper(text: str) -> Wrapper:
+    return Wrapper(unpacked(text))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -588,18 +675,16 @@ def extract(pages: DataFrame) -> DataFrame:
     An empty table gives an empty result.
     """
     own = pages.select("page_id", "url", "html", _host("url").alias("host"))
-    fixed, hot = literals(own)
-    own = _with_host(own, fixed, hot)
-    both = _with_host(own, infer(own), hot)
+    both = _with_host(own, infer(own), hot_hosts(own))
 
     def make():
-        def run(texts: list, wrappers: list, known: list) -> tuple:
-            found = [main_text(h, _wrapper(w, tuple(k or ())) if w else None) for h, w, k in zip(texts, wrappers, known)]
+        def run(texts: list, wrappers: list) -> tuple:
+            found = [main_text(h, _wrapper(w) if w else None) for h, w in zip(texts, wrappers)]
             return found, list(map(len, found))
 
         return run
 
-    return mapped(both, ["page_id", "url"], ["html", "wrapper", "literals"], make, {"text": ("string", pa.string()), "n_chars": ("long", pa.int64())})
+    return mapped(both, ["page_id", "url"], ["html", "wrapper"], make, {"text": ("string", pa.string()), "n_chars": ("long", pa.int64())})
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,10 @@ TEMPLATES = {
 
 
 def wanted(name, texts):
+    if name == "share_line":  # what stands among the paragraphs is the article's, whether or not it recurs
+        return "\n".join([*texts, "Share this story"])
+    if name == "line_within":
+        return "\n".join([*texts[:2], "Read on below", *texts[2:]])
     return "\n".join(y for x in texts for y in ((x[:9].strip(), x) if name == "pairs" else (x,)))
 
 
@@ -67,25 +71,15 @@ def hosts():
     return out
 
 
-def literals_of(pages):
-    """By definition: texts on three different pages or more, and half of them."""
-    seen = {tuple(H.digest(b.text) for b in H.blocks(p)) for p in pages}
-    return frozenset(d for d in {d for page in seen for d in page} if sum(d in page for page in seen) >= max(3, 0.5 * len(seen)))
-
-
 def known(pages):
-    literals = literals_of(pages)
-    return H.Wrapper(functools.reduce(H._deep(H.align), (H.page_wrapper(H.blocks(p), literals) for p in pages)), literals)
+    return H.Wrapper(H.unpacked(H.packed(functools.reduce(H._deep(H.align), (H._deep(H.page_wrapper)(H.blocks(p)) for p in pages)))))
 
 
 def test_templates(spark, hosts):
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(hosts)], "page_id long, url string, html string, want string").repartition(5)
     got = {r.page_id: r.text for r in H.extract(df).collect()}
     for i, (url, _, want) in enumerate(hosts):
-        if "mixed" not in url:  # there a text of one template is on too few pages to be a literal
-            assert got[i] == want, url
-        elif not any(x in url for x in ("share_line", "line_within", "divs_only", "notice", "table")):
-            assert got[i] == want, url
+        assert got[i] == want, url
 
 
 def test_joined_by_shuffle(spark, hosts, monkeypatch):
@@ -96,21 +90,70 @@ def test_joined_by_shuffle(spark, hosts, monkeypatch):
     assert {r.page_id: r.text for r in H.extract(df).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["share_line", "line_within", "divs_only", "table", "notice"])
+@pytest.mark.parametrize("name", ["divs_only", "table", "notice"])
 def test_the_wrapper_decides(hosts, name):
+    """Fixed notices beside the running text: a page alone can't tell."""
     own = [(p, want) for url, p, want in hosts if url.startswith(f"http://{name.replace('_', '-')}.")]
     wrapper = known([p for p, _ in own])
-    for page, want in own:
-        assert H.main_text(page, wrapper) == want
-        assert H.main_text(page, None) != want
+    assert [H.main_text(p, wrapper) for p, _ in own] == [want for _, want in own]
+    if name != "divs_only":
+        assert any(H.main_text(p, None) != want for p, want in own)
+
+
+def test_the_slot_is_the_hosts_not_the_pages():
+    """A page of little text: by itself its advert would be the running text, by its host's wrapper it is not."""
+    rng = random.Random(4)
+    page = lambda texts: f"<body><div>{some(rng, 12)}</div><div>{paragraphs(texts)}</div></body>"
+    pages = [page(article(rng)) for _ in range(9)] + [page(["Hours", "Rain."])]
+    assert H.main_text(pages[-1], known(pages)) == "Hours\nRain."
+    assert H.main_text(pages[-1], None) != "Hours\nRain."
+
+
+@pytest.mark.parametrize("host", ["copies", "copies and longer", "poems", "poems without elements"])
+def test_main_text_that_recurs_stays(host):
+    rng = random.Random(7)
+    texts = article(rng) + article(rng)
+    if host.startswith("poems"):
+        refrain = "And the wheel of the mill goes round in the rain"
+        pages = [[some(rng, 2), *[x for _ in range(4) for x in (some(rng, 9), refrain)]] for _ in range(4)]
+    else:
+        pages = [[*texts[:-1], some(rng, 20)] for _ in range(3)] + [[some(rng, 30) for _ in range(9)] for _ in range(2)]
+        if host.endswith("longer"):
+            pages += [[some(rng, 60) for _ in range(30)] for _ in range(2)]
+    html = (lambda t: f"<body>{menu(rng)}{paragraphs(t)}<footer>x</footer></body>") if host.endswith("elements") else (lambda t: f"<body>{menu(rng)}<article>{paragraphs(t)}</article><footer>x</footer></body>")
+    made = [html(t) for t in pages]
+    assert [H.main_text(p, known(made)) for p in made] == ["\n".join(t) for t in pages]
+
+
+def test_words_that_mark_are_priors():
+    rng = random.Random(9)
+    texts = article(rng)
+    social = f"<body>{menu(rng)}<div class='content social'>{paragraphs(texts)}</div></body>"
+    history = f"<body><article><h1>{texts[0]}</h1><div class=social-history>{texts[1]}</div><p>{texts[2]}</p></article></body>"
+    sidebar = f"<body><div class=sidebar>{paragraphs(texts)}</div><div class=ad-box>{some(rng, 4)}</div></body>"
+    form = f"<body><form action=/><div>{paragraphs(texts)}</div></form></body>"
+    for page, want in ((social, texts), (history, texts[:3]), (sidebar, texts), (form, texts)):
+        assert H.main_text(page, None) == H.main_text(page, known([page] * 4)) == "\n".join(want)
+    names = {"ad": 1, "ad-box": 1, "site-footer": 1, "post-comments": 1, "social-history": 0, "article-header": 0, "has-comments": 0, "nav2": 1, "reading-list": 0}
+    assert {n: int(H._marked([n])) for n in names} == names
+    assert not H._marked(["content", "social"]) and H._marked(["post", "comment"])
+
+
+def test_stripped_pages_keep_their_text(spark):
+    """Sample pages without classes and ids, their articles plain divs: the wrapper finds the same text on 95 of 100."""
+    import re
+
+    pages = [(r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    bare = lambda h: re.sub(r"<(/?)(article|main)\b", r"<\1div", re.sub(r"\s(class|id)=(\"[^\"]*\"|[^\s>]+)", "", h))
+    df = spark.createDataFrame([(i, u, h, bare(h)) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string, bare string")
+    want = {r.page_id: r.text for r in H.extract(df).collect()}
+    got = {r.page_id: r.text for r in H.extract(df.withColumn("html", F.col("bare"))).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want) and all(want.values())
 
 
-def test_literals(spark, hosts):
-    pages = spark.createDataFrame([(u, p) for u, p, _ in hosts], "url string, html string")
-    found, _ = H.literals(pages.withColumn("page_id", F.lit(1)))
-    got = {r.host: frozenset(r.literals) for r in found.collect()}
-    for host in {H.host_of(u) for u, _, _ in hosts}:
-        assert got.get(host, frozenset()) == literals_of([p for u, p, _ in hosts if H.host_of(u) == host])
+def test_pages_without_an_article_have_no_text():
+    for page in ("", "<body><nav><a href=x>home</a></nav><footer>about us</footer></body>", "<body><script>x</script></body>"):
+        assert H.main_text(page, None) == H.main_text(page, known([page] * 3)) == ""
 
 
 def test_copies_are_no_template():
@@ -130,7 +173,7 @@ def test_deep_blocks_keep_their_roles():
 
 def test_very_deep_pages_are_borne():
     page = "<body>" + "".join(f"<div>part {i}" for i in range(5000))
-    wrapper = H.Wrapper(H.unpacked(H.packed(H._deep(H.align)(H.page_wrapper(H.blocks(page)), H.page_wrapper(H.blocks(page))))))
+    wrapper = H.Wrapper(H.unpacked(H.packed(H._deep(H.align)(*(H._deep(H.page_wrapper)(H.blocks(page)) for _ in range(2))))))
     assert len(H.main_text(page, wrapper).split("\n")) == 5000
 
 
@@ -153,7 +196,7 @@ def test_lists_of_200_items():
     page = lambda k: "<body><p>Contents</p><ol>" + "".join(f"<li>{i} of {k}</li>" for i in range(200)) + "</ol></body>"
     wrapper = known([page(k) for k in range(4)])
     assert H.main_text(page(1), wrapper).split("\n") == [f"{i} of 1" for i in range(200)]
-    assert [x[H.LABEL] for x in wrapper.items[0][H.BELOW]] == ["p", "ol"]
+    assert [H.tag_of(x) for x in wrapper.items[0][H.BELOW]] == ["p", "ol"]
 
 
 def test_levels_that_pages_widen_keep_their_roles():
@@ -167,7 +210,7 @@ def test_levels_that_pages_widen_keep_their_roles():
 
 
 def test_alignment_finds_groups_and_options():
-    tree = lambda labels: H.fold([[x, False, False, [], 0, 0, None] for x in labels.split()])
+    tree = lambda labels: H.fold([[x, False, False, [], 0, 0, None, 1, ()] for x in labels.split()])
     shape = lambda w: " ".join(("(" + shape(x[H.BELOW]) + ")" if x[H.LABEL] == "(" else x[H.LABEL]) + "*" * x[H.REPEATED] + "?" * x[H.OPTIONAL] for x in w)
     assert shape(tree("h1 p p p ul")) == "h1 p* ul"
     assert shape(tree("h1 h2 p h2 p h2 p")) == "h1 (h2 p)*"
