@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranges import numbered_within
+from .variants import nodes, text_of
 
 
 def audit(checks: dict[str, tuple[DataFrame, DataFrame]], key: str) -> DataFrame:
@@ -64,31 +63,10 @@ def flat_fields(df: DataFrame, key: str, document: str) -> DataFrame:
     """(key, path, value): the leaves of a JSON document as rows, at any depth; items of arrays are numbered from 1.
 
     Strings are their text, numbers and booleans their JSON; nulls, empty objects and empty arrays
-    have no row. A broken document has none either. Depth has no bound, so this walks in Python by Arrow batches.
+    have no row. A broken document has none either.
     """
-    kind = df.schema[key].dataType.simpleString()
-
-    def leaves(text: str) -> list[tuple[str, str]]:
-        try:
-            top = json.loads(text)
-        except ValueError:
-            return []
-        out, todo = [], [("", top)]
-        while todo:
-            path, node = todo.pop()
-            inner = node.items() if isinstance(node, dict) else enumerate(node, 1) if isinstance(node, list) else None
-            if inner is not None:
-                todo += [(f"{path}.{k}" if path else str(k), v) for k, v in reversed(list(inner))]
-            elif node is not None and path:
-                out.append((path, node if isinstance(node, str) else json.dumps(node)))
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, *leaf) for k, d in zip(pdf[key], pdf[document]) if d for leaf in leaves(d)]
-            yield pd.DataFrame(rows, columns=[key, "path", "value"])
-
-    return df.select(key, document).mapInPandas(run, f"`{key}` {kind}, path string, value string")
+    leaves = nodes(df, key, document).where("NOT nested AND path <> ''")
+    return leaves.select(F.col("key").alias(key), "path", text_of("value").alias("value")).where("value IS NOT NULL")
 
 
 def by_path(df: DataFrame, wanted: str, path: str = "path") -> DataFrame:

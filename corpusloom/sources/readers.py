@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.variants import nodes, text_of
+
 
 def read_whole(spark: SparkSession, glob: str) -> DataFrame:
     """(path, content): whole files."""
@@ -137,31 +139,10 @@ def raw_extensions(files: DataFrame, path: str = "path", extensions: Sequence[st
 
 
 def quotes(df: DataFrame, key: str, document: str) -> DataFrame:
-    """(key, quote): every non-empty string under a `quote` key of a JSON document, at any depth.
-
-    A matching key isn't descended. Depth has no bound, so this walks in Python by Arrow batches.
-    """
-    kind = df.schema[key].dataType.simpleString()
-
-    def walk(node, out: list) -> list:
-        if isinstance(node, dict):
-            for k, v in node.items():
-                if k == "quote":
-                    if isinstance(v, str) and v.strip():
-                        out.append(v)
-                else:
-                    walk(v, out)
-        elif isinstance(node, list):
-            for v in node:
-                walk(v, out)
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, q) for k, d in zip(pdf[key], pdf[document]) for q in (walk(json.loads(d), []) if d else [])]
-            yield pd.DataFrame(rows, columns=[key, "quote"])
-
-    return df.select(key, document).mapInPandas(run, f"{key} {kind}, quote string")
+    """(key, quote): every non-blank string under a `quote` key of a JSON document, at any depth. A matching key isn't descended; broken documents have none."""
+    named = F.coalesce(F.col("name") == "quote", F.lit(False))
+    found = nodes(df, key, document, into=~named).where(named & (F.schema_of_variant("value") == "STRING"))
+    return found.select(F.col("key").alias(key), F.variant_get("value", "$", "string").alias("quote")).where(F.col("quote").rlike(r"\S"))
 
 
 def collected_ids(df: DataFrame, key: str, single: Sequence[str] = (), many: Sequence[str] = ()) -> DataFrame:
@@ -175,23 +156,10 @@ CONTAINERS = ("motifs", "suggestions", "review_needed", "accepted", "auto_accept
 
 
 def nested_ids(df: DataFrame, key: str, document: str, single: str = "motif_id", many: str = "motif_ids", containers: Sequence[str] = CONTAINERS) -> DataFrame:
-    """(key, id): distinct ids under `single` and `many` of a JSON document and of the documents in its containers, at any depth."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def ids(text: str) -> set[str]:
-        out, todo = set(), [json.loads(text)]
-        while todo:
-            node = todo.pop()
-            if isinstance(node, list):
-                todo += node
-            elif isinstance(node, dict):
-                several = node.get(many)
-                out |= {str(x) for x in [node.get(single), *(several if isinstance(several, list) else [several])] if x is not None and str(x)}
-                todo += [node[c] for c in containers if c in node]
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(k, i) for k, d in zip(pdf[key], pdf[document]) if d for i in ids(d)], columns=[key, "id"])
-
-    return df.select(key, document).mapInPandas(run, f"`{key}` {kind}, id string").distinct()
+    """(key, id): distinct ids under `single` and `many` of a JSON document and of the documents in its containers, at any depth; broken documents have none."""
+    name = F.col("name")
+    item = F.coalesce(F.col("path").rlike(rf"(^|\.)\Q{many}\E\.[0-9]+$"), F.lit(False))  # of a list right under `many`
+    held = nodes(df, key, document, child=name.isNull() | name.isin(single, many, *containers), into=(name.isNull() & ~item) | name.isin(many, *containers))
+    own = name.isin(single, many) | item
+    ids = held.where(own & ~F.col("nested")).select(F.col("key").alias(key), text_of("value").alias("id"))
+    return ids.where("id <> ''").distinct()
