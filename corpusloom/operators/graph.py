@@ -422,6 +422,38 @@ def recurring_sequences(chains: DataFrame, chain: str, position: str, item: str,
     return out.groupBy("sequence").agg(F.count(F.lit(1)).alias("n_chains")).where(F.col("n_chains") >= least)
 
 
+def gapped_sequences(chains: DataFrame, chain: str, position: str, item: str, least: int = 2, longest: int | None = None) -> DataFrame:
+    """(sequence, length, n_chains, maximal): all sequences that stand in `least` chains or more, in order but with any gaps, by pattern growth.
+
+    A sequence of a chain is known by the place where it first ends; the items after that place, each at its
+    first, are what it grows by. Only sequences that enough chains have grow on, so a round is a join of the projected chains with
+    their own items and ends with the longest. maximal: no longer one of them has it as a part. Items of one position don't follow each other.
+    """
+    rows = chains.select(F.col(chain).alias("c"), F.col(position).alias("p"), F.col(item).alias("i")).na.drop().distinct()
+    often = rows.groupBy(F.col("i").alias("__i")).agg(F.count_distinct("c").alias("k")).where(F.col("k") >= least)
+    rows = rows.join(often, F.col("i") == F.col("__i"), "left_semi").checkpoint()
+    grown = rows.groupBy("c", "i").agg(F.min("p").alias("p")).select("c", F.array("i").alias("s"), "p")
+    found, length = None, 1
+    while True:
+        grown = grown.checkpoint()
+        level = grown.groupBy("s").agg(F.count(F.lit(1)).alias("n_chains")).where(F.col("n_chains") >= least).checkpoint()
+        some = level.limit(1).count()
+        if found is None or some:
+            found = level if found is None else found.unionByName(level)
+        if not some or length == longest:
+            break
+        kept = grown.join(level.select(F.col("s").alias("__s")), F.col("s") == F.col("__s"), "left_semi")
+        after = rows.select(F.col("c").alias("__c"), F.col("p").alias("q"), "i")
+        grown = kept.join(after, (F.col("c") == F.col("__c")) & (F.col("q") > F.col("p"))).groupBy("c", "s", "i").agg(F.min("q").alias("p"))
+        grown = grown.select("c", F.concat("s", F.array("i")).alias("s"), "p")
+        length += 1
+    # of a longer one all sequences less one item are found too, so these are all that are not maximal
+    less = F.transform(F.sequence(F.lit(1), F.size("s")), lambda k: F.concat(F.slice("s", F.lit(1), k - 1), F.slice("s", k + 1, F.size("s"))))
+    parts = found.where(F.size("s") > 1).select(F.explode(less).alias("__s")).distinct()
+    out = found.join(parts, F.col("s") == F.col("__s"), "left")
+    return out.select(F.col("s").alias("sequence"), F.size("s").alias("length"), "n_chains", F.col("__s").isNull().alias("maximal"))
+
+
 def label_sets(df: DataFrame, record: str, label: str, pile: Column, min_len: int = 4, least: int = 2) -> DataFrame:
     """(record, pile, labels): distinct lower-case labels of min_len characters, records with `least` of them."""
     low = F.lower(F.col(label))

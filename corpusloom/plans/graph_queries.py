@@ -148,6 +148,21 @@ def recurring_sequences(t):
     return G.recurring_sequences(t("events"), "user_id", "event_id", "event_type")
 
 
+#: Chains that a sequence with gaps must stand in.
+CHAINS = 100
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT DISTINCT l_orderkey AS c, l_linenumber AS p, floor(l_quantity / 10)::INTEGER AS i FROM lineitem),
+s AS (SELECT c, p, [i] AS s FROM r UNION ALL SELECT s.c, r.p, list_append(s.s, r.i) FROM s JOIN r ON r.c = s.c AND r.p > s.p),
+n AS (SELECT s, count(DISTINCT c) AS n FROM s GROUP BY s HAVING count(DISTINCT c) >= {CHAINS}),
+d AS (SELECT DISTINCT list_concat(s[1:k - 1], s[k + 1:]) AS s FROM (SELECT s, unnest(range(1, len(s) + 1)) AS k FROM n))
+SELECT array_to_string(s, '>') AS sequence, len(s)::INTEGER AS length, n AS n_chains, s NOT IN (SELECT s FROM d) AS maximal FROM n""")
+def gapped_sequences(t):
+    """Sizes of an order's lines as a chain: sequences with gaps of any length."""
+    chains = t("lineitem").withColumn("size", F.floor(F.col("l_quantity") / 10).cast("int"))
+    return G.gapped_sequences(chains, "l_orderkey", "l_linenumber", "size", CHAINS).withColumn("sequence", F.array_join(F.transform("sequence", lambda x: x.cast("string")), ">"))
+
+
 @query("""WITH w AS (SELECT unnest(string_split_regex(text, '[^0-9.,A-Za-z]+')) AS w FROM documents),
 n AS (SELECT w::INTEGER AS number, count(*) AS mentions FROM w WHERE regexp_full_match(w, '[0-9]{1,4}') AND w::INTEGER <= 1000 GROUP BY 1),
 x AS (SELECT a.number, a.mentions, coalesce(sum(b.mentions) / 2, 0) AS neighbours FROM n a LEFT JOIN n b ON abs(a.number - b.number) = 1 GROUP BY ALL)

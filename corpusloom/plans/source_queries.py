@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import incremental as N
 from ..operators import integrity as I
 from ..operators import joins as J
 from ..operators import lines as D
@@ -20,6 +21,7 @@ from ..session import scratch_dir
 from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming import trickle as S
+from .graph_queries import FACTS, counts_sql, facts
 from .registry import query
 
 
@@ -427,3 +429,39 @@ def quote_rollup(t):
     verified = I.verify_quotes(quotes, t("documents").select(F.col("doc_id").alias("source_id"), "text"), "record", "source_id")
     out = I.quote_rollup(verified, "record")
     return out.withColumn("samples", F.nullif(F.array_join("samples", ";"), F.lit("")))
+
+
+#: Folders of the store that an index is kept up to date from.
+PARTS = 16
+
+
+def _store(t, label: str):
+    """(rows as they were, rows as they are): orders of 1 modulo 10 are new, of 2 had fewer lines, of 3 are gone."""
+    rows = facts(t).select("l_orderkey", F.col("n_name").alias("tradition"), F.col(label).alias("label"), "l_partkey")
+    k = F.col("l_orderkey") % 10
+    return rows.where((k != 1) & ((k != 2) | (F.col("l_partkey") % 2 == 0))), rows.where(k != 3)
+
+
+def _updated(t, label: str, shares):
+    before, after = _store(t, label)
+    spark = before.sparkSession
+    with folder(spark, "store") as home:
+        N.write_store(before, home, "l_orderkey", PARTS)
+        index = shares(spark.read.parquet(home))
+        out, _ = N.update_index(index, home, after, "l_orderkey", ["tradition", "label", "l_partkey"], shares, PARTS, spark)
+        return kept(out)
+
+
+@query(f"WITH s AS (SELECT DISTINCT n_name AS g, l_orderkey AS r, p_brand AS i FROM ({FACTS}) WHERE l_orderkey % 10 <> 3), {counts_sql('o', 's')} SELECT g AS tradition, a, b, n_ab, n_a, n_b, n FROM o_e")
+def pair_index_update(t):
+    """Pair counts after orders came, changed and went: from the shares of these alone."""
+    index = _updated(t, "p_brand", lambda rows: N.pair_shares(rows, "l_orderkey", "label", "tradition"))
+    return N.pair_counts_of(index).withColumnRenamed("group", "tradition")
+
+
+@query(f"SELECT n_name AS tradition, p_name AS label, count(*) AS occurrences, count(DISTINCT l_orderkey) AS texts FROM ({FACTS}) WHERE l_orderkey % 10 <> 3 GROUP BY ALL")
+def occurrence_index_update(t):
+    """Occurrences of labels after the same changes."""
+    index = _updated(t, "p_name", lambda rows: N.occurrence_shares(rows, "l_orderkey", "label", "tradition"))
+    sums = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("k"))), F.lit(0)).alias(name) for k, name in (("occurrence", "occurrences"), ("text", "texts"))]
+    return index.groupBy(F.col("group").alias("tradition"), F.col("a").alias("label")).agg(*sums)
