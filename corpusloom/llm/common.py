@@ -124,6 +124,16 @@ def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return few.orderBy("__h").limit(rows).drop("__h")
 
 
+def shielded(docs: DataFrame, used: list[str]) -> tuple[DataFrame, Callable[[DataFrame], list[Column]]]:
+    """docs with its columns but the used ones under names that no helper has, and a function that gives them (by place, so of any name) their own again.
+
+    What is done in between may add columns of any name that isn't used.
+    """
+    columns = docs.columns
+    names = [c if c in used else f"__kept_{i}" for i, c in enumerate(columns)]
+    return docs.toDF(*names), lambda df: [F.col(n).alias(c) for n, c in zip(names, columns)]
+
+
 def words(text: Column | str) -> Column:
     """The words of a text, null as none. Splits on white space, so costs one pass."""
     text = F.col(text) if isinstance(text, str) else text

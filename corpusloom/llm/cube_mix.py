@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_unique, materialise, n_words, table
+from .common import join_unique, materialise, n_words, shielded, table
 from .feistel_shard import numbered
 
 #: Documents that fly together.
@@ -220,14 +220,16 @@ def take_mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share:
 
     The rows are written once with a number of their own, by which their copies
     are joined back: a key that no two rows share, however often a row repeats.
-    Null and empty texts are taken as often as others. An empty table gives an empty one.
+    Null and empty texts are taken as often as others, long ones count whole, columns keep their names,
+    whatever these are. An empty table gives an empty one.
     """
-    columns = docs.columns
+    docs, back = shielded(docs, ["doc_id", "source", "text"])
     whole = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
     base = materialise(_units(whole, "__row").withColumnRenamed("__row", "seq"), "mix-units")
     counts = _counted(base, weights, share, most, seed).where("copies > 0").select(F.col("seq").alias("__seq"), F.col("copies").alias("__copies"))
     taken = whole.join(counts, F.col("__row") == F.col("__seq"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*columns)
+    taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return taken.select(*back(taken))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

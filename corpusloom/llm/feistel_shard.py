@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, shielded, table
 
 ROUNDS = 6
 #: Steps of a cycle walk. A walk visits no number twice and only those outside 0..N-1, fewer than
@@ -52,12 +52,15 @@ def _root(n: int) -> int:
 
 
 def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with `row_number`: a dense number from 0 in the order of keys.
+    """rows with `row_number`: a dense number from 0 in the order of keys, names of columns; other columns of any name but row_number are kept.
 
     Range partitions are numbered apart and moved by the counts of those before
     them: one row for each partition is gathered. Equal rows are spread too, by
     an order of no meaning: they can't be told apart.
     """
+    if "row_number" in rows.columns:
+        raise ValueError("rows have a column row_number already")
+    rows, back = shielded(rows, keys)
     # the range is cut also by place, so that a key of a third of all rows is more than one partition
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.withColumn("__at", F.monotonically_increasing_id())
@@ -70,7 +73,7 @@ def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*keys, "__at")) - 1
     out = ranged.withColumn("__local", local).join(F.broadcast(before), F.col("__part") == F.col("__p"))  # one row a partition
-    return out.withColumn("row_number", F.col("__before") + F.col("__local")).drop("__at", "__part", "__p", "__before", "__local")
+    return out.select(*back(out), (F.col("__before") + F.col("__local")).alias("row_number"))
 
 
 def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 42) -> DataFrame:
@@ -96,15 +99,24 @@ def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 42, f
     """Write the rows of docs under path/shard=k/, each shard in slot order: file by file, and in each file.
 
     files (spark.sql.shuffle.partitions, if not given; at least the shards) is the number of tasks, each of a range of shards and slots.
+    Columns of docs are written as they are, whatever their names; only those named shard or slot become shard_ and slot_ (with as many _ as it takes).
+    Null ids come first, null texts count as empty ones, repeated rows get places of their own; an empty table writes no shard.
     """
     files = max(shards, files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    names: list[str] = []
+    for c in docs.columns:
+        own = c
+        while own.lower() in ("shard", "slot") or own != c and own in docs.columns:
+            own += "_"
+        names.append(own)
+    docs, back = shielded(docs.toDF(*names), ["doc_id", "text"])
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*columns).withColumn("__crc", F.crc32(text.cast("binary"))).withColumn("__size", F.octet_length(text))
+    rows = docs.withColumn("__crc", F.crc32(text.cast("binary"))).withColumn("__size", F.octet_length(text))
     placed = materialise(numbered(rows, ["doc_id", "__crc", "__size"]), "numbered-rows")
     place = F.explode(F.array(permuted(F.col("row_number"), placed.count(), seed)))
     out = placed.withColumn("__place", place).withColumn("shard", (F.col("__place") % shards).cast("int"))
-    out = out.withColumn("slot", F.floor(F.col("__place") / shards).cast("long")).select(*columns, "shard", "slot")
+    out = out.withColumn("slot", F.floor(F.col("__place") / shards).cast("long"))
+    out = out.select(*back(out), "shard", "slot")
     out.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 

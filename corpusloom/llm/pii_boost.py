@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, mapped, table
+from .common import hashed_sample, mapped, shielded, table
 
 # Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "ipv6", "iban", "ssn", "secret")
@@ -97,8 +97,9 @@ def base_spans(text: str) -> list[Span]:
 _RUN = re.compile(r"(?<![0-9A-Za-z])[0-9]++(?:[ ._/()-]{1,3}[0-9]++)*+")
 _GROUP = re.compile(r"[0-9]+")
 _DOT = r"(?:\s?(?:\.|[(\[{]\s?(?:dot|DOT|\.)\s?[)\]}])\s?|\s(?:dot|DOT)\s)"
+_WRITTEN_DOT = r"(?:\s?[(\[{]\s?(?:dot|DOT|\.)\s?[)\]}]\s?|\s(?:dot|DOT)\s)"
 _GENERATORS = (
-    ("email", re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\s?[(\[{{]\s?(?:at|AT|@)\s?[)\]}}]\s?|\s(?:at|AT|@)\s)[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++")),
+    ("email", re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:{_WRITTEN_DOT}[A-Za-z0-9_%+-]++){{0,3}}+(?:\s?[(\[{{]\s?(?:at|AT|@)\s?[)\]}}]\s?|\s(?:at|AT|@)\s)[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++")),
     ("ip", re.compile(rf"(?<![0-9A-Za-z.])[0-9]{{1,3}}+(?:{_DOT}[0-9]{{1,3}}+){{3}}(?![0-9A-Za-z])")),
     ("ipv6", re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}+(?::{1,2}[0-9A-Fa-f]{1,4}+){2,7}+(?![0-9A-Za-z:])")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")),
@@ -392,6 +393,8 @@ class Planter:
         elif kind == "email":
             name, site, top = r.choice([f"{w()}.{w()}", w(), f"{w()}{d(2)}", f"{w()}_{w()}"]), r.choice([w(), f"{w()}{d(1)}"]), r.choice(["com", "org", "net", "de", "example.com", "co.uk"])
             a, b = r.choice([(" (at) ", "."), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" at ", " dot "), (" (at) ", " (dot) "), (" @ ", " . "), (" {at} ", ".")])
+            if "dot" in b and r.random() < 0.4:  # the name is written out as well
+                name = b.join(w() for _ in range(r.randint(2, 3)))
             text = name + a + site + b + top.replace(".", b)
         elif kind == "ip":
             text = r.choice([self.octets("[.]"), self.octets(" . "), self.octets(" dot "), ".".join(self.octets(".").split(".")[:3]) + "[.]" + str(r.randint(0, 255)), self.octets("(dot)")])
@@ -611,6 +614,7 @@ def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     redacted alike; columns of any name are kept. An empty table gives an empty result.
     """
     model = model or trained(docs)
+    docs, back = shielded(docs, ["text", "n_chars"])
     columns = docs.columns
 
     def make():
@@ -623,7 +627,7 @@ def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     out = mapped(docs, columns, ["text"], make, {"text": ("string", pa.string()), "__length": ("long", pa.int64())})
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.coalesce("__length", "n_chars").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    return out.select(*back(out))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_unique, mapped, materialise, table
+from .common import join_unique, mapped, materialise, shielded, table
 from .components import connected_components
 
 SEED = 42
@@ -230,7 +230,7 @@ def links(distinct: DataFrame, threshold: int = 4, bands: int | None = None) ->
                 yield pd.DataFrame({"anchor": key, "fp": part[i], "home": home})
 
     placed = materialise(distinct.select("fp").mapInPandas(run, "anchor long, fp long, home boolean"), "anchors")
-    # anchors that may be hot show in a share of the fingerprints, and only these are counted: were one overlooked, it would cost time alone
+    # anchors that may be hot show in a share of the fingerprints, and only these are counted: one that is overlooked is held whole by its task
     share = max(1, TILE // 512)
     seen = placed.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(share)) == 0).groupBy(F.col("anchor").alias("__seen")).count().where(F.col("count") >= TILE // (2 * share))
     few = placed.join(F.broadcast(materialise(seen.select("__seen"), "seen-anchors")), F.col("anchor") == F.col("__seen"), "left_semi")
@@ -273,8 +273,10 @@ def keep_one(docs: DataFrame, threshold: int = 4) -> DataFrame:
 
     Rows that repeat that doc_id are reduced to one too. Rows of null doc_id go
     where their class has another; a class with null ids only keeps one row.
-    Columns are those of docs, whatever their names.
+    Null and empty texts, and those of white space, are one class; long texts count
+    whole. Columns are those of docs, whatever their names; an empty table stays empty.
     """
+    docs, back = shielded(docs, ["doc_id", "text"])
     columns = docs.columns
     classes = materialise(simhash_classes(docs, threshold), "simhash-kept")
     kept = classes.where("doc_id = component_id").groupBy("doc_id").count().select(F.col("doc_id").alias("__keep_id"), F.col("count").alias("__n"))
@@ -287,7 +289,8 @@ def keep_one(docs: DataFrame, threshold: int = 4) -> DataFrame:
     as_fp = F.pandas_udf(lambda texts: pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)), "long")
     unnamed = docs.where("doc_id is null").withColumn("__fp", as_fp("text"))
     unnamed = unnamed.join(nameless, F.col("__fp") == F.col("__keep_fp"), "left_semi").dropDuplicates(["__fp"])
-    return once.select(*columns).unionByName(repeated.select(*columns)).unionByName(unnamed.select(*columns))
+    out = once.select(*columns).unionByName(repeated.select(*columns)).unionByName(unnamed.select(*columns))
+    return out.select(*back(out))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,8 +139,9 @@ def encode_counts(texts: DataFrame, path: str) -> DataFrame:
 
 #: Parts of the cache by the digest's first byte; a run reads those that it has digests of.
 BUCKETS = 256
-#: Bits of the bitmaps, 2 MB each: they decide which texts move, not what is counted.
-BITS = 2**24
+#: Bits of the bitmaps for each digest, at least and at most (128 MB); with more digests than that has bits for, texts are joined to them by a
+#: shuffle. They decide which texts move, not what is counted. Digests that a task remembers to have sent.
+BITS_EACH, LEAST_BITS, MOST_BITS, SEEN = 32, 2**16, 2**30, 1_000_000
 _ROW = "digest binary, n_tokens long, bucket int"
 
 
@@ -158,11 +159,11 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame | Non
     return spark.read.schema(_ROW).parquet(home)
 
 
-def _bitmap(digests: DataFrame) -> np.ndarray:
-    """BITS bits, those set that some digest falls on. Made in parts of 4 kB by Spark; all of it is BITS / 8 bytes at most."""
-    place = (F.conv(F.hex(F.substring("digest", 2, 4)), 16, 10).cast("long") % BITS + 1).alias("place")
+def _bitmap(digests: DataFrame, size: int) -> np.ndarray:
+    """`size` bits, those set that some digest falls on. Made in parts of 4 kB by Spark; all of it is size / 8 bytes at most."""
+    place = (F.conv(F.hex(F.substring("digest", 2, 4)), 16, 10).cast("long") % size + 1).alias("place")
     parts = digests.select(place).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    out = np.zeros(-(-BITS // 32768) * 4096, np.uint8)
+    out = np.zeros(-(-size // 32768) * 4096, np.uint8)
     for r in parts.collect():  # part p, from 1, holds 32768 places
         start = (r["part"] - 1) * 4096
         out[start : start + 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -175,17 +176,27 @@ def _on(bits: np.ndarray, n: int, digests: list[bytes]) -> np.ndarray:
 
 
 def _encoded(rows: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
-    """(digest, n_tokens) of the wanted digests (digest, rows): those of one row where they are, others once after a move."""
-    sent = rows.sparkSession.sparkContext.broadcast((_bitmap(wanted), _bitmap(wanted.where("rows > 1")), BITS))
+    """(digest, n_tokens) of the wanted digests (digest, rows): those of one row where they are, others once after a move.
+
+    Beyond MOST_BITS digests a bitmap would let all pass, and texts move to their digests.
+    """
+    n, several = wanted.agg(F.count("*"), F.count_if(F.col("rows") > 1)).first()
+    sizes = [min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * k).bit_length())) for k in (n, several)]
+    if n > MOST_BITS:
+        own = rows.join(wanted.select(F.col("digest").alias("__digest")), F.col("digest") == F.col("__digest"), "left_semi").dropDuplicates(["digest"])
+        return encode_counts(own, path)
+    sent = rows.sparkSession.sparkContext.broadcast((_bitmap(wanted, sizes[0]), _bitmap(wanted.where("rows > 1"), sizes[1]), *sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        missing, several, n = sent.value
+        missing, several, size, size_several = sent.value
         count, seen = counter(path), set()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 digests = batch.column("digest").to_pylist()
-                due, moved = _on(missing, n, digests), _on(several, n, digests)
+                due, moved = _on(missing, size, digests), _on(several, size_several, digests)
+                if len(seen) > SEEN:  # what is sent once more is dropped where it meets
+                    seen.clear()
                 keep = []
                 for i in np.nonzero(due)[0].tolist():
                     if digests[i] not in seen:

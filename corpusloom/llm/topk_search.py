@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import hashed_sample, materialise, table
 
-#: Vectors in a block; least vectors in a group; queries that a task scores against a group.
+#: Vectors in a block; vectors in a group, which is what a task holds; queries that a task scores against a group.
 BLOCK, GROUP, QUERIES = 128, 16_384, 4_096
-#: Groups at most (their size grows beyond it), and the bytes that their summaries, which all tasks get, may take.
+#: Summaries that all tasks get, at most, and the bytes that they may take. With more groups, neighbours in the order share one.
 GROUPS, SUMMARY_BYTES = 4_096, 32 * 1024 * 1024
 #: Rows and bytes of the sample that the coarse partition is fitted on, its parts, and signs that order each part.
 SAMPLE, SAMPLE_BYTES, PARTS, SIGNS = 16_384, 16 * 1024 * 1024, 256, 16
@@ -190,6 +190,16 @@ def _matrix(data: pd.Series, dim: int) -> np.ndarray:
     return np.stack(data.to_list()).astype(np.int64).reshape(len(data), dim) if len(data) else np.zeros((0, dim), np.int64)
 
 
+def _united(heads: pd.DataFrame) -> pd.DataFrame:
+    """The summary of several groups: extremes of their terms, and a ball around their balls."""
+    dim = int(heads["dim"].iat[0])
+    high, low, centre = (np.stack([np.frombuffer(x).reshape(3, dim)[i] for x in heads["vectors"]]) for i in range(3))
+    radius = np.array([np.frombuffer(x)[0] for x in heads["ids"]])
+    middle = centre.mean(0)
+    widest = (np.sqrt(((centre - middle) ** 2).sum(1)) + radius).max() * (1 + 1e-9)
+    return pd.DataFrame({"g": [heads["g"].iat[0]], "dim": [dim], "ids": [np.array([widest]).tobytes()], "vectors": [np.stack((high.max(0), low.min(0), middle)).tobytes()]})
+
+
 class Index:
     """The blocks of all vectors (g, dim, b, n, ids, vectors; the summary of a group has b -1), and the summaries of groups."""
 
@@ -199,7 +209,9 @@ class Index:
         shape = {r["dim"]: r["n"] for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).collect()}
         n, widest = sum(shape.values()), max(shape, default=1)
         groups = max(1, min(GROUPS, SUMMARY_BYTES // (24 * max(widest, 1))))
-        size = max(group, block * -(-n // (groups * block)))
+        size = group
+        #: groups that share a summary: those of one range
+        self.shared = max(1, -(-n // (groups * group)))
         rows = min(SAMPLE, max(256, SAMPLE_BYTES // (8 * max(widest, 1))))
         some = hashed_sample(vectors, ["id", "q"], rows).select("dim", "q").toPandas()
         fits = {dim: Partition(_matrix(some["q"][some["dim"] == dim], dim)) for dim in shape}
@@ -243,10 +255,16 @@ class Index:
                 yield out(pd.concat(held))
 
         placed = vectors.mapInPandas(place, "id long, q array<bigint>, dim int, key long")
-        # a range of the order a task, of about one group; the id ends ties, so that equal vectors are split too
-        ranged = placed.repartitionByRange(max(1, -(-n // size)), "dim", "key", "id").sortWithinPartitions("dim", "key", "id")
+        # a range of the order a task, of as many groups as share a summary; the id ends ties, so that equal vectors are split too
+        ranged = placed.repartitionByRange(max(1, -(-n // (size * self.shared))), "dim", "key", "id").sortWithinPartitions("dim", "key", "id")
         self.blocks = materialise(ranged.mapInPandas(cut, "g long, dim int, b int, n int, ids binary, vectors binary"), "topk-index")
-        heads = self.blocks.where("b = -1").orderBy("g").toPandas()
+        heads = self.blocks.where("b = -1").select("g", "dim", "ids", "vectors")
+        self.members = None
+        if self.shared > 1:
+            range_of = F.shiftright("g", 32)
+            self.members = materialise(heads.select(range_of.alias("range"), F.col("dim").alias("of_dim"), F.col("g").alias("member")), "topk-members")
+            heads = heads.withColumn("g", range_of).groupBy("g", "dim").applyInPandas(_united, "g long, dim int, ids binary, vectors binary")
+        heads = heads.toPandas().sort_values(["dim", "g"])
         self.summaries = {}
         for dim, own in heads.groupby("dim"):
             terms = np.stack([np.frombuffer(x).reshape(3, dim) for x in own["vectors"]])
@@ -282,10 +300,14 @@ def search(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, list[Da
                         row, col = np.nonzero(due)
                         yield some.iloc[row].assign(g=g[order[row, col]])[["g", "qn", "id", "q", "dim", "least"]]
 
-        due = materialise(known.select("qn", "id", "q", "dim", "least").mapInPandas(route, pair), "topk-pairs")
-        # at most as many rows as groups: into how many chunks the queries of a group are cut
+        due = known.select("qn", "id", "q", "dim", "least").mapInPandas(route, pair)
+        if index.members is not None:  # a query that a shared summary lets in goes to each group of it
+            due = due.join(index.members, (F.col("g") == F.col("range")) & (F.col("dim") == F.col("of_dim"))).withColumn("g", F.col("member")).drop("range", "of_dim", "member")
+        due = materialise(due, "topk-pairs")
+        # as many rows as groups: into how many chunks the queries of a group are cut
         chunks = due.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks"))
-        chunks = F.broadcast(materialise(chunks.withColumnRenamed("g", "__g"), "topk-chunks"))
+        chunks = materialise(chunks.withColumnRenamed("g", "__g"), "topk-chunks")
+        chunks = F.broadcast(chunks) if index.members is None else chunks
         left = due.join(chunks, due["g"] == F.col("__g")).withColumn("c", F.pmod(F.xxhash64("qn"), F.col("chunks")).cast("int")).drop("__g", "chunks")
         blocks = index.blocks.where("b >= 0")
         right = blocks.join(chunks, blocks["g"] == F.col("__g")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("__g", "chunks")

@@ -8,7 +8,10 @@ import pytest
 
 WORDS = "the and of thon ere tion shan edat onre ingth hea ntor lyst wher bleed inou".split()
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = ("size", "fp", "key", "seq", "count", "stratum", "digest", "shard", "slot", "rank", "root", "component_id", "n_words", "m", "host", "roles", "anchor", "p")
+CLASHES = (
+    "size", "fp", "key", "seq", "count", "stratum", "digest", "shard", "slot", "rank", "root", "component_id", "n_words", "m", "host", "roles", "anchor", "p", "row_number", "row", "found", "owner", "kind", "hits",
+    "__at", "__part", "__p", "__before", "__local", "__place", "__crc", "__size", "__row", "__seq", "__copies", "__copy", "__length", "__keep_id", "__n", "__fp", "__keep_fp", "__kept_0", "__kept_5", "__h", "__hot", "a.b",
+)
 
 
 def prose(rng, n):
@@ -41,7 +44,7 @@ def write(spark, home, table, data, schema, clash=True):
             if c not in df.columns:
                 from pyspark.sql import functions as F
 
-                df = df.withColumn(c, F.lit("clash"))
+                df = df.withColumn(c, F.lit(f"clash of {c}"))
     df.repartition(3).write.mode("overwrite").parquet(f"{home}/{table}.parquet")
 
 

@@ -122,14 +122,25 @@ def test_second_batch_meets_the_first(spark, small, monkeypatch):
     assert got == sorted(map(str, token_cache.count_tokens(docs, path).collect()))
 
 
-@pytest.mark.parametrize("bits", [8, 64, 2**24])
-def test_bitmaps_decide_only_what_moves(spark, monkeypatch, bits):
-    """With few bits nearly all texts are moved, with many only those of several rows; counts are the same."""
-    monkeypatch.setattr(token_cache, "BITS", max(bits, 8))
+@pytest.mark.parametrize("bits, most", [(8, 8), (8, 64), (8, 2**30), (2**16, 2**30)])
+def test_bitmaps_decide_only_what_moves(spark, monkeypatch, bits, most):
+    """With few bits nearly all texts are moved, by the size for their number those of several rows alone; counts are the same."""
+    monkeypatch.setattr(token_cache, "LEAST_BITS", bits)
+    monkeypatch.setattr(token_cache, "MOST_BITS", most)
+    monkeypatch.setattr(token_cache, "SEEN", 3)
+    moved, keep = [], token_cache.encode_counts
+
+    def count_moved(texts, path):
+        moved.append(texts.count())
+        return keep(texts, path)
+
+    monkeypatch.setattr(token_cache, "encode_counts", count_moved)
     docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(60)] + [(100, None)], "doc_id long, text string").repartition(4)
     count = token_cache.counter(public_tokenizers.path("byte_bpe_50k.json"))
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_cache.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
     assert got == {r.doc_id: (len(r.text or ""), count(r.text or "")) for r in docs.collect()}
+    # 41 digests, 20 of them of several rows
+    assert moved == [41] if most == 8 else moved[0] <= 24 if most == 2**30 else moved[0] <= 41
 
 
 def test_counter_special_strings():

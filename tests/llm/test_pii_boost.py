@@ -111,3 +111,12 @@ def test_redact(spark, model):
 
 def test_no_contexts():
     assert P.fit([], n=600).report["ipv6"][0] > 0.5
+
+
+def test_written_out_names(model):
+    for text, want in (("mail jane dot doe at example dot com now", "jane dot doe at example dot com"), ("contact: j [dot] van [dot] dyk [at] host [dot] org.", "j [dot] van [dot] dyk [at] host [dot] org")):
+        a = text.index(want)
+        assert ("email", a, a + len(want)) in P.candidates(text)
+        assert added(text, model) == [("email", want)], text
+    assert P.candidates("He sat. Meet me at noon.") == []
+    assert len(P.candidates("a dot " * 5_000 + "b at c dot de")) < 5

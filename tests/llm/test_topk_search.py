@@ -111,3 +111,17 @@ def test_rows_moved_grow_with_the_table(spark, monkeypatch):
         T.top_k(df, df.where(F.col("id") < 20), 5, block=32, group=256).count()
         totals.append(sum(moved))
     assert totals[2] <= 4 * totals[0] * np.log2(4000) / np.log2(1000)
+
+
+def test_groups_stay_small_however_many(spark, monkeypatch):
+    """With two summaries at most, groups of the size given share them; no task holds more than a group."""
+    monkeypatch.setattr(T, "GROUPS", 2)
+    rng = np.random.default_rng(8)
+    data = [(i, x.tolist()) for i, x in enumerate(rng.integers(-50, 50, (900, 5)))] + [(1000 + i, x.tolist()) for i, x in enumerate(rng.integers(-9, 9, (60, 3)))]
+    df = spark.createDataFrame(data, "id long, q array<bigint>")
+    index = T.Index(df, block=8, group=32)
+    assert index.shared == 15 and sum(len(s[0]) for s in index.summaries.values()) <= 6
+    sizes = index.blocks.where("b = -1").agg(F.max("n"), F.count("*")).first()
+    assert sizes[0] <= 32 and sizes[1] >= 30
+    asked = data[::31]
+    assert answer(spark, data, asked, 4, block=8, group=32) == brute(data, asked, 4)
