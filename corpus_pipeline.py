@@ -15,27 +15,27 @@ from corpusloom.llm.common import delete, scratch, scratch_path, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that a quality rule rejects: null and empty texts go, long ones count whole, repeated rows stay as often; columns as they were."""
+    """docs without those that a quality rule rejects: null and empty texts go, long ones count whole, repeated rows stay as often; columns as they were, whatever their names; an empty table stays empty."""
     return quality_rules.keep_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near copies, that of the smallest doc_id; of rows that repeat it one, of classes of null ids one; columns as they were."""
+    """One row of each class of near copies, that of the smallest doc_id; of rows that repeat it one, of classes of null ids one. Null, empty and blank texts are one class, long ones count whole; columns as they were, whatever their names; an empty table stays empty."""
     return simhash_dedup.keep_one(docs, threshold=4)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with personal data in text replaced and n_chars set anew: null and empty texts stay, long ones are read whole, repeated rows are redacted alike."""
+    """docs with personal data in text replaced and n_chars set anew: null and empty texts stay, long ones are read whole, repeated rows are redacted alike; columns keep their names, whatever these are; an empty table stays empty."""
     return pii_boost.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs as often as the mix takes each row, at most twice: repeated rows are taken each, null and empty texts count no words; columns as they were."""
+    """docs as often as the mix takes each row, at most twice: repeated rows are taken each, and of ties by a hash; null and empty texts count no words, long ones count whole; columns as they were, whatever their names; an empty table stays empty."""
     return cube_mix.take_mix(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and of the bytes decoded from them, for each row: null texts as empty ones, long ones whole, repeated rows each."""
+    """doc_id, n_tokens and the digests of ids and of the bytes decoded from them, for each row: null texts as empty ones, long ones whole, repeated rows each; other columns go; an empty table gives an empty one."""
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
