@@ -104,11 +104,12 @@ def vowel_final(c: Column, function_words: Sequence[str] = STOPWORDS, ratio: flo
 
 def garble(line: Column, min_alpha: float = 0.5, min_tokens: int = 4, mean_len: float = 2.2) -> Column:
     """Scan bleed: no English stopword, and few ASCII letters or very short tokens."""
-    toks = F.filter(F.split(F.trim(line), r"\s+"), lambda t: t != "")
     solid = F.length(F.regexp_replace(line, r"\s", ""))
     letters = F.length(F.regexp_replace(line, "[^A-Za-z]", ""))
-    mean = F.aggregate(toks, F.lit(0), lambda s, t: s + F.length(t)) / F.greatest(F.size(toks), F.lit(1))
-    return (solid > 0) & (stopword_count(tokens(line)) == 0) & ((letters < min_alpha * solid) | ((F.size(toks) >= min_tokens) & (mean <= mean_len)))
+    n = F.regexp_count(line, F.lit(r"\S+"))
+    # tokens are looked at one by one only in lines whose letters or lengths are odd, which are few
+    odd = (letters < min_alpha * solid) | ((n >= min_tokens) & (solid <= mean_len * n))
+    return (solid > 0) & odd & (stopword_count(tokens(line)) == 0)
 
 
 def glyph_soup(line: Column, min_alpha: float = 0.4, keep_wordish: float = 0.5) -> Column:

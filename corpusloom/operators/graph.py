@@ -461,10 +461,10 @@ def label_sets(df: DataFrame, record: str, label: str, pile: Column, min_len: in
     return each.where(F.size("labels") >= least)
 
 
-def number_prominence(texts: DataFrame, doc: str = "doc_id", text: str = "text", most: int = 1000) -> DataFrame:
-    """(number, mentions, neighbours, prominence): mentions of each whole number against the mean of the numbers one below and above."""
+def number_prominence(texts: DataFrame, doc: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
+    """(number, mentions, neighbours, prominence): mentions of each whole number of up to four digits (up to `most`, if given) against the mean of the numbers one below and above."""
     found = texts.select(doc, F.explode(F.regexp_extract_all(text, F.lit(r"(?<![0-9.,A-Za-z])([0-9]{1,4})(?![0-9.,A-Za-z])"), 1)).alias("m"))
-    n = found.select(F.col("m").cast("int").alias("number")).where(F.col("number") <= most).groupBy("number").agg(F.count(F.lit(1)).alias("mentions"))
+    n = found.select(F.col("m").cast("int").alias("number")).where(F.lit(True) if most is None else F.col("number") <= most).groupBy("number").agg(F.count(F.lit(1)).alias("mentions"))
     near = n.select(F.explode(F.array(F.col("number") - 1, F.col("number") + 1)).alias("__k"), "mentions").groupBy("__k").agg((F.sum("mentions") / 2).alias("neighbours"))
     both = n.join(near, F.col("number") == F.col("__k"), "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0.0)))
     return both.select("number", "mentions", "neighbours", F.when(F.col("neighbours") > 0, F.round(F.col("mentions") / F.col("neighbours"), 4)).alias("prominence"))

@@ -138,11 +138,50 @@ def polled(history: DataFrame, job: str, time: str, status: str = "status", term
     return counted.groupBy(job, last.alias("__s")).agg(F.count(F.lit(1)).alias("polls")).select(job, F.col("__s").getField(status).alias("status"), F.col("__s").getField(time).alias("at"), "polls")
 
 
-def _request(key: Column, model: str, prompt: Column) -> list[Column]:
-    body = F.to_json(F.struct(F.lit(model).alias("model"), prompt.alias("input")))
+def _request(key: Column, model: str, prompt: Column, extra: dict | None = None) -> list[Column]:
+    body = F.to_json(F.struct(F.lit(model).alias("model"), prompt.alias("input"), *[F.lit(v).alias(k) for k, v in (extra or {}).items()]))
     return [key.alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/responses").alias("url"), body.alias("body")]
 
 
+def opening_requests(
+    texts: DataFrame, done: DataFrame, path: str, text: str, metadata: Sequence[str], model: str, template: str, label: str, lines: int = 60, chars: int = 4000, extra: dict | None = None
+) -> DataFrame:
+    """A request for each text whose path isn't among done (path): the template takes its metadata and its opening, the first `lines` lines cut at `chars`.
+
+    extra are further members of the body. custom_id is the label and a slug of the path, in `path` the path itself; a null text has an empty opening.
+    """
+    have = done.select(F.col(path).alias("__p")).distinct()
+    rest = texts.join(have, F.col(path) == F.col("__p"), "left_anti")
+    opening = F.substring(F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, lines), "\n"), 1, chars)
+    prompt = F.format_string(template, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in metadata], opening)
+    custom = F.concat_ws(":", F.lit(label), slug(path))
+    return rest.select(*_request(custom, model, prompt, extra), F.col(path).alias("path"))
+
+
+def review_requests(drafts: DataFrame, custom_id: str, status: str, draft: str, rubric: str, model: str, template: str, chars: int = 14_000, extra: dict | None = None) -> DataFrame:
+    """A request for each completed, non-blank draft: the template takes the rubric and the draft's first `chars` characters. source_custom_id leads back to the draft."""
+    kept = drafts.where((F.col(status) == "completed") & (F.trim(draft) != ""))
+    prompt = F.format_string(template, F.lit(rubric), F.substring(draft, 1, chars))
+    return kept.select(*_request(F.concat(F.lit("review:"), F.col(custom_id).cast("string")), model, prompt, extra), F.col(custom_id).alias("source_custom_id"))
+
+
+def image_prompts(seen: DataFrame, related: DataFrame, subject: str, others: str, places: str, least: int = 2, most: int = 200) -> DataFrame:
+    """(key, out, prompt): a prompt for each key seen in `least` places or more, of a sentence on the key, one on what is related, if anything, and one on the places.
+
+    seen is (key, place), related (key, other), both distinct; of either the first `most` by name are listed. out is the key's file.
+    """
+
+    def listed(df: DataFrame, column: str, name: str) -> DataFrame:
+        first = df.withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy(column))).where(F.col("__r") <= most)
+        return first.groupBy(F.col("key").alias(f"__{name}")).agg(F.array_join(F.array_sort(F.collect_list(column)), ", ").alias(name))
+
+    often = seen.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select("key")
+    both = often.join(listed(seen, "place", "places"), F.col("key") == F.col("__places")).join(listed(related, "other", "others"), F.col("key") == F.col("__others"), "left")
+    more = F.coalesce(F.format_string(others, "others"), F.lit(""))
+    more = F.when(F.col("others").isNotNull(), more).otherwise("")
+    return both.select("key", F.concat(slug("key", "-"), F.lit(".png")).alias("out"), F.concat(F.format_string(subject, "key"), more, F.format_string(places, "places")).alias("prompt"))
+
+
 def pair_requests(edges: DataFrame, a: str, b: str, profiles: DataFrame, key: str, profile: str, model: str, template: str) -> DataFrame:
     """Requests that compare the two ends of each edge: the template takes both keys and both profiles, in the order a, its profile, b, its profile."""
     p = profiles.groupBy(key).agg(F.max(profile).alias(profile))

@@ -21,6 +21,26 @@ def audit(checks: dict[str, tuple[DataFrame, DataFrame]], key: str) -> DataFrame
     return reduce(DataFrame.unionByName, out)
 
 
+def mapping_audit(mapping: DataFrame, left: DataFrame, right: DataFrame, listed: DataFrame) -> DataFrame:
+    """(check, key): the seven faults of a mapping between two sets of families, with those listed as without a counterpart.
+
+    mapping is (left, right), right null where there is none; left, right and listed are (key). duplicate: a left family mapped more than
+    once; missing: one that isn't mapped; unknown_left, unknown_right: a mapped one that doesn't exist; unlisted: a right family neither
+    referred to nor listed; both: one that is; unknown_listed: a listed one that doesn't exist.
+    """
+    keys = lambda df, c: df.select(F.col(c).cast("string").alias("key")).where("key IS NOT NULL").distinct()
+    mapped, referred = keys(mapping, "left"), keys(mapping, "right")
+    own, other, named = (keys(df, "key") for df in (left, right, listed))
+    twice = mapping.groupBy(F.col("left").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND key IS NOT NULL").select("key")
+    lacks = lambda a, b: a.join(b.withColumnRenamed("key", "__k"), F.col("key") == F.col("__k"), "left_anti")
+    checks = {
+        "duplicate": twice, "missing": lacks(own, mapped), "unknown_left": lacks(mapped, own), "unknown_right": lacks(referred, other),
+        "unlisted": lacks(lacks(other, referred), named), "both": referred.join(named.withColumnRenamed("key", "__k"), F.col("key") == F.col("__k"), "left_semi"),
+        "unknown_listed": lacks(named, other),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("check"), "key") for name, df in checks.items()])
+
+
 def atlas(collections: dict[str, DataFrame]) -> DataFrame:
     """All collections in one table, each row tagged `collection`; columns that one lacks are null there."""
     tagged = [df.withColumn("collection", F.lit(name)) for name, df in collections.items()]

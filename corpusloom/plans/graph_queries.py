@@ -164,7 +164,7 @@ def gapped_sequences(t):
 
 
 @query("""WITH w AS (SELECT unnest(string_split_regex(text, '[^0-9.,A-Za-z]+')) AS w FROM documents),
-n AS (SELECT w::INTEGER AS number, count(*) AS mentions FROM w WHERE regexp_full_match(w, '[0-9]{1,4}') AND w::INTEGER <= 1000 GROUP BY 1),
+n AS (SELECT w::INTEGER AS number, count(*) AS mentions FROM w WHERE regexp_full_match(w, '[0-9]{1,4}') GROUP BY 1),
 x AS (SELECT a.number, a.mentions, coalesce(sum(b.mentions) / 2, 0) AS neighbours FROM n a LEFT JOIN n b ON abs(a.number - b.number) = 1 GROUP BY ALL)
 SELECT number, mentions, neighbours, CASE WHEN neighbours > 0 THEN round(mentions / neighbours, 4) END AS prominence FROM x""")
 def number_prominence(t):

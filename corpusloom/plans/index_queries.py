@@ -229,6 +229,21 @@ def set_audit(t):
     return X.audit({"unsold": (p.where("p_size = 1"), p.where("p_type = 'ECONOMY' AND p_size < 5")), "large": (p, p.where("p_retailprice > 1000 AND p_size = 49"))}, "family")
 
 
+@query("""WITH m AS (SELECT p_partkey AS l, CASE WHEN p_size % 9 > 0 THEN p_name END AS r FROM part WHERE p_size % 7 > 0 UNION ALL SELECT p_partkey, p_name FROM part WHERE p_size % 11 = 0 UNION ALL SELECT -p_partkey, 'no ' || p_name FROM part WHERE p_size = 1),
+r AS (SELECT DISTINCT p_name AS k FROM part WHERE p_size < 45), s AS (SELECT DISTINCT p_name AS k FROM part WHERE p_size % 9 = 0), f AS (SELECT DISTINCT r AS k FROM m WHERE r IS NOT NULL)
+SELECT 'duplicate' AS "check", l::VARCHAR AS key FROM m GROUP BY l HAVING count(*) > 1 UNION ALL SELECT 'missing', p_partkey::VARCHAR FROM part WHERE p_partkey NOT IN (SELECT l FROM m)
+UNION ALL SELECT DISTINCT 'unknown_left', l::VARCHAR FROM m WHERE l NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'unknown_right', k FROM f WHERE k NOT IN (SELECT k FROM r)
+UNION ALL SELECT 'unlisted', k FROM r WHERE k NOT IN (SELECT k FROM f) AND k NOT IN (SELECT k FROM s) UNION ALL SELECT 'both', k FROM f WHERE k IN (SELECT k FROM s) UNION ALL SELECT 'unknown_listed', k FROM s WHERE k NOT IN (SELECT k FROM r)""")
+def mapping_audit(t):
+    """The seven checks of a mapping of parts to names."""
+    p, size = t("part"), F.col("p_size")
+    own = lambda left, right, where: p.where(where).select(left.alias("left"), right.alias("right"))
+    key, name = F.col("p_partkey"), F.col("p_name")
+    mapping = own(key, F.when(size % 9 > 0, name), size % 7 > 0).unionByName(own(key, name, size % 11 == 0)).unionByName(own(-key, F.concat(F.lit("no "), name), size == 1))
+    names = lambda where: p.where(where).select(name.alias("key"))
+    return X.mapping_audit(mapping, p.select(key.alias("key")), names(size < 45), names(size % 9 == 0))
+
+
 @query("SELECT p_name AS item, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS families FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def multi_assignment(t):
     return Q.multi_assigned(t("part"), "p_name", "p_brand").select(F.col("p_name").alias("item"), F.array_join("families", ",").alias("families"))

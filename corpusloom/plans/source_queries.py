@@ -23,6 +23,9 @@ from ..sources import sinks as K
 from ..streaming import trickle as S
 from .graph_queries import FACTS, counts_sql, facts
 from .registry import query
+from .text_queries import _FOUND as FOUND
+from .text_queries import _NORM as NORM
+from .text_queries import _PARTS as PARTS_SQL
 
 
 @contextlib.contextmanager
@@ -74,10 +77,10 @@ def _markdown(t):
     k = F.col("s_suppkey")
     head = F.format_string("---\ntitle: '%s: a'\nid: %s\n---\n", "s_name", "s_suppkey")
     body = F.concat(F.when(k % 5 != 0, head).otherwise(""), F.lit("Text of "), "s_name", F.lit("\n---\nmore"))
-    return t("supplier").where("s_suppkey <= 60").select(k.cast("long").alias("key"), body.alias("content"))
+    return t("supplier").select(k.cast("long").alias("key"), body.alias("content"))
 
 
-@query("SELECT s_suppkey::BIGINT AS key, CASE WHEN s_suppkey % 5 <> 0 THEN s_name || ': a' END AS title, 'Text of ' || s_name || chr(10) || '---' || chr(10) || 'more' || chr(10) AS body FROM supplier WHERE s_suppkey <= 60")
+@query("SELECT s_suppkey::BIGINT AS key, CASE WHEN s_suppkey % 5 <> 0 THEN s_name || ': a' END AS title, 'Text of ' || s_name || chr(10) || '---' || chr(10) || 'more' || chr(10) AS body FROM supplier")
 def markdown_scan(t):
     """Markdown files with front matter and without."""
     df = _markdown(t)
@@ -87,14 +90,14 @@ def markdown_scan(t):
         return kept(out.select(key_of().alias("key"), F.try_element_at("metadata", F.lit("title")).alias("title"), "body"))
 
 
-@query("SELECT k AS key, CASE WHEN k <= 60 AND k % 5 <> 0 THEN k::VARCHAR END AS id FROM (SELECT s_suppkey::BIGINT AS k FROM supplier WHERE s_suppkey <= 80)")
+@query("SELECT k AS key, CASE WHEN k > 0 AND k % 5 <> 0 THEN k::VARCHAR END AS id FROM (SELECT s_suppkey::BIGINT AS k FROM supplier UNION ALL SELECT -s_suppkey FROM supplier)")
 def front_matter_only(t):
     """Metadata of listed files; a missing file has none."""
     df = _markdown(t)
     with folder(df.sparkSession, "front") as home:
         K.write_files(df, home, "key", "content")
         scanned = R.read_markdown(df.sparkSession, home).withColumn("path", key_of().cast("string"))
-        asked = t("supplier").where("s_suppkey <= 80").select(F.col("s_suppkey").cast("string").alias("path"))
+        asked = t("supplier").select(F.explode(F.array(F.col("s_suppkey").cast("string"), (-F.col("s_suppkey")).cast("string"))).alias("path"))
         out = R.front_matter_of(asked, scanned)
         return kept(out.select(F.col("path").cast("long").alias("key"), F.try_element_at("metadata", F.lit("id")).alias("id")))
 
@@ -254,10 +257,10 @@ def request_map(t):
     return J.last_by(t("orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
 
 
-@query("""SELECT p_partkey, p_retailprice FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30) ORDER BY p_retailprice DESC, p_partkey LIMIT 60""")
+@query("""SELECT p_partkey, p_retailprice FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) ORDER BY p_retailprice DESC, p_partkey LIMIT 60""")
 def unbinned_top(t):
     """The 60 dearest parts that no large order has."""
-    left = J.never_seen(t("part").select("p_partkey", "p_retailprice"), "p_partkey", (t("lineitem").where("l_quantity > 30"), "l_partkey"))
+    left = J.never_seen(t("part").select("p_partkey", "p_retailprice"), "p_partkey", (t("lineitem").where("l_quantity > 49"), "l_partkey"))
     return W.top_n(left, [F.desc("p_retailprice"), "p_partkey"], 60)
 
 
@@ -407,6 +410,42 @@ def binning_requests(t):
     return P.group_requests(t("part"), "p_brand", "p_name", ["p_partkey"], "m", "Bin the %2$s of %1$s:\n%3$s", "bins", 8, 5)
 
 
+@query(f"""WITH b AS (SELECT doc_id, source, lang, CASE WHEN text = '' THEN '' ELSE text END AS t FROM documents WHERE doc_id % 4 <> 1),
+o AS (SELECT *, left(array_to_string(string_split(t, chr(10))[1:3], chr(10)), 200) AS o FROM b)
+SELECT 'dating:texts_' || source || '_' || doc_id || '_md' AS custom_id, 'POST' AS method, '/v1/responses' AS url, sha256('Date this text of ' || lang || ' from ' || source || ':' || chr(10) || coalesce(o, '')) AS input_sha256, 300 AS most FROM o""")
+def dating_requests(t):
+    """Requests to date texts that have no date yet, with their metadata and opening lines."""
+    path = F.format_string("texts/%s/%s.md", "source", F.col("doc_id").cast("string"))
+    texts = t("documents").withColumn("path", path)
+    dated = texts.where("doc_id % 4 = 1").select("path")
+    out = P.opening_requests(texts, dated, "path", "text", ["lang", "source"], "m", "Date this text of %s from %s:\n%s", "dating", 3, 200, {"max_output_tokens": 300})
+    body = lambda f: F.get_json_object("body", f)
+    return out.select("custom_id", "method", "url", F.sha2(body("$.input"), 256).alias("input_sha256"), body("$.max_output_tokens").cast("int").alias("most"))
+
+
+@query(f"""SELECT 'review:' || user_id || ':' || event_id AS custom_id, 'POST' AS method, '/v1/responses' AS url, 'Apply: be strict' || chr(10) || 'DRAFT: ' || left('draft of ' || event_type, 12) AS input, user_id || ':' || event_id AS source_custom_id
+FROM events WHERE event_type <> 'purchase' AND event_id % 3 > 0""")
+def review_requests(t):
+    """Requests that hand each completed draft to another reviewer, with the rubric; unfinished and empty drafts have none."""
+    e = t("events")
+    status = F.when(F.col("event_type") == "purchase", "incomplete").otherwise("completed")
+    draft = F.when(F.col("event_id") % 3 == 0, "  ").otherwise(F.concat(F.lit("draft of "), "event_type"))
+    rows = e.select(F.concat_ws(":", "user_id", "event_id").alias("custom_id"), status.alias("status"), draft.alias("draft"))
+    out = P.review_requests(rows, "custom_id", "status", "draft", "be strict", "m", "Apply: %s\nDRAFT: %s", 12)
+    return out.select("custom_id", "method", "url", F.get_json_object("body", "$.input").alias("input"), "source_custom_id")
+
+
+@query("""WITH p AS (SELECT p_name, p_brand, p_type FROM part), g AS (SELECT p_name, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS b, count(DISTINCT p_brand) AS n FROM p GROUP BY 1), r AS (SELECT p_name, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS ty FROM p WHERE p_type LIKE 'E%' GROUP BY 1)
+SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '.png' AS out, 'An image of ' || p_name || '. ' || CASE WHEN ty IS NOT NULL THEN 'Related: ' || ty || '. ' ELSE '' END || 'Seen in: ' || b || '.' AS prompt FROM g LEFT JOIN r USING (p_name) WHERE n > 1""")
+def image_requests(t):
+    """Image prompts of labels that recur, with what is related and where they are seen."""
+    part = t("part")
+    seen = part.select(F.col("p_name").alias("key"), F.col("p_brand").alias("place")).distinct()
+    related = part.where("p_type LIKE 'E%'").select(F.col("p_name").alias("key"), F.col("p_type").alias("other")).distinct()
+    out = P.image_prompts(seen, related, "An image of %s. ", "Related: %s. ", "Seen in: %s.", 2)
+    return out.select("out", "prompt")
+
+
 @query(f"""WITH n AS (SELECT n_regionkey, count(*) AS c FROM nation GROUP BY 1), l AS (SELECT count(*) AS k, string_agg(n_regionkey || ' | ' || c, '\\n' ORDER BY c DESC, n_regionkey) AS l FROM n)
 SELECT 'synthesis' AS custom_id, 'POST' AS method, '/v1/responses' AS url, {_BODY.format("k || ' rows:' || chr(92) || 'n' || l")} AS body FROM l""")
 def synthesis_request(t):
@@ -415,14 +454,18 @@ def synthesis_request(t):
     return P.table_request(df, ["n_regionkey", "c"], [F.desc("c"), "n_regionkey"], "m", "%s rows:\n%s", "synthesis")
 
 
-@query("""WITH q AS (SELECT doc_id, doc_id % 7 AS record, doc_id % 4 AS kind FROM documents WHERE len(text) >= 200),
-f AS (SELECT record, 'no such words as these ' || doc_id AS s, row_number() OVER (PARTITION BY record ORDER BY 'no such words as these ' || doc_id) AS r FROM q WHERE kind = 2),
+_PIECES = "CASE doc_id % 4 WHEN 0 THEN substr(text, 11, 90) WHEN 1 THEN substr(text, 3, 80) || ' [...] ' || substr(text, 101, 80) WHEN 2 THEN 'no such words as these ' || doc_id ELSE substr(text, 1, 50) END"
+
+
+@query(f"""WITH b AS (SELECT doc_id % 7 AS record, doc_id % 4 = 3 AS missing, {_PIECES} AS quote, {NORM.format('text')} AS d FROM documents), n AS (SELECT *, {NORM.format('quote')} AS q FROM b),
+v AS (SELECT record, quote, CASE WHEN missing THEN 'source_missing' WHEN {FOUND} THEN 'verified' ELSE 'failed' END AS status FROM (SELECT *, {PARTS_SQL} AS parts FROM n)),
+f AS (SELECT record, left(quote, 120) AS s, row_number() OVER (PARTITION BY record ORDER BY left(quote, 120)) AS r FROM v WHERE status = 'failed'),
 s AS (SELECT record, string_agg(s, ';' ORDER BY r) AS samples FROM f WHERE r <= 2 GROUP BY 1)
-SELECT record, count(*) FILTER (kind IN (0, 1)) AS n_verified, count(*) FILTER (kind = 2) AS n_failed, count(*) FILTER (kind = 3) AS n_missing, round(count(*) FILTER (kind IN (0, 1)) / count(*), 4) AS rate, any_value(samples) AS samples
-FROM q LEFT JOIN s USING (record) GROUP BY 1""")
+SELECT record, count(*) FILTER (status = 'verified') AS n_verified, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'source_missing') AS n_missing,
+  round(count(*) FILTER (status = 'verified') / count(*), 4) AS rate, any_value(samples) AS samples FROM v LEFT JOIN s USING (record) GROUP BY 1""")
 def quote_rollup(t):
-    """Quotations of documents, whole and elided, invented ones, and ones of missing sources, rolled up by record with samples of what failed."""
-    docs, k = t("documents").where(F.length("text") >= 200), F.col("doc_id") % 4
+    """Quotations of all documents, whole and elided, invented ones, and ones of missing sources, rolled up by record with samples of what failed."""
+    docs, k = t("documents"), F.col("doc_id") % 4
     piece = lambda a, n: F.substring("text", a, n)
     text = F.when(k == 0, piece(11, 90)).when(k == 1, F.concat(piece(3, 80), F.lit(" [...] "), piece(101, 80))).when(k == 2, F.concat(F.lit("no such words as these "), F.col("doc_id").cast("string"))).otherwise(piece(1, 50))
     quotes = docs.select((F.col("doc_id") % 7).alias("record"), F.when(k == 3, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("source_id"), text.alias("quote"))

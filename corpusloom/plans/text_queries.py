@@ -23,6 +23,18 @@ def lines_of(t):
     return D.to_lines(t("documents"))
 
 
+@query(f"""WITH {LINES}, m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN line_no + 3 ELSE line_no END AS line_no, line FROM l UNION ALL
+  SELECT doc_id, unnest([1, 2, 3]), unnest(['---', 'title: x', '---']) FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS text_md5 FROM m WHERE line_no BETWEEN 3 AND 6 OR (doc_id % 3 = 0 AND line_no <= 3) GROUP BY 1""")
+def trimmed_range(t):
+    """Lines 3 to 6 of each document, and its front matter where it has some."""
+    front = F.when(F.col("doc_id") % 3 == 0, F.lit("---\ntitle: x\n---\n")).otherwise("")
+    lines = D.to_lines(t("documents").withColumn("text", F.concat(front, "text")))
+    out = D.trim_range(lines, 3, 6)
+    n = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    return n.join(D.to_text(out).select("doc_id", F.md5("text").alias("text_md5")), "doc_id")
+
+
 @query(f"WITH {LINES} SELECT doc_id, {_FORM.format(_S)} AS form, count(*) AS n FROM l WHERE {_HEAD} GROUP BY ALL HAVING count(*) >= 5")
 def running_headers(t):
     return D.running_headers(lines_of(t), min_repeats=5)

@@ -22,14 +22,15 @@ def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     query.awaitTermination(timeout)
 
 
-#: Parts of a merged table by a hash of its key: a batch rewrites those that it has keys of.
+#: Parts of a merged table by a hash of its key: a batch rewrites those that it has keys of, so a large table wants more of them.
 PARTS = 64
 
 
 def merge_sink(target: str, key: str, order: str, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
     """A sink that upserts each batch into a Parquet table of `parts` folders; see read_merged.
 
-    A batch rewrites the parts that its keys fall into, under its epoch; the others stay as they are. A batch seen
+    A batch rewrites the parts that its keys fall into, under its epoch; the others stay as they are. Rows go by part to
+    tasks of the advisory size, so a part of any size is written by as many as it takes. A batch seen
     again writes the same rows. Once a part's newest version is complete, older ones may go (vacuum).
     """
 
@@ -42,7 +43,7 @@ def merge_sink(target: str, key: str, order: str, parts: int = PARTS) -> Callabl
         old = _versions(spark, target, fresh.schema, epoch - 1)
         old = fresh.limit(0) if old is None else old.where(F.col("__part").isin(touched))
         merged = upsert(old, fresh, key, order).withColumn("__epoch", F.lit(epoch))
-        merged.repartition("__part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__part", "__epoch").parquet(target)
+        merged.hint("rebalance", "__part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__part", "__epoch").parquet(target)
 
     return run
 
