@@ -131,8 +131,9 @@ tr AS (SELECT x.pile, count(*) AS triangles FROM w x JOIN w y ON x.pile = y.pile
 sq AS (SELECT pile, count(*) AS communities, sum(k * k) AS squares FROM (SELECT pile, label, sum(d) AS k FROM dg JOIN lp USING (pile, node) GROUP BY ALL) GROUP BY pile),
 iw AS (SELECT w.pile, count(*) FILTER (x.label = y.label) AS inner_ FROM w JOIN lp x ON x.pile = w.pile AND x.node = w.a JOIN lp y ON y.pile = w.pile AND y.node = w.b GROUP BY w.pile),
 ds AS (SELECT pile, count(*) AS nodes, sum(d) AS ends, sum(d * (d - 1)) AS wedges2 FROM dg GROUP BY pile),
-tp AS MATERIALIZED (SELECT pile::INTEGER AS pile, nodes, (ends / 2)::BIGINT AS edges, round(ends / (nodes * (nodes - 1)), 4) AS density, components, round(giant / nodes, 4) AS giant_share, coalesce(triangles, 0) AS triangles,
-  round(6 * coalesce(triangles, 0) / wedges2, 4) AS clustering, communities, round((2 * ends * inner_ - squares) / (ends * ends), 4) AS modularity FROM ds JOIN cm USING (pile) LEFT JOIN tr USING (pile) JOIN sq USING (pile) JOIN iw USING (pile))"""
+tp AS MATERIALIZED (SELECT pile::INTEGER AS pile, coalesce(nodes, 0) AS nodes, (coalesce(ends, 0) / 2)::BIGINT AS edges, round(ends / nullif(nodes * (nodes - 1), 0), 4) AS density, coalesce(components, 0) AS components,
+  round(giant / nodes, 4) AS giant_share, coalesce(triangles, 0) AS triangles, round(6 * coalesce(triangles, 0) / nullif(wedges2, 0), 4) AS clustering, coalesce(communities, 0) AS communities,
+  round((2 * ends * inner_ - squares) / (ends * ends), 4) AS modularity FROM (VALUES (0), (1)) AS v(pile) LEFT JOIN ds USING (pile) LEFT JOIN cm USING (pile) LEFT JOIN tr USING (pile) LEFT JOIN sq USING (pile) LEFT JOIN iw USING (pile))"""
 
 
 @query(f"{BLIND}, {WEB}, {_TOPOLOGY} SELECT * FROM tp")
@@ -144,9 +145,9 @@ def web_topology(t):
 
 @query(f"""{_NULL}, {_TOPOLOGY}, kd AS (SELECT d, count(*) FILTER (pile = 0) AS a, count(*) FILTER (pile = 1) AS b FROM dg GROUP BY d),
 ku AS (SELECT sum(a) OVER (ORDER BY d) / sum(a) OVER () - sum(b) OVER (ORDER BY d) / sum(b) OVER () AS gap, sum(a) OVER () AS n_a, sum(b) OVER () AS n_b FROM kd),
-kk AS (SELECT max(abs(gap)) AS d, any_value(n_a)::BIGINT AS n_a, any_value(n_b)::BIGINT AS n_b FROM ku), kl AS (SELECT *, sqrt(n_a * n_b / (n_a + n_b)) AS ro FROM kk),
+kk AS (SELECT max(abs(gap)) AS d, coalesce(any_value(n_a), 0)::BIGINT AS n_a, coalesce(any_value(n_b), 0)::BIGINT AS n_b FROM ku), kl AS (SELECT *, sqrt(n_a * n_b / (n_a + n_b)) AS ro FROM kk),
 km AS (SELECT *, (ro + 0.12 + 0.11 / ro) * d AS lam FROM kl),
-kp AS (SELECT n_a, n_b, round(d, 4) AS ks, round(CASE WHEN lam < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda j: pow(-1, j - 1) * exp(-2.0 * j * j * lam * lam))))) END, 4) AS ks_p FROM km)
+kp AS (SELECT n_a, n_b, round(d, 4) AS ks, round(CASE WHEN d IS NULL THEN NULL WHEN lam < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda j: pow(-1, j - 1) * exp(-2.0 * j * j * lam * lam))))) END, 4) AS ks_p FROM km)
 SELECT observed AS spearman, null_q975, n_a, n_b, ks, ks_p, CASE WHEN observed > null_q975 AND ks_p > 0.05 THEN 'STRONG' WHEN observed > null_q975 OR ks_p > 0.05 THEN 'PARTIAL' ELSE 'NULL' END AS verdict FROM nl, kp WHERE statistic = 'spearman'""")
 def crown_verdict(t):
     """STRONG if the rank correlation is above 97.5 % of the null and the degrees of the webs can't be told apart, PARTIAL for one of these, else NULL."""
