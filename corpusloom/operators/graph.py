@@ -352,6 +352,10 @@ def label_propagation(edges: DataFrame, weight: str = "n_groups", rounds: int =
     return labels
 
 
+#: Passes of ordered_propagation that are one job.
+PASSES = 2
+
+
 def ordered_propagation(edges: DataFrame, weight: str = "n_groups", rounds: int = 10, seed: int = 42) -> DataFrame:
     """(node, label): label propagation in place, node after node in the order of md5(seed|node), `rounds` times or until none moves.
 
@@ -359,25 +363,35 @@ def ordered_propagation(edges: DataFrame, weight: str = "n_groups", rounds: int
     their labels of this round already, the others still those of the last. So a node waits for its earlier
     neighbours only. A round starts from the last one's labels and all nodes are worked out at once, again and
     again, until nothing changes: after as many passes as the longest chain of earlier neighbours, mostly
-    far fewer, this is the one result that a sequential loop has too.
+    far fewer, this is the one result that a sequential loop has too. PASSES of them are one job.
     """
     e = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col(weight).alias("w")).where(F.col("u") != F.col("v"))
     e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
     turn = lambda c: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), c)).alias("h"), F.col(c).alias("n"))
     e = e.withColumn("earlier", turn("v") < turn("u")).checkpoint()
-    labels = e.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("old"), F.col("node").alias("new")).checkpoint()
+    labels = e.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("old"), F.col("node").alias("new"), F.lit(False).alias("changed")).checkpoint()
+    # a node's own row, without a vote, carries its labels along
+    e = e.unionByName(labels.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(None).cast(e.schema["w"].dataType).alias("w"), F.lit(None).cast("boolean").alias("earlier"))).checkpoint()
+
+    def once(labels: DataFrame) -> DataFrame:
+        own = F.col("earlier").isNull()
+        votes = e.join(labels.select(F.col("node").alias("__v"), "old", "new"), F.col("v") == F.col("__v"))
+        votes = votes.groupBy("u", own.alias("own"), F.when(own | F.col("earlier"), F.col("new")).otherwise(F.col("old")).alias("label")).agg(F.sum("w").alias("w"), F.max(F.when(own, F.col("old"))).alias("old"))
+        both = votes.groupBy(F.col("u").alias("node")).agg(
+            F.max("old").alias("old"), F.max(F.when(~F.col("own"), F.struct("w", "label"))).alias("best"), F.max(F.when(F.col("own"), F.col("label"))).alias("former")
+        )
+        return both.select("node", "old", F.col("best.label").alias("new"), (F.col("former") != F.col("best.label")).alias("changed"))
+
     for _ in range(rounds):
         while True:
-            votes = e.join(labels.select(F.col("node").alias("__v"), "old", "new"), F.col("v") == F.col("__v"))
-            votes = votes.groupBy("u", F.when(F.col("earlier"), F.col("new")).otherwise(F.col("old")).alias("label")).agg(F.sum("w").alias("w"))
-            best = votes.groupBy(F.col("u").alias("__u")).agg(F.max(F.struct("w", "label")).alias("best"))
-            both = labels.join(best, F.col("node") == F.col("__u"))
-            labels = both.select("node", "old", F.col("best.label").alias("new"), (F.col("new") != F.col("best.label")).alias("changed")).checkpoint()
+            for _ in range(PASSES):
+                labels = once(labels)
+            labels = labels.checkpoint()
             if not labels.where("changed").limit(1).count():
                 break
         if not labels.where("old <> new").limit(1).count():
             break
-        labels = labels.select("node", F.col("new").alias("old"), "new")
+        labels = labels.select("node", F.col("new").alias("old"), "new", "changed")
     return labels.select("node", F.col("new").alias("label"))
 
 
