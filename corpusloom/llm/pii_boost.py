@@ -393,8 +393,8 @@ class Planter:
         elif kind == "email":
             name, site, top = r.choice([f"{w()}.{w()}", w(), f"{w()}{d(2)}", f"{w()}_{w()}"]), r.choice([w(), f"{w()}{d(1)}"]), r.choice(["com", "org", "net", "de", "example.com", "co.uk"])
             a, b = r.choice([(" (at) ", "."), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" at ", " dot "), (" (at) ", " (dot) "), (" @ ", " . "), (" {at} ", ".")])
-            if "dot" in b and r.random() < 0.4:  # the name is written out as well
-                name = b.join(w() for _ in range(r.randint(2, 3)))
+            if "dot" in b:  # the name is written out as well
+                name = name.replace(".", b)
             text = name + a + site + b + top.replace(".", b)
         elif kind == "ip":
             text = r.choice([self.octets("[.]"), self.octets(" . "), self.octets(" dot "), ".".join(self.octets(".").split(".")[:3]) + "[.]" + str(r.randint(0, 255)), self.octets("(dot)")])
