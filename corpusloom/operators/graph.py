@@ -9,11 +9,14 @@ of 200 is a job and not a loop.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .permutations import dealt, round_keys
 from .ranges import numbered, numbered_within
@@ -49,13 +52,13 @@ def pair_counts(sets: DataFrame, by: tuple[str, ...] = ("group",)) -> DataFrame:
     return out.select(*by, "a", "b", "n_ab", "n_a", "n_b", "n")
 
 
-def pmi_edges(counts: DataFrame, min_pair: int = 3, min_records: int = 20) -> DataFrame:
+def pmi_edges(counts: DataFrame, min_pair: int | Column = 3, min_records: int = 20) -> DataFrame:
     """Pairs with positive pointwise mutual information. The sign is decided in integers, exactly; pmi is rounded to 4 places."""
     kept = counts.where((F.col("n_ab") >= min_pair) & (F.col("n") >= min_records) & (F.col("n_ab") * F.col("n") > F.col("n_a") * F.col("n_b")))
     return kept.withColumn("pmi", F.round(F.ln((F.col("n_ab") / F.col("n")) / ((F.col("n_a") / F.col("n")) * (F.col("n_b") / F.col("n")))), 4))
 
 
-def conserved_edges(edges: DataFrame, min_groups: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
+def conserved_edges(edges: DataFrame, min_groups: int | Column = 4, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., a, b, n_groups, groups, cooccurrence) of edges that are significant in min_groups groups or more."""
     out = edges.groupBy(*by, "a", "b").agg(
         F.count(F.lit(1)).alias("n_groups"), F.array_sort(F.collect_list("group")).alias("groups"), F.sum("n_ab").alias("cooccurrence")
@@ -63,8 +66,10 @@ def conserved_edges(edges: DataFrame, min_groups: int = 4, by: tuple[str, ...] =
     return out.where(F.col("n_groups") >= min_groups)
 
 
-#: Seats that may be broadcast (4 bytes each, and 8 a group); seats of a group that a task holds together (about); numbers that a task permutes, and pairs that it holds, at once.
-SEATS, SLICE, CELLS, PAIRS = 4_000_000, 500_000, 1_000_000, 4_000_000
+#: Seats of a group that a task holds as codes (1 to 4 bytes each); seats of a larger one that a task holds together (about); numbers that a task permutes, and pairs that it holds, at once.
+SEATS, SLICE, CELLS, PAIRS = 32_000_000, 500_000, 1_000_000, 4_000_000
+#: Seats of a pack (about); items up to which sets are counted as bits, and pairs from which it pays; numbers that a task permutes in all (about), and tasks of a group at most.
+PACK, ITEMS, FEW, WORK, TASKS = 250_000, 512, 5_000, 40_000_000, 16
 
 
 def _seats(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -128,52 +133,194 @@ def permute(sets: DataFrame, n: int = 200, seed: int = 42, distinct: bool = True
 
 
 def permuted_counts(sets: DataFrame, n: int = 200, seed: int = 42) -> DataFrame:
-    """(perm, group, a, b, n_ab, n_a, n_b, n): pair_counts() of permute(sets, n, seed), without the permuted sets as a table.
+    """(perm, group, a, b, n_ab, n_a, n_b, n): pair_counts() of permute(sets, n, seed), without the permuted sets as a table."""
+    return _counts([(sets, n)], seed).where("perm > 0").drop("side")
 
-    Groups, items and seats are numbered once. With up to SEATS seats each task has all their codes and looks up what
-    its records' seats are dealt, so nothing is moved for a permutation but its sums by pair; with more, tokens
-    go to the task of their seat's record. No permutation is sorted.
+
+def _counts(sides: Sequence[tuple[DataFrame, int]], seed: int) -> DataFrame:
+    """(side, perm, group, a, b, n_ab, n_a, n_b, n): pair_counts() of each side's sets as perm 0, and of so many permutations of them.
+
+    Sets are packed once, about a byte a seat. A task has a whole group as packs and counts some of its permutations alone,
+    so nothing is moved or sorted for a permutation. Groups of more than SEATS seats, or of too many
+    pairs for a task, go by _moved_counts().
+    """
+    packs = _packs([sets for sets, _ in sides])
+    spark, key = packs.sparkSession, ["side", "group"]
+    items = packs.select(*key, F.explode("items").alias("item")).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("items"))
+    groups = packs.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("tokens", "pairs")]).join(items, key)
+    groups = groups.withColumn("whole", (F.col("tokens") <= SEATS) & ((F.col("items") <= ITEMS) | (F.col("pairs") < PAIRS)))
+    groups = groups.withColumn("perms", F.element_at(F.array(*[F.lit(n) for _, n in sides]), F.col("side") + 1))
+    tasks = F.least(F.greatest(F.ceil(F.col("tokens") * (F.col("perms") + 1) / WORK), F.lit(1)), F.lit(TASKS))
+    groups = groups.withColumn("size", F.ceil((F.col("perms") + 1) / tasks).cast("int")).checkpoint()
+    seen = groups.agg(F.count_if(~F.col("whole")).alias("rest"), F.sum(F.ceil((F.col("perms") + 1) / F.col("size"))).alias("tasks")).first()
+    own = packs.drop("pairs").join(groups.where("whole").select(*key, "perms", "size"), key)
+    own = own.withColumn("name", F.col("group").cast("string")).withColumn("block", F.explode(F.sequence(F.lit(0), "perms", "size")))
+    own = own.repartition(min(2 * (seen["tasks"] or 1), 4000), *key, "block").sortWithinPartitions(*key, "block", "part", "at")
+    kind = {f.name: f.dataType for f in packs.schema}
+    fields = [("side", T.IntegerType()), ("perm", T.IntegerType()), ("group", kind["group"]), *[(c, kind["items"].elementType) for c in "ab"], *[(c, T.LongType()) for c in ("n_ab", "n_a", "n_b", "n")]]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                if held and any(row.column(c)[0] != held[0].column(c)[0] for c in ("side", "group", "block")):
+                    yield from _group_counts(held, seed)
+                    held = []
+                held.append(row)
+        if held:
+            yield from _group_counts(held, seed)
+
+    out = own.mapInArrow(count, T.StructType([T.StructField(*f) for f in fields]))
+    for i, (sets, n) in enumerate(sides if seen["rest"] else []):
+        large = sets.join(groups.where((F.col("side") == i) & ~F.col("whole")).select("group"), "group", "left_semi")
+        out = out.unionByName(pair_counts(large).withColumns({"side": F.lit(i), "perm": F.lit(0)}))
+        if n:
+            out = out.unionByName(_moved_counts(large, n, seed).withColumn("side", F.lit(i)))
+    return out
+
+
+def _packs(sides: Sequence[DataFrame]) -> DataFrame:
+    """(side, group, part, at, tokens, records, pairs, items, codes, lengths), written: the sets in the order of group, record and item.
+
+    A row has whole records of a group: their sizes, and each token as its place among the row's own items; part and at give the rows' order.
     """
+    every = reduce(DataFrame.unionByName, [x.select(F.lit(i).alias("side"), "group", "record", "item") for i, x in enumerate(sides)])
+    parts = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = every.repartitionByRange(parts, "side", "group", "record").sortWithinPartitions("side", "group", "record", "item").withColumn("part", F.spark_partition_id())
+    long, binary = T.LongType(), T.BinaryType()
+    fields = [("side", T.IntegerType()), ("group", every.schema["group"].dataType), ("part", T.IntegerType()), ("at", long), ("tokens", long), ("records", long), ("pairs", long)]
+    fields += [("items", T.ArrayType(every.schema["item"].dataType)), ("codes", binary), ("lengths", binary)]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = 0
+        for batch in _and_end(batches):
+            held += [batch] if batch is not None else []
+            if not (n := sum(x.num_rows for x in held)) or batch is not None and n < PACK:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            group = _changes(whole, "side") | _changes(whole, "group")
+            record = group | _changes(whole, "record")
+            end = n if batch is None else int(np.nonzero(record)[0][-1])  # the last record may go on
+            held = [whole.slice(end)] if end < n else []
+            starts = np.nonzero(group[:end])[0]
+            if not len(starts):
+                continue
+            columns: list[list] = [[] for _ in range(6)]
+            for x, y in zip(starts.tolist(), [*starts[1:].tolist(), end]):
+                lengths = np.diff(np.nonzero(np.append(record[x:y], True))[0])
+                item = whole.column("item").slice(x, y - x).dictionary_encode()
+                codes = item.indices.to_numpy()
+                for column, value in zip(columns, (y - x, len(lengths), int((lengths * (lengths + 1) // 2).sum()), item.dictionary, _bytes(codes), _bytes(lengths))):
+                    column.append(value)
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in columns[3]]))).astype(np.int32)
+            columns[3] = pa.ListArray.from_arrays(offsets, pa.concat_arrays(columns[3]))
+            named = [*whole.select(["side", "group", "part"]).take(pa.array(starts)).columns, pa.array(range(at, at + len(starts)), pa.int64()), *map(pa.array, columns[:3]), columns[3], *[pa.array(x, pa.binary()) for x in columns[4:]]]
+            at += len(starts)
+            yield pa.RecordBatch.from_arrays(named, names=[f[0] for f in fields])
+
+    return rows.mapInArrow(pack, T.StructType([T.StructField(*f) for f in fields])).checkpoint()
+
+
+def _and_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _changes(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """Whether each row differs from the one before it; the first does."""
+    column = batch.column(name)
+    return np.append(True, pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False))[: len(column)].astype(bool)
+
+
+def _bytes(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 below 2^32 in 1, 2 or 4 bytes each."""
+    return x.astype(_least(int(x.max(initial=0)))).tobytes()
+
+
+def _least(most: int) -> type:
+    return next(t for t in (np.uint8, np.uint16, np.uint32) if most <= np.iinfo(t).max)
+
+
+def _numbers(row: pa.RecordBatch, name: str, n: str) -> np.ndarray:
+    data = row.column(name)[0].as_py()
+    return np.frombuffer(data, f"u{len(data) // row.column(n)[0].as_py()}")
+
+
+def _group_counts(packs: list[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """The counts of a block of permutations from all packs of a group."""
+    row = packs[0]
+    first, size, perms, name = (row.column(c)[0].as_py() for c in ("block", "size", "perms", "name"))
+    local = [p.column("items")[0].values for p in packs]
+    names = pa.concat_arrays(local).unique()
+    names = names.take(pc.sort_indices(names))
+    place = [pc.index_in(x, value_set=names).to_numpy(zero_copy_only=False).astype(_least(len(names))) for x in local]
+    codes = np.concatenate([x[_numbers(p, "codes", "tokens")] for x, p in zip(place, packs)])
+    lengths = np.concatenate([_numbers(p, "lengths", "records").astype(np.uint32) for p in packs])
+    own = list(range(first, min(first + size, perms + 1)))
+    pairs = int((lengths.astype(np.int64) * (lengths + np.int64(1)) // 2).sum())
+
+    def keys(some: list[int]) -> list:
+        return [round_keys(seed, p, name) for p in some]
+
+    def batch(perm: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(a), row.column("side")[0].as_py(), np.int32)), pa.array(perm.astype(np.int32)), row.column("group").take(pa.array(np.zeros(len(a), np.int64)))]
+        columns += [names.take(pa.array(x.astype(np.int64))) for x in (a, b)] + [pa.array(x.astype(np.int64)) for x in (k, n_a, n_b, np.full(len(a), len(lengths)))]
+        return pa.RecordBatch.from_arrays(columns, names=["side", "perm", "group", "a", "b", "n_ab", "n_a", "n_b", "n"])
+
+    if len(names) <= ITEMS and pairs > FEW:
+        for p in own:
+            k = _bit_sums(codes, lengths, len(names), keys([p])[0] if p else None)
+            a, b = np.nonzero(np.triu(k, 1))
+            yield batch(np.full(len(a), p), a, b, k[a, b], k[a, a], k[b, b])
+        return
+    step = max(1, min(CELLS // len(codes), (PAIRS - 1) // pairs))
+    rec = np.repeat(np.arange(len(lengths)), lengths)
+    for at in range(0, len(own), step):
+        some = own[at : at + step]
+        to = dealt(np.arange(len(codes)), len(codes), keys([p for p in some if p]))
+        code = np.concatenate([codes[None]] * (some[0] == 0) + [codes[to]])
+        for unit, a, b, k in _pair_sums(np.repeat(np.arange(len(some)), len(codes)), np.tile(rec, len(some)), code.ravel()):  # one part: there are fewer than PAIRS
+            ones = np.zeros((len(some), len(names)), np.int64)
+            ones[unit[a == b], a[a == b]] = k[a == b]
+            unit, a, b, k = (x[a != b] for x in (unit, a, b, k))
+            yield batch(np.array(some)[unit], a, b, k, ones[unit, a], ones[unit, b])
+
+
+def _bit_sums(codes: np.ndarray, lengths: np.ndarray, items: int, key: list[tuple[int, int]] | None) -> np.ndarray:
+    """In how many records the items a <= b are, a matrix, after the permutation of a key: each item's records as bits, some thousand records at a time."""
+    ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    out, most, r = np.zeros((items, items), np.int64), max(64, min(16_384, 2**21 // items)), 0
+    while r < len(lengths):
+        to = min(r + most, len(lengths))
+        x, y, width = int(ends[r]), int(ends[to]), -(-(to - r) // 64) * 64
+        code = codes[x:y] if key is None else codes[dealt(np.arange(x, y), len(codes), [key])[0]]
+        bits = np.zeros(items * width, bool)
+        bits[code.astype(np.int64) * width + np.repeat(np.arange(to - r), lengths[r:to])] = True  # an item that a record was dealt twice counts once
+        words = np.packbits(bits.reshape(items, width), axis=1).view(np.uint64)
+        for a in range(items):
+            out[a, a:] += np.bitwise_count(words[a] & words[a:]).sum(1, dtype=np.int64)
+        r = to
+    return out
+
+
+def _moved_counts(sets: DataFrame, n: int, seed: int) -> DataFrame:
+    """permuted_counts() of groups of any size: tokens go to the task of their seat's record, so each permutation is moved once. No permutation is sorted."""
     seats, groups, items = _seats(sets)
-    spark, total = sets.sparkSession, seats.count()
     schema = "perm int, g int, a int, b int, k long"
-    if total <= SEATS:
-        known = {int(r["g"]): (str(r["__group"]), r["tokens"]) for r in groups.select("g", "__group", "tokens").collect()}  # as many seats at least
-        codes = seats.select("g", "seat", "code").toPandas().sort_values(["g", "seat"])
-        starts = codes["g"].searchsorted(sorted(known))
-        shared = spark.sparkContext.broadcast((known, dict(zip(sorted(known), starts.tolist())), codes["code"].to_numpy(np.int32)))
-        block, size = _blocks(n, spark)
-        rows = seats.select("g", "seat", "rec").withColumn("block", block)
-        rows = rows.repartition("block", "g", F.floor(F.col("rec") / F.lit(SLICE))).sortWithinPartitions("block", "g", "rec", "seat")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, starts, codes = shared.value
-            for block, g, rec, seat in _whole_records(batches, ["block", "g", "rec", "seat"]):
-                ends = [0, *(np.nonzero((np.diff(g) != 0) | (np.diff(block) != 0))[0] + 1).tolist(), len(g)]
-                for x, y in zip(ends, ends[1:]):
-                    name, tokens = known[int(g[x])]
-                    perms = np.arange(block[x], min(block[x] + size, n + 1))
-                    step = max(1, CELLS // (y - x))
-                    for at in range(0, len(perms), step):
-                        own = perms[at : at + step]
-                        code = codes[starts[int(g[x])] + dealt(seat[x:y], tokens, [round_keys(seed, int(p), name) for p in own])]
-                        for unit, a, b, k in _pair_sums(np.repeat(np.arange(len(own)), y - x), np.tile(rec[x:y], len(own)), code.ravel()):
-                            yield _sums(own[unit], np.full(len(unit), g[x]), a, b, k)
-
-        summed = rows.mapInArrow(run, schema)
-    else:
-        chairs = seats.select(F.col("g").alias("__cg"), F.col("seat").alias("__seat"), "rec")
-        seated = _tokens_dealt(seats, groups, n, seed).join(chairs, (F.col("g") == F.col("__cg")) & (F.col("seat") == F.col("__seat"))).select("perm", "g", "rec", "code")
-        seated = seated.repartition("perm", "g", F.floor(F.col("rec") / F.lit(SLICE))).sortWithinPartitions("perm", "g", "rec")
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for perm, g, rec, code in _whole_records(batches, ["perm", "g", "rec", "code"]):
-                unit = np.concatenate(([0], np.cumsum((np.diff(perm) != 0) | (np.diff(g) != 0))))
-                first = np.concatenate(([0], np.nonzero(np.diff(unit))[0] + 1))
-                for own, a, b, k in _pair_sums(unit, rec, code):
-                    yield _sums(perm[first[own]], g[first[own]], a, b, k)
-
-        summed = seated.mapInArrow(count, schema)
+    chairs = seats.select(F.col("g").alias("__cg"), F.col("seat").alias("__seat"), "rec")
+    seated = _tokens_dealt(seats, groups, n, seed).join(chairs, (F.col("g") == F.col("__cg")) & (F.col("seat") == F.col("__seat"))).select("perm", "g", "rec", "code")
+    seated = seated.repartition("perm", "g", F.floor(F.col("rec") / F.lit(SLICE))).sortWithinPartitions("perm", "g", "rec")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for perm, g, rec, code in _whole_records(batches, ["perm", "g", "rec", "code"]):
+            unit = np.concatenate(([0], np.cumsum((np.diff(perm) != 0) | (np.diff(g) != 0))))
+            first = np.concatenate(([0], np.nonzero(np.diff(unit))[0] + 1))
+            for own, a, b, k in _pair_sums(unit, rec, code):
+                yield _sums(perm[first[own]], g[first[own]], a, b, k)
+
+    summed = seated.mapInArrow(count, schema)
     summed = summed.groupBy("perm", "g", "a", "b").agg(F.sum("k").alias("k")).checkpoint()
     ones = summed.where("a = b").select(F.col("perm").alias("__p"), F.col("g").alias("__h"), F.col("a").alias("__i"), F.col("k").alias("__k"))
     both = summed.where("a < b").withColumnRenamed("k", "n_ab")
@@ -249,10 +396,16 @@ def _pair_sums(unit: np.ndarray, rec: np.ndarray, code: np.ndarray) -> Iterator[
         yield summed()
 
 
+def null_model(sets: DataFrame, n: int = 200, seed: int = 42, min_pair: int = 3, min_records: int = 20, min_groups: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Conserved edges (a, b, n_groups, cooccurrence) as observed, and (perm, a, b, n_groups) of each permutation. The sets are read once; the edges are written."""
+    significant = pmi_edges(_counts([(sets, n)], seed), min_pair, min_records)
+    edges = conserved_edges(significant, min_groups, ("perm",)).drop("groups").checkpoint()
+    return edges.where("perm = 0").drop("perm"), edges.where("perm > 0").drop("cooccurrence")
+
+
 def null_counts(sets: DataFrame, n: int = 200, seed: int = 42, min_pair: int = 3, min_records: int = 20, min_groups: int = 4) -> DataFrame:
     """Conserved edges (perm, a, b, n_groups) of each permutation."""
-    significant = pmi_edges(permuted_counts(sets, n, seed), min_pair, min_records)
-    return significant.groupBy("perm", "a", "b").agg(F.count(F.lit(1)).alias("n_groups")).where(F.col("n_groups") >= min_groups)
+    return null_model(sets, n, seed, min_pair, min_records, min_groups)[1]
 
 
 def null_summary(observed: DataFrame, null: DataFrame, n: int) -> DataFrame:

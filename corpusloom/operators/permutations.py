@@ -48,6 +48,8 @@ def _once(x: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, back: bool) -> np
 def dealt(at: np.ndarray, n: int, keys: list[list[tuple[int, int]]], back: bool = False) -> np.ndarray:
     """For each permutation's keys (row) and place (column) the place it is dealt to among n; back: the place that is dealt to it."""
     every = np.array(keys, np.int64).reshape(len(keys), ROUNDS, 2)
+    if len(at) >= 2 * sum(halves(n)):
+        return np.stack([_dealt_by_table(at, n, own, back) for own in every]) if len(every) else np.empty((0, len(at)), np.int64)
     a, b = every[:, :, 0].T, every[:, :, 1].T  # round by permutation
     out = _once(np.broadcast_to(at, (len(keys), len(at))), n, a[:, :, None], b[:, :, None], back)
     row, column = np.nonzero(out >= n)
@@ -59,6 +61,27 @@ def dealt(at: np.ndarray, n: int, keys: list[list[tuple[int, int]]], back: bool
     return out
 
 
+def _dealt_by_table(at: np.ndarray, n: int, key: np.ndarray, back: bool) -> np.ndarray:
+    """A row of dealt() for many places: a half has few values, whose moves are looked up in each round."""
+    sizes = halves(n)
+    shift, sign = sizes[1].bit_length() - 1, -1 if back else 1
+    moves = [sign * (_moved(np.arange(sizes[1 - j % 2]), *key[j]) % sizes[j % 2]) for j in range(ROUNDS)]
+
+    def once(place: np.ndarray) -> np.ndarray:
+        half = [place >> shift, place & (sizes[1] - 1)]
+        for j in range(ROUNDS - 1, -1, -1) if back else range(ROUNDS):
+            half[j % 2] = (half[j % 2] + moves[j].take(half[1 - j % 2])) & (sizes[j % 2] - 1)
+        return (half[0] << shift) | half[1]
+
+    out = once(np.asarray(at, np.int64))
+    beyond = np.nonzero(out >= n)[0]
+    while len(beyond):
+        x = once(out[beyond])
+        out[beyond] = x
+        beyond = beyond[x >= n]
+    return out
+
+
 def permutation_sql(tokens: str, perms: int, name: str, seed: int = 42) -> str:
     """Recursive CTEs up to <name> (perm, g, seat, token) over a CTE tokens(g, seat, n): the token dealt to each seat, as dealt() has it."""
     keys = ", ".join(f"('0x' || md5(concat_ws('|', '{seed}', perm::VARCHAR, g, '{j}'))[1:7])::BIGINT + 1 AS a{j}, ('0x' || md5(concat_ws('|', '{seed}', perm::VARCHAR, g, '{j}'))[8:14])::BIGINT AS b{j}" for j in range(ROUNDS))

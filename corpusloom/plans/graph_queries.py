@@ -99,9 +99,7 @@ def null_model_summary(t):
 
 @query(f"{NULL} SELECT a, b, n_groups, cooccurrence, round(count(z.perm) / {PERMS}, 4) AS null_rate FROM c LEFT JOIN z USING (a, b) GROUP BY a, b, n_groups, cooccurrence")
 def edge_null_hit_rate(t):
-    sets = brand_sets(t).checkpoint()  # read by all branches
-    seen = G.conserved_edges(G.pmi_edges(G.pair_counts(sets)), CONSERVED)
-    return G.edge_hit_rate(seen, G.null_counts(sets, PERMS, min_groups=CONSERVED), PERMS)
+    return G.edge_hit_rate(*G.null_model(brand_sets(t), PERMS, min_groups=CONSERVED), PERMS)
 
 
 _TRAIN, _TEST = (3, 4), (2, 2)
