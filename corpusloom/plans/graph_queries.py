@@ -92,9 +92,7 @@ def induced_edges(t):
 SELECT observed, round(avg(k), 2) AS null_mean, round(stddev_pop(k), 2) AS null_sd, max(k) AS null_max, CASE WHEN stddev_pop(k) > 0 THEN round((observed - avg(k)) / stddev_pop(k), 2) END AS z,
 round((count(*) FILTER (k >= observed) + 1) / {PERMS + 1}, 5) AS p FROM k, o GROUP BY observed""")
 def null_model_summary(t):
-    sets = brand_sets(t).checkpoint()  # read by all branches
-    seen = G.conserved_edges(G.pmi_edges(G.pair_counts(sets)), CONSERVED)
-    return G.null_summary(seen, G.null_counts(sets, PERMS, min_groups=CONSERVED), PERMS)
+    return G.null_summary(*G.null_model(brand_sets(t), PERMS, min_groups=CONSERVED), PERMS)
 
 
 @query(f"{NULL} SELECT a, b, n_groups, cooccurrence, round(count(z.perm) / {PERMS}, 4) AS null_rate FROM c LEFT JOIN z USING (a, b) GROUP BY a, b, n_groups, cooccurrence")
