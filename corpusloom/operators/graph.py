@@ -442,11 +442,11 @@ def holdout(train: DataFrame, test: DataFrame, n: int = 200, seed: int = 42, tra
     strictly fewer. Verdict: leakage_flag below a novelty of 0.1; success if all are
     beaten and lift is 1.15 or more; weak_support from the share `weak` of them and 1.05 on; else failure.
     """
-    train, test = train.checkpoint(), test.checkpoint()
-    known = edge_set(train, *train_at, min_records).checkpoint()
-    seen = edge_set(test, *test_at, min_records).checkpoint()
+    at = [F.when(F.col("side") == 0, x).otherwise(y) for x, y in zip(train_at, test_at)]
+    edges = conserved_edges(pmi_edges(_counts([(train, 0), (test, n)], seed), at[0], min_records), at[1], ("side", "perm")).select("side", "perm", "a", "b").checkpoint()
+    known, seen = edges.where("side = 0").select("a", "b"), edges.where("side = 1 AND perm = 0").select("a", "b")
     both = seen.join(known, ["a", "b"], "left_semi").agg(F.count(F.lit(1)).alias("reproduced"))
-    shuffled = null_counts(test, n, seed, test_at[0], min_records, test_at[1]).join(known, ["a", "b"], "left_semi")
+    shuffled = edges.where("side = 1 AND perm > 0").join(known, ["a", "b"], "left_semi")
     per = shuffled.groupBy("perm").agg(F.count(F.lit(1)).alias("k"))
     every = train.sparkSession.range(1, n + 1).select(F.col("id").alias("__perm")).join(per, F.col("__perm") == per["perm"], "left").select(F.coalesce("k", F.lit(0)).alias("k"))
     one = known.agg(F.count(F.lit(1)).alias("training_edges")).join(seen.agg(F.count(F.lit(1)).alias("holdout_edges"))).join(both)  # single rows

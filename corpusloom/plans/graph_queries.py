@@ -18,9 +18,10 @@ def facts(t):
     """(nation, region, order, date, part, brand, ...) of every line item."""
     li = t("lineitem").select("l_orderkey", "l_partkey")
     out = li.join(t("part").select("p_partkey", "p_name", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    out = out.join(t("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    out = out.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    return out.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    # orders get their nation first: line items then move by part and by order, not by customer too
+    who = t("orders").select("o_orderkey", "o_custkey", "o_orderdate").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    who = who.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return out.join(who, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def brand_sets(t, held=None):
