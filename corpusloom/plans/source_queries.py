@@ -44,6 +44,22 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders above those of many small files, more than Spark lists in the driver (32); bytes that opening one counts as when it deals them to tasks.
+SHELVES, OPENING = 128, 256 * 1024
+
+
+@contextlib.contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """Reads planned within give a task as many small files as it can open soon, not four to thirty."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPENING))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def key_of(path: str = "path"):
     return F.regexp_extract(path, r"/key=(-?\d+)/", 1).cast("long")
 
@@ -84,9 +100,9 @@ def _markdown(t):
 def markdown_scan(t):
     """Markdown files with front matter and without."""
     df = _markdown(t)
-    with folder(df.sparkSession, "markdown") as home:
-        K.write_files(df, home, "key", "content")
-        out = R.read_markdown(df.sparkSession, home)
+    with folder(df.sparkSession, "markdown") as home, small_files(df.sparkSession):
+        K.write_files(df, home, "key", "content", SHELVES)
+        out = R.read_markdown(df.sparkSession, f"{home}/shelf=*")
         return kept(out.select(key_of().alias("key"), F.try_element_at("metadata", F.lit("title")).alias("title"), "body"))
 
 

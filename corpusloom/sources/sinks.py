@@ -64,9 +64,16 @@ def replace_block(text: str, name: str, body: str) -> str:
     return re.sub(rf"(<!-- BEGIN {re.escape(name)} -->\n).*?(\n?<!-- END {re.escape(name)} -->)", lambda m: m[1] + body + m[2], text, flags=re.S)
 
 
-def write_files(df: DataFrame, path: str, key: str, content: str) -> None:
-    """One folder key=... for each row, its content as a text file there. Written by whichever task holds the row."""
-    df.select(key, F.col(content).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+def write_files(df: DataFrame, path: str, key: str, content: str, shelves: int = 0) -> None:
+    """One folder key=... for each row, its content as a text file there. Written by whichever task holds the row.
+
+    With shelves, folders stand below as many shelf=..., each written by one task: all tasks write, the commit moves
+    shelves instead of folders, and a reader of `path/*` lists them side by side.
+    """
+    out = df.select(key, F.col(content).alias("value"))
+    if shelves:
+        out = out.withColumn("shelf", F.pmod(F.hash(key), F.lit(shelves))).repartition(shelves, "shelf")
+    out.write.mode("overwrite").partitionBy(*["shelf"] * bool(shelves), key).text(path)
 
 
 def text_catalog(df: DataFrame, key: str, fields: Sequence[str], path: str) -> None:
