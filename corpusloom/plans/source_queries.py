@@ -110,9 +110,9 @@ def markdown_scan(t):
 def front_matter_only(t):
     """Metadata of listed files; a missing file has none."""
     df = _markdown(t)
-    with folder(df.sparkSession, "front") as home:
-        K.write_files(df, home, "key", "content")
-        scanned = R.read_markdown(df.sparkSession, home).withColumn("path", key_of().cast("string"))
+    with folder(df.sparkSession, "front") as home, small_files(df.sparkSession):
+        K.write_files(df, home, "key", "content", SHELVES)
+        scanned = R.read_markdown(df.sparkSession, f"{home}/shelf=*").withColumn("path", key_of().cast("string"))
         asked = t("supplier").select(F.explode(F.array(F.col("s_suppkey").cast("string"), (-F.col("s_suppkey")).cast("string"))).alias("path"))
         out = R.front_matter_of(asked, scanned)
         return kept(out.select(F.col("path").cast("long").alias("key"), F.try_element_at("metadata", F.lit("id")).alias("id")))
