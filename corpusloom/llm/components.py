@@ -35,7 +35,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, np.array([root(x) for x in nodes.tolist()], np.int64)
 
 
-def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges (a, b) of a task as stars (root, node) that connect the same nodes."""
     held, n = [], 0
     for pdf in batches:
         held.append(pdf)
@@ -51,7 +52,7 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": roots, "b": nodes})
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, contracted: bool = False) -> DataFrame:
     """edges (a, b) of longs -> (node, root): root is the least node of node's component.
 
     Rounds of: contract within each task (union-find over its rows, which keeps
@@ -59,9 +60,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     that a node's roots meet and are linked to the least of them. Every round
     writes its edges to the shared scratch folder. It ends when each node has one
     root and no root has a root itself. Self loops and repeated edges are allowed;
-    nodes without an edge do not appear.
+    nodes without an edge do not appear. contracted: edges made in Python have gone through
+    contract() there; a second Python step in their tasks would take each core a second worker.
     """
-    stars = materialise(edges.select("a", "b").where("a <> b").mapInPandas(_contract, "a long, b long"), "cc")
+    edges = edges.select("a", "b").where("a <> b")
+    stars = materialise(edges if contracted else edges.mapInPandas(contract, "a long, b long"), "cc")
     while True:
         # a node's least root takes its other roots; partial aggregation makes a much-named node cheap
         least = materialise(stars.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high")), "cc-least")
@@ -78,4 +81,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # a root of many nodes is looked up without gathering its rows
         up = join_unique(linked, tops.withColumnRenamed("top", "over"), "a", "key", "left")
         jumped = up.select(F.coalesce("over", "a").alias("a"), "b").unionByName(up.where("over is not null").select(F.col("over").alias("a"), F.col("a").alias("b")))
-        stars = materialise(jumped.where("a <> b").distinct().mapInPandas(_contract, "a long, b long"), "cc")
+        stars = materialise(jumped.where("a <> b").distinct().mapInPandas(contract, "a long, b long"), "cc")

@@ -14,7 +14,7 @@ copies are never expanded to pairs; the links are between different fingerprints
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_unique, mapped, materialise, shielded, table
-from .components import connected_components
+from .components import connected_components, contract
 
 SEED = 42
 #: Bits given to the Hamming code of each band, and its number of check bits.
@@ -54,8 +54,8 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, keep: Sequence[str] = ("doc_id",), name: str = "fp") -> DataFrame:
+    """The columns `keep` and `name` for every row; the latter is the fingerprint as a signed long."""
 
     def make():
         def run(texts: list) -> tuple:
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
         return run
 
-    return mapped(docs, ["doc_id"], ["text"], make, {"fp": ("long", pa.int64())})
+    return mapped(docs, [*keep], ["text"], make, {name: ("long", pa.int64())})
 
 
 def _bands(bands: int) -> list[tuple[int, int]]:
@@ -208,13 +208,14 @@ def _near(threshold: int):
     return run
 
 
-def links(distinct: DataFrame, threshold: int = 4, bands: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, threshold: int = 4, bands: int | None = None, then: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
     """(a, b) with a < b: links between different fingerprints at `threshold` or fewer bits, enough to connect all that are linked.
 
     Each anchor's homes and replicas meet in one place, where a forest of their links
     is made: at most one link a row. An anchor of more than TILE homes or replicas is cut into tiles,
     each share of its homes meeting each share of its replicas; such anchors are at most all rows
     divided by TILE, and so may be broadcast. bands only decide the cost (planned_bands, if not given).
+    then: what a task's links go through before they leave its worker.
     """
     if bands is None:
         bands = planned_bands(distinct.count(), threshold)
@@ -246,7 +247,8 @@ def links(distinct: DataFrame, threshold: int = 4, bands: int | None = None) ->
     q = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).when(F.col("home"), every("vp")).otherwise(F.array(own("vp")))
     tiles = both.select("anchor", F.explode(p).alias("p"), q.alias("qs"), "fp", "home").select("anchor", "p", F.explode("qs").alias("q"), "fp", "home")
     dealt = tiles.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q", F.desc("home"))
-    return dealt.mapInPandas(_near(threshold), "a long, b long")
+    near = _near(threshold)
+    return dealt.mapInPandas((lambda batches: then(near(batches))) if then else near, "a long, b long")
 
 
 def simhash_classes(docs: DataFrame, threshold: int = 4, shingle: int = 4, bands: int | None = None) -> DataFrame:
@@ -259,7 +261,7 @@ def simhash_classes(docs: DataFrame, threshold: int = 4, shingle: int = 4, bands
     """
     rows = materialise(fingerprints(docs, shingle), "simhash")
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = connected_components(links(distinct, threshold, bands))  # (node, root) of linked fingerprints only
+    found = connected_components(links(distinct, threshold, bands, contract), contracted=True)  # (node, root) of linked fingerprints only
     named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "simhash-roots")
     least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "__root"), "simhash-least")
@@ -286,8 +288,8 @@ def keep_one(docs: DataFrame, threshold: int = 4) -> DataFrame:
     repeated = docs.join(kept.where("__n > 1"), by_id, "left_semi").dropDuplicates(["doc_id"])
     # classes without any id are found again by a fingerprint of theirs
     nameless = classes.where("component_id is null").groupBy("root").agg(F.min("fp").alias("__keep_fp")).select("__keep_fp")
-    as_fp = F.pandas_udf(lambda texts: pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)), "long")
-    unnamed = docs.where("doc_id is null").withColumn("__fp", as_fp("text"))
+    # mapped, for the planner would put a UDF into a task more than once, each with a worker of its own
+    unnamed = fingerprints(docs.where("doc_id is null"), keep=columns, name="__fp")
     unnamed = unnamed.join(nameless, F.col("__fp") == F.col("__keep_fp"), "left_semi").dropDuplicates(["__fp"])
     out = once.select(*columns).unionByName(repeated.select(*columns)).unionByName(unnamed.select(*columns))
     return out.select(*back(out))

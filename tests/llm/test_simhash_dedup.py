@@ -130,3 +130,39 @@ def test_many_copies_and_one_root(spark, monkeypatch):
         least.setdefault(roots[f], i)
     assert {i: (r.fp, r.component_id) for i, r in got.items()} == {i: (f, least[roots[f]]) for i, f in enumerate(fps)}
     assert S.keep_one(docs).count() == len(set(roots.values()))
+
+
+def python_steps(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum(plan.count(x) for x in ("MapInPandas", "MapInArrow", "ArrowEvalPython"))
+
+
+def test_one_python_step_in_a_task(spark, monkeypatch):
+    """A task with two takes two workers, which stay with all that later stages load into them."""
+    steps = {}
+
+    def seen(df, label, *more):
+        steps[label] = max(steps.get(label, 0), python_steps(df))
+        return common.materialise(df, label, *more)
+
+    for module in (S, components):
+        monkeypatch.setattr(module, "materialise", seen)
+    near = [(i, " ".join(f"w{j}" for j in range(200)) + f" x{i}", "en") for i in range(9)]
+    docs = spark.createDataFrame([*near, (20, None, "en"), (21, "by itself", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.component_id for r in S.simhash_classes(docs).collect()}
+    fps = {i: S.fingerprint(t) for i, t, _ in docs.collect()}
+    for i in fps:  # the least id of those reached by links
+        reached, todo = {i}, [i]
+        while todo:
+            x = todo.pop()
+            new = {j for j in fps if (fps[x] ^ fps[j]).bit_count() <= 4} - reached
+            reached |= new
+            todo += new
+        assert got[i] == min(reached)
+    assert len(set(got.values())) < len(got)
+    assert steps["cc"] == 1 and max(steps.values()) == 1
+    nameless = spark.createDataFrame([(None, "no id here", "en"), (None, "no id here", "en")], docs.schema)
+    kept = S.keep_one(docs.unionByName(nameless))
+    assert python_steps(kept) == 1
+    assert sorted(r.text for r in kept.where("doc_id is null").collect()) == ["no id here"]
+    assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == set(got.values())
